@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.line_dedup import line_dedup
 from factloom.llm.ngram_join import ngram_jaccard_join
 from factloom.llm.suffix_dedup import remove_repeats
+from factloom.llm.token_counts import token_counts
 from factloom.llm.topk_search import topk_search
 
 
@@ -29,10 +31,23 @@ def op6_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its runs of lines that occurred before."""
+    out = line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_voronoi_topk": op6_voronoi_topk,
+    "op8_trie_token_counts": op8_trie_token_counts,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES = {
@@ -68,5 +83,25 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_line_dedup": r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM s),
+w AS (
+  SELECT doc_id, i, 1 AS n, x AS run FROM l WHERE length(x) >= 40
+  UNION ALL
+  SELECT a.doc_id, a.i, 2, a.x || chr(10) || b.x FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+), r AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) AS k FROM w),
+g AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM r WHERE k > 1 UNION ALL SELECT doc_id, i + 1 FROM r WHERE k > 1 AND n = 2)
+), c AS (
+  SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (p.i IS NULL) AS n_runs
+  FROM g LEFT JOIN g p ON p.doc_id = g.doc_id AND p.i = g.i - 1 GROUP BY 1
+), t AS (
+  SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY 1
+)
+SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+  CASE WHEN ls IS NOT NULL THEN sha256(coalesce(t.text, '')) END AS kept_sha256
+FROM s LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
 }
