@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm import language_id as language
 from factloom.llm.line_dedup import line_dedup
 from factloom.llm.ngram_join import ngram_jaccard_join
 from factloom.llm.suffix_dedup import remove_repeats
@@ -42,12 +43,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.Model.fit(docs.where(~language.held_out()).select("doc_id", "text", "lang"))
+    out = language.language_id(docs, model, spans=False)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_voronoi_topk": op6_voronoi_topk,
     "op8_trie_token_counts": op8_trie_token_counts,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
