@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import language_id as language
+from factloom.llm.license_scan import license_scan
 from factloom.llm.line_dedup import line_dedup
 from factloom.llm.ngram_join import ngram_jaccard_join
 from factloom.llm.suffix_dedup import remove_repeats
@@ -22,6 +23,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases and the licenses named in every document."""
+    return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less the bytes of 400-byte strings that start elsewhere too."""
     return remove_repeats(_table(spark, sf_dir, "documents"), whole=False)
@@ -53,6 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_voronoi_topk": op6_voronoi_topk,
     "op8_trie_token_counts": op8_trie_token_counts,
