@@ -28,11 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch, buckets, components, keep_only
+from factloom.llm._spark import Scratch, buckets, components
 
 BAND = 1.5
 #: Stands for no segment: its bucket lists the sets with too few filled segments.
@@ -156,15 +156,43 @@ def _packed_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["part", "keys", "vals"])
 
 
+def sketch(hs: np.ndarray) -> bytes:
+    """How many members fall in each bin (at most 255); about 4 to 8 a bin, bins a power of two."""
+    bins = 1 << int(np.clip(len(hs).bit_length() - 3, 4, 12))
+    return np.minimum(np.bincount((hs & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def sketch_gap(a: bytes, b: bytes) -> int:
+    """A lower bound on the number of elements in which two sets differ: the finer sketch is folded first."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    bins = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, bins).sum(0) - y.reshape(-1, bins).sum(0)).sum())
+
+
 def digest(s: Setting):
-    """doc_id, text -> doc_id, n_shingles, cls."""
+    """doc_id, text -> doc_id, n_shingles, cls, sketch."""
 
     def run(batches):
         for b in batches:
-            n, cls = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            n, cls, bins = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [b""] * b.num_rows
             for i, hs in _sets_of(b, s):
-                n[i], cls[i] = len(hs), set_key(hs) if len(hs) else 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
+                if len(hs):
+                    n[i], cls[i], bins[i] = len(hs), set_key(hs), sketch(hs)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(cls), pa.array(bins, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+
+    return run
+
+
+def _possible(s: Setting):
+    """Pairs whose sketches don't rule the similarity out."""
+
+    def run(batches):
+        for b in batches:
+            size = np.asarray(b.column("n_a")) + np.asarray(b.column("n_b"))
+            most = size * (s.den - s.num) // (s.den + s.num)
+            left, right = b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist()
+            keep = [sketch_gap(x, y) <= m for x, y, m in zip(left, right, most.tolist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -328,12 +356,12 @@ class _Join:
         return self.scratch.store(rows.mapInArrow(_set_rows(self.s), "cls long, hs binary"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that are similar; sizes first, then whole sets."""
+        """The pairs (a, b) of classes that are similar; sizes and sketches first, then whole sets."""
         s = self.s
-        size = self.classes.select("cls", "n_shingles")
-        pairs = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
-        pairs = pairs.where(F.least("n_a", "n_b") * s.den >= F.greatest("n_a", "n_b") * s.num).select("a", "b")
-        pairs = self.scratch.store(pairs)
+        size = self.classes.select("cls", "n_shingles", "sketch")
+        pairs = pairs.join(size.toDF("a", "n_a", "sketch_a"), "a").join(size.toDF("b", "n_b", "sketch_b"), "b")
+        pairs = pairs.where(F.least("n_a", "n_b") * s.den >= F.greatest("n_a", "n_b") * s.num)
+        pairs = self.scratch.store(pairs.mapInArrow(_possible(s), "a long, b long"))
         sets = self.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
         left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
         out = pairs.join(right, "b").join(left, "a").select("a", "set_a", "b", "set_b")
@@ -343,8 +371,8 @@ class _Join:
 
     def run(self) -> DataFrame:
         s, scratch = self.s, self.scratch
-        digests = scratch.store(self.docs.mapInArrow(digest(s), "doc_id long, n_shingles long, cls long"))
-        self.classes = scratch.store(digests.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")))
+        digests = scratch.store(self.docs.mapInArrow(digest(s), "doc_id long, n_shingles long, cls long, sketch binary"))
+        self.classes = scratch.store(digests.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
         parts = buckets(self.spark) * 2
         packed = self.docs.mapInArrow(index_entries(s, parts), _PACKED)
         found = scratch.store(packed.repartition(parts, "part").mapInArrow(bucket_pairs(s.small), "kind int, a long, b long"))
@@ -389,7 +417,7 @@ class _Join:
         scratch, s = self.scratch, self.s
         unpaid = mixed.select("cls", "own", F.lit(1).alias("x")).union(thin.select("cls", "own", F.lit(0).alias("x")))
         unpaid = unpaid.groupBy("cls", "own").agg(F.sum("x").cast("int").alias("unpaid"))
-        unpaid = scratch.store(unpaid.join(self.classes, "cls"))
+        unpaid = scratch.store(unpaid.join(self.classes.select("cls", "doc_id"), "cls"))
         limit = s.broadcast_rows
         side = F.broadcast(unpaid) if unpaid.count() <= limit else unpaid
         rows = self.docs.join(side, "doc_id").select("text", "cls", "own", "unpaid")
@@ -403,7 +431,9 @@ class _Join:
         lost = keys.where("kind = 1").groupBy(F.col("b").alias("tag")).agg(F.countDistinct("a").alias("lost"))
         rest = heavy.join(lost, "tag", "left").where(F.col("worth") - 2 * F.coalesce("lost", F.lit(0)) < F.col("need"))
         rest = scratch.store(rest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "band", "hs", "component"))
-        pairs = self.verify(found.distinct())
+        of = comp.withColumnRenamed("component", "c")
+        found = found.distinct().join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+        pairs = self.verify(found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
         return pairs.union(self.blocks(rest)).distinct()
 
     def blocks(self, rest: DataFrame, block: int = 256) -> DataFrame:
