@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from factloom.llm import language_id as language
 from factloom.llm.license_scan import license_scan
 from factloom.llm.line_dedup import line_dedup
+from factloom.llm.mixing import Setting as Mix
+from factloom.llm.mixing import mix, n_words
 from factloom.llm.ngram_join import ngram_jaccard_join
+from factloom.llm.packing import pack
 from factloom.llm.suffix_dedup import remove_repeats
 from factloom.llm.token_counts import token_counts
 from factloom.llm.topk_search import topk_search
@@ -33,6 +36,21 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), whole=False)
 
 
+def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of sequences in the length buckets with the least padding."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+#: Domains 3 : 2 : 1, twice as much English as any other language, sources alike.
+MIX = Mix(weights={"domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 1.0}, "lang": {"en": 2.0}}, share=0.6, max_epochs=2)
+
+
+def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each source within its budget, once for each epoch."""
+    out = mix(_table(spark, sf_dir, "documents"), MIX)
+    return out.select("doc_id", "lang", "source", F.col("_epoch").alias("epoch"), n_words("text").cast("long").alias("n_tokens"))
+
+
 def op6_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every vector whose id is divisible by 50."""
     return topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -61,6 +79,8 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_length_packing": op4_length_packing,
+    "op5_hierarchical_mixing": op5_hierarchical_mixing,
     "op6_voronoi_topk": op6_voronoi_topk,
     "op8_trie_token_counts": op8_trie_token_counts,
     "op9_line_dedup": op9_line_dedup,
