@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +105,18 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows while actions run inside: for rows of some megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

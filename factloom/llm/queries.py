@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import language_id as language
+from factloom.llm.hnsw_dedup import hnsw_dedup
 from factloom.llm.license_scan import license_scan
 from factloom.llm.line_dedup import line_dedup
 from factloom.llm.mixing import Setting as Mix
@@ -56,6 +57,11 @@ def op6_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with cosine 0.93 or more."""
+    return hnsw_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pre-tokens and unigram tokens of every document."""
     return token_counts(_table(spark, sf_dir, "documents"))
@@ -82,6 +88,7 @@ QUERIES = {
     "op4_length_packing": op4_length_packing,
     "op5_hierarchical_mixing": op5_hierarchical_mixing,
     "op6_voronoi_topk": op6_voronoi_topk,
+    "op7_hnsw_near_dedup": op7_hnsw_near_dedup,
     "op8_trie_token_counts": op8_trie_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
@@ -140,5 +147,20 @@ g AS (
 SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
   CASE WHEN ls IS NOT NULL THEN sha256(coalesce(t.text, '')) END AS kept_sha256
 FROM s LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op7_hnsw_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r(vec_id, m) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.vec_id
+), c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c USING (vec_id)
 """,
 }
