@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one slice holds (a longer document is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: ASCII upper to lower case, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -65,6 +65,14 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_sums(rows: np.ndarray) -> np.ndarray:
+    """Running sums along each row of a byte matrix: differences of equal columns compare spans."""
+    prefix_hash(np.zeros(0, np.uint8))
+    out = np.zeros((rows.shape[0], rows.shape[1] + 1), dtype=U64)
+    np.cumsum(_BYTE[rows] * _powers(_ROOT, rows.shape[1])[None, :], axis=1, out=out[:, 1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end), equal for equal spans anywhere."""
     low = (prefix[end] - prefix[start]) * _powers(_INVERSE, len(prefix))[start]

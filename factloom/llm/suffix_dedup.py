@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,13 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class Setting:
-    """length of a repeated string, gram of an anchor, places from which a gram is hot, pairs compared directly."""
+    """length of a repeated string, gram of an anchor, places from which a gram is hot, entries of a group compared by pairs."""
 
     length: int = 400
     gram: int = 32
     hot: int = 4096
-    pairs: int = 4096
-    batch: int = 2048
+    pairs: int = 24
+    batch: int = 4096
     broadcast_bytes: int = 48 << 20
 
     @property
@@ -253,6 +254,23 @@ def _spans(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: int):
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([b""], pa.binary())], ["kind", "part", "head", "ctx"])
 
 
+@lru_cache(maxsize=64)
+def _triangle(g: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(g, 1)
+
+
+def _neighbour(rows: np.ndarray) -> np.ndarray:
+    """The longest common prefix of each row with any other row: with a neighbour in sorted order."""
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    y = rows[order]
+    differ = y[1:] != y[:-1]
+    lcp = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    out = np.zeros(len(rows), np.int64)
+    out[order[1:]] = lcp
+    out[order[:-1]] = np.maximum(out[order[:-1]], lcp)
+    return out
+
+
 class Family:
     """Suffix arrays of geometric sizes over the anchors of one part.
 
@@ -286,100 +304,124 @@ class Family:
         self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(self.sort(*(np.concatenate([x, y]) for x, y in zip(a, b, strict=True))))
-
-    def order(self, ctx: np.ndarray) -> np.ndarray:
-        """Keys of the suffix order: the gram's bytes as big-endian numbers."""
-        at, n = self.half, self.s.gram // 8
-        return np.ascontiguousarray(ctx[:, at : at + 8 * n]).view(">u8").astype(U64)
+            self.levels.append(self.sort(*(np.concatenate([a[c], b[c]]) for c in range(3))))
 
     def sort(self, head, ctx, found):
-        k = self.order(ctx)
-        at = np.lexsort(k.T[::-1])
-        return head[at], ctx[at], found[at]
+        """A suffix array: entries in the order of the bytes from the anchor on, and the name of each one's gram."""
+        at = self.half
+        k = np.ascontiguousarray(ctx[:, at : at + self.s.gram]).view(">u8").astype(U64)
+        order = np.lexsort(k.T[::-1])
+        name = np.zeros(len(k), U64)
+        for c in range(k.shape[1]):
+            name = X.mix(name + k[:, c])
+        return head[order], ctx[order], found[order], name[order]
+
+    @staticmethod
+    def groups(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        return start, np.diff(np.append(start, len(name)))
 
     def scan(self, new, old) -> None:
-        """Match a new suffix array with an existing one (or itself) in merged order."""
-        ctx = new[1] if old is None else np.concatenate([new[1], old[1]])
-        n = len(new[1])
-        k = self.order(ctx)
-        at = np.lexsort(k.T[::-1])
-        k = k[at]
-        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)]))
-        count = np.diff(np.append(start, len(at)))
+        """Match a new suffix array with itself, or with an existing one in merged order."""
+        start, count = self.groups(new[3])
         left, right = [], []
-        for a, g in zip(start[count > 1], count[count > 1], strict=True):
-            members = at[a : a + g]
-            x = members[members < n]
-            y = members[members >= n]
-            if old is None:
-                if g * g > 2 * self.s.pairs:
-                    self.windows(new, x, None, x)
+        if old is None:
+            for a, g in zip(start[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+                if g > self.s.pairs:
+                    self.crowd(new, np.arange(a, a + g), None, None)
                 else:
-                    i, j = np.triu_indices(g, 1)
-                    left.append(x[i])
-                    right.append(x[j])
-            elif len(x) and len(y):
-                if len(x) * len(y) > self.s.pairs:
-                    self.windows(new, x, old, y - n)
+                    i, j = _triangle(g)
+                    left.append(a + i)
+                    right.append(a + j)
+        else:
+            begin, size = self.groups(old[3])
+            _, x, y = np.intersect1d(new[3][start], old[3][begin], return_indices=True)
+            for a, g, b, h in zip(start[x].tolist(), count[x].tolist(), begin[y].tolist(), size[y].tolist(), strict=True):
+                if g * h > self.s.pairs**2 // 2:
+                    self.crowd(new, np.arange(a, a + g), old, np.arange(b, b + h))
                 else:
-                    left.append(np.repeat(x, len(y)))
-                    right.append(np.tile(y - n, len(x)))
+                    left.append(np.repeat(np.arange(a, a + g), h))
+                    right.append(np.tile(np.arange(b, b + h), g))
         if left:
             left, right = np.concatenate(left), np.concatenate(right)
             other = new if old is None else old
-            for i in range(0, len(left), 4096):
-                self.compare(new, left[i : i + 4096], other, right[i : i + 4096])
+            for i in range(0, len(left), 8192):
+                self.compare(new, left[i : i + 8192], other, right[i : i + 8192])
 
     def compare(self, a, i, b, j) -> None:
-        """Common stretches around the anchors of pairs of entries."""
-        half = self.half
-        same = a[1][i] == b[1][j]
+        """Common stretches around the anchors of pairs of entries; blocks of 8 bytes rule most out."""
+        half, reach = self.half, self.s.length
+        skip = half % 8
+        blocks = half // 8
+        x, y = a[1], b[1]
+        wide = (x.shape[1] - skip) // 8 * 8
+        same = np.ascontiguousarray(x[i, skip : skip + wide]).view(U64) == np.ascontiguousarray(y[j, skip : skip + wide]).view(U64)
+        back, ahead = ~same[:, :blocks][:, ::-1], ~same[:, blocks:]
+        le = np.where(back.any(1), back.argmax(1), blocks + 1)
+        ri = np.where(ahead.any(1), ahead.argmax(1), ahead.shape[1] + 1)
+        maybe = 8 * (le + ri) + 14 >= reach
+        i, j = i[maybe], j[maybe]
+        if not len(i):
+            return
+        same = x[i] == y[j]
         back, ahead = ~same[:, :half][:, ::-1], ~same[:, half:]
         le = np.where(back.any(1), back.argmax(1), half)
-        ri = np.where(ahead.any(1), ahead.argmax(1), self.s.length)
+        ri = np.where(ahead.any(1), ahead.argmax(1), reach)
         le = np.minimum(le, np.minimum(a[0][i, 2], b[0][j, 2]))
         ri = np.minimum(ri, np.minimum(a[0][i, 3], b[0][j, 3]))
-        long = le + ri >= self.s.length
+        long = le + ri >= reach
         for side, at in ((a, i[long]), (b, j[long])):
             np.maximum.at(side[2][:, 0], at, le[long])
             np.maximum.at(side[2][:, 1], at, ri[long])
 
-    def windows(self, a, i, b, j) -> None:
-        """The same for a large group: windows of whole length at each offset, compared by hash.
+    def crowd(self, a, i, b, j) -> None:
+        """A large group: who can reach far enough, by neighbours in two suffix orders; then windows by hash.
 
-        b is None: within a.
+        b is None: within a. Otherwise only matches between the two sides are new, but all are true.
         """
         s, half = self.s, self.half
-        other = a if b is None else b
-        for lo in range(0, half + 1, 16):
-            shifts = np.arange(lo, min(lo + 16, half + 1))
-            hi, hj = self.hashes(a, i, shifts), None if b is None else self.hashes(other, j, shifts)
+        head = a[0][i] if b is None else np.concatenate([a[0][i], b[0][j]])
+        ctx = a[1][i] if b is None else np.concatenate([a[1][i], b[1][j]])
+        most_left = np.minimum(_neighbour(np.ascontiguousarray(ctx[:, :half][:, ::-1])), head[:, 2])
+        most_right = np.minimum(_neighbour(np.ascontiguousarray(ctx[:, half:])), head[:, 3])
+        live = np.flatnonzero(most_left + most_right >= s.length)
+        if len(live) < 2:
+            return
+        most_left, most_right = most_left[live], most_right[live]
+        got = np.full((len(live), 2), -1, np.int32)
+        for lo in range(int((s.length - most_right).clip(0).min()), int(most_left.max()) + 1, 64):
+            shifts = np.arange(lo, min(lo + 64, int(most_left.max()) + 1))
+            start = half - shifts
+            sums = self.sums(ctx[live], start)
             for c, shift in enumerate(shifts):
-                oki = (a[0][i, 2] >= shift) & (a[0][i, 3] >= s.length - shift)
-                if b is None:
-                    u, inverse, count = np.unique(hi[oki, c], return_inverse=True, return_counts=True)
-                    marks = [(a, i[oki][count[inverse] > 1])]
-                else:
-                    okj = (other[0][j, 2] >= shift) & (other[0][j, 3] >= s.length - shift)
-                    both = np.intersect1d(hi[oki, c], hj[okj, c])
-                    marks = [(a, i[oki][np.isin(hi[oki, c], both)]), (other, j[okj][np.isin(hj[okj, c], both)])]
-                for side, at in marks:
-                    side[2][at, 0] = np.maximum(side[2][at, 0], shift)
-                    side[2][at, 1] = np.maximum(side[2][at, 1], s.length - shift)
-
-    def hashes(self, side, at, shifts) -> np.ndarray:
-        out = np.zeros((len(at), len(shifts)), U64)
-        for r in range(0, len(at), 512):
-            rows = side[1][at[r : r + 512]]
-            flat = X.prefix_hash(rows.ravel())
-            base = np.arange(len(rows))[:, None] * rows.shape[1] + self.half - shifts[None, :]
-            out[r : r + 512] = X.span_hash(flat, base, base + self.s.length)
+                ok = np.flatnonzero((most_left >= shift) & (most_right >= s.length - shift))
+                if len(ok) < 2:
+                    continue
+                h = np.sort(sums[ok, c])
+                twice = h[1:][h[1:] == h[:-1]]
+                if not len(twice):
+                    continue
+                ok = ok[np.isin(sums[ok, c], twice)]
+                got[ok, 0] = np.maximum(got[ok, 0], shift)
+                got[ok, 1] = np.maximum(got[ok, 1], s.length - shift)
+        at = i if b is None else np.concatenate([i, j])
+        at, n = at[live], len(i)
+        mine = live < n
+        for side, pick in ((a, mine), (b, ~mine)):
+            if side is not None and pick.any():
+                side[2][at[pick]] = np.maximum(side[2][at[pick]], got[pick])
+
+    def sums(self, ctx: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hashes of the windows from each start; comparable down a column."""
+        out = np.empty((len(ctx), len(start)), U64)
+        for r in range(0, len(ctx), 512):
+            p = X.row_sums(ctx[r : r + 512])
+            out[r : r + 512] = X.mix(p[:, start + self.s.length] - p[:, start])
         return out
 
     def spans(self):
         self.flush()
-        for head, _, found in self.levels:
+        for head, _, found, _ in self.levels:
             hit = found[:, 0] >= 0
             yield head[hit, 0], head[hit, 1] - found[hit, 0], head[hit, 1] + found[hit, 1]
 
