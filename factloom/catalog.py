@@ -1,16 +1,19 @@
-"""All queries of the reference's operators on the driver's tables, by name."""
+"""All queries of the reference's operators on the driver's tables, by name, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from factloom.plans import quality
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records per language and source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("records"))
+_PLANS = [import_module(f"factloom.plans.{name}") for name in ("quality",)]
 
+QUERIES: dict = {k: v for m in _PLANS for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _PLANS for k, v in m.ORACLES.items()}
 
-QUERIES: dict = {"flagship": flagship}
-ORACLES: dict = {"flagship": "SELECT lang, source, count(*) AS records FROM documents GROUP BY lang, source"}
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision of each language with its cluster-robust range."""
+    return quality.clustered_wilson_by_lang(spark, sf_dir)
