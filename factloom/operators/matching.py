@@ -132,7 +132,7 @@ def match_records(truth: DataFrame, found: DataFrame, vetoes: DataFrame | None =
         rows = [(key[0], int(t[a]["i"]), int(x[b]["i"]), level, turned) for a, b, level, turned in match_record(t, x, lambda u, v: (u["i"], v["i"]) in bans)]
         return pd.DataFrame(rows, columns=["record", "g", "e", "level", "swapped"])
 
-    return left.groupBy("record").cogroup(found.select(*cols).groupBy("record")).applyInPandas(pair, "record string, g int, e int, level string, swapped boolean")
+    return left.groupBy("record").cogroup(found.select(*cols).toDF(*cols).groupBy("record")).applyInPandas(pair, "record string, g int, e int, level string, swapped boolean")
 
 
 def exact_multiset_pairs(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:

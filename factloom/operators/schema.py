@@ -7,7 +7,7 @@ after their rows are counted, and joined plainly beyond the limit.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from math import comb
+from math import comb, lgamma
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,16 +31,18 @@ def breadth(support: DataFrame, least: int) -> DataFrame:
     return support.where(F.col("support") >= least).groupBy(band.alias("found_in")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return F.expr("0") + _lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1)
+def _expected(texts: int, least: int):
+    def run(frames):
+        import numpy as np
 
+        log_choose = np.vectorize(lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) if 0 <= k <= n else -np.inf, otypes=[float])
+        for pdf in frames:
+            found, drawn = pdf["support"].to_numpy(), pdf["k"].to_numpy()
+            all_ways = log_choose(texts, drawn)
+            below = sum(np.exp(log_choose(found, x) + log_choose(texts - found, drawn - x) - all_ways) for x in range(least))
+            yield pdf.assign(reach=np.where(found >= least, np.maximum(0.0, 1 - below), 0.0))[["k", "n", "reach"]]
 
-def _lgamma(x: Column) -> Column:
-    """log gamma for x >= 1 by Stirling's series after a shift of 8."""
-    shifted = x + 8
-    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
-    series = 1 / (12 * shifted) - 1 / (360 * F.pow(shifted, 3)) + 1 / (1260 * F.pow(shifted, 5)) - 1 / (1680 * F.pow(shifted, 7))
-    return (shifted - 0.5) * F.log(shifted) - shifted + 0.9189385332046727 + series - F.log(product)
+    return run
 
 
 def saturation(support: DataFrame, texts: int, points: Iterable[int], least: int) -> DataFrame:
@@ -48,19 +50,11 @@ def saturation(support: DataFrame, texts: int, points: Iterable[int], least: int
 
     The hypergeometric lower tail has `least` terms; entries of equal support are counted once.
     """
-    spark = support.sparkSession
     sizes = support.groupBy("support").agg(F.count(F.lit(1)).alias("n"))
-    at = spark.createDataFrame([(float(p),) for p in points], "k double")
+    at = support.sparkSession.createDataFrame([(int(p),) for p in points], "k long")
     both = sizes.crossJoin(F.broadcast(at))  # the points are given
-    n, found = F.lit(float(texts)), F.col("support").cast("double")
-    below = F.lit(0.0)
-    for x in range(least):
-        possible = (found >= x) & (F.col("k") >= x) & (n - found >= F.col("k") - x)
-        f, k, rest = F.when(possible, found), F.when(possible, F.col("k")), F.when(possible, n - found)
-        p = F.exp(_log_choose(f, F.lit(float(x))) + _log_choose(rest, k - x) - _log_choose(n, F.col("k")))
-        below = below + F.when(possible, p).otherwise(0.0)
-    reach = F.when(found >= least, F.greatest(F.lit(0.0), 1 - below)).otherwise(0.0)
-    return both.groupBy(F.col("k").cast("long").alias("texts")).agg(F.sum(F.col("n") * reach).alias("expected"))
+    reach = both.mapInPandas(_expected(texts, least), "k long, n long, reach double")
+    return reach.groupBy(F.col("k").alias("texts")).agg(F.sum(F.col("n") * F.col("reach")).alias("expected"))
 
 
 def representative(candidates: Sequence[dict], n: int, group: str = "group") -> list[dict]:
