@@ -1,0 +1,202 @@
+"""Queries of text functions: keys, cleaning, chunking, abbreviations, terms, replies, lookups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.functions import keys as K
+from factloom.functions import text as X
+from factloom.operators import ledger as L
+from factloom.operators import schema as S
+from factloom.plans.quality import table
+from factloom.sources import lookup as A
+
+
+def clean_pages(spark, sf_dir):
+    """Pages as plain text with the tier and the proof (SCA-10, SCA-11, SCA-12, SCA-13)."""
+    p = table(spark, sf_dir, "pages").select("page_id", X.clean_udf("html").alias("c"))
+    return p.select("page_id", "c.tier", "c.markup", "c.lost", F.length("c.text").alias("n_chars"), F.sha2("c.text", 256).alias("fingerprint"))
+
+
+def cleaning_tally(spark, sf_dir):
+    """Cleaned pages by tier and markup (AGG-31)."""
+    return clean_pages(spark, sf_dir).groupBy("tier", "markup").agg(F.count(F.lit(1)).alias("pages"), F.sum("lost").alias("lost"))
+
+
+def token_bag_difference(spark, sf_dir):
+    """Words of pages that stripping all tags loses or keeps, as bags (SET-03)."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("raw"), F.regexp_replace("html", r"<[^>]*>", " ").alias("shown"))
+    words = lambda c: F.explode(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    a = p.select("page_id", words("raw").alias("w")).withColumn("n", F.lit(1))
+    b = p.select("page_id", words("shown").alias("w")).withColumn("n", F.lit(-1))
+    d = a.unionByName(b).groupBy("page_id", "w").agg(F.sum("n").alias("missing")).where("missing > 0")
+    return d.groupBy("page_id").agg(F.count(F.lit(1)).alias("words"), F.sum("missing").alias("tokens"))
+
+
+def markup_rank(spark, sf_dir):
+    """The 20 pages with most markup: tags count three times, entities once (WIN-15)."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("</?[A-Za-z][^<>]*>")).alias("tags"), F.regexp_count("html", F.lit("&[A-Za-z#][A-Za-z0-9]*;")).alias("entities"))
+    return p.select("page_id", (3 * F.col("tags") + F.col("entities")).cast("long").alias("score")).orderBy(F.desc("score"), "page_id").limit(20)
+
+
+def one_line_titles(spark, sf_dir):
+    """First lines with white space collapsed (SCA-15)."""
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.trim(F.regexp_replace(first, r"[ \t\r]+", " ")), 256).alias("title"))
+
+
+def chunk_documents(spark, sf_dir):
+    """Documents in pieces of at most 2,000 characters (SCA-22)."""
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pieces_udf(2000)(first, "text")).alias("piece", "t"))
+    return d.select("doc_id", "piece", F.length("t").alias("n_chars"))
+
+
+def abbreviation_scan(spark, sf_dir):
+    """Short forms that documents set off, and whether the words before spell them (SCA-17, SCA-18)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.short_forms_udf("text")).alias("x"))
+    return d.select("doc_id", "x.short", "x.passes").groupBy("short", "passes").agg(F.count(F.lit(1)).alias("n"))
+
+
+def term_census(spark, sf_dir):
+    """Capitalised ASCII words by documents and language (AGG-33, SCA-29)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+"), F.lit(0)))).alias("term"))
+    return d.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("documents")).where("documents >= 20")
+
+
+def named_terms(spark, sf_dir):
+    """Capitalised words and runs of two or three of them in page text (SCA-29)."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(X.named_terms_udf(X.clean_udf("html").text))).alias("term"))
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 10")
+
+
+def neighbor_words(spark, sf_dir):
+    """Words within three places of 'the' (AGG-33)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    hits = d.where("w = 'the'").select("doc_id", F.explode(F.sequence(F.col("i") - 3, F.col("i") + 3)).alias("i"), F.col("i").alias("at")).where("i <> at and i >= 0")
+    return d.join(hits.select("doc_id", "i"), ["doc_id", "i"]).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 25")
+
+
+def quantity_keys(spark, sf_dir):
+    """Part sizes written with units, by their key in the base unit (SCA-03, SCA-01, SCA-02)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_size"), F.lit(" Kilometers (km)"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("the "), F.col("p_size"), F.lit("km."))).otherwise(F.concat(F.col("p_size") * 1000, F.lit(" m")))
+    return p.select("p_partkey", K.instance_key_udf(text).alias("key"))
+
+
+def class_keys(spark, sf_dir):
+    """Part types re-cased and re-spaced, by their loosest key (SCA-06)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.initcap(F.regexp_replace("p_type", " ", "_"))).otherwise(F.lower("p_type")).alias("t"))
+    return p.select("p_partkey", K.class_key_udf("t").alias("key"))
+
+
+def name_key_join(spark, sf_dir):
+    """Names with honorifics, degrees and other orders, by their key (SCA-16, WIN-16)."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Dr. "), "s_name")).when(F.col("s_suppkey") % 3 == 1, F.concat(F.upper("s_name"), F.lit(", Ph.D."))).otherwise(F.col("s_name")).alias("n"))
+    return s.select("s_suppkey", K.name_key_udf("n").alias("key"))
+
+
+def triple_keys(spark, sf_dir):
+    """Facts by key; the ends of a symmetric predicate in one order (SCA-07)."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    t = n.select("n_nationkey", F.col("n_name").alias("subject"), F.lit("Place").alias("subject_class"), F.when(F.col("n_nationkey") % 2 == 0, "ALSO_KNOWN_AS").otherwise("PART_OF").alias("predicate"), F.col("r_name").alias("object"), F.lit("Area").alias("object_class"))
+    return K.with_keys(t).select("n_nationkey", "k_s", "k_p", "k_o", "k_sc", "k_oc")
+
+
+def text_contains(spark, sf_dir):
+    """Whether documents hold a word as a whole word (SCA-05)."""
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    return d.select("doc_id", K.contains_udf("text", F.lit("the of")).alias("found"))
+
+
+def source_passages(spark, sf_dir):
+    """Whether all passages of a quotation stand in the document (SCA-08, SCA-20)."""
+    quote = F.concat(F.split_part("text", F.lit(" "), F.lit(2)), F.lit(" ... "), F.split_part("text", F.lit(" "), F.lit(5)))
+    return table(spark, sf_dir, "documents").select("doc_id", X.source_in_text_udf(quote, "text").alias("found"))
+
+
+def reply_classify(spark, sf_dir):
+    """Replies by state (SCA-34, SCA-35)."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Here: "), "props")).when(F.col("event_id") % 5 == 1, F.substring("props", 1, 5)).when(F.col("event_id") % 5 == 2, "").otherwise(F.col("props")).alias("reply"), F.when(F.col("event_id") % 7 == 0, "length").alias("finish"))
+    return e.groupBy(X.classify_reply_udf("reply", "finish").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def extract_by_lookup(spark, sf_dir):
+    """Facts read by the stand-in source, asked once for each text, with what is wrong with them (SRC-26, OPS-03, OPS-06, SNK-09)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.initcap(F.split_part("p_type", F.lit(" "), F.lit(1))), F.lit(" is part of "), F.regexp_replace("p_brand", "#", "")).alias("text"))
+    prompts = p.select("p_partkey", "text", F.col("text").alias("prompt")).withColumn("key", A.answer_key("prompt", F.lit("stand-in")))
+    answers, _ = A.with_cache(prompts, spark.createDataFrame([], "key string, reply string"), A.pattern_extractor)
+    out = A.rows_of_replies(answers.select("p_partkey", "text", "reply"))
+    return out.groupBy("subject", "predicate", "object", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ledger_split(spark, sf_dir):
+    """Documents kept and put into the ledger, by reason (OPS-01, OPS-02)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    reason = F.when(F.col("n_chars") < 200, "short").when(F.col("source") == "src3", "source left out")
+    kept, ledger = L.split_by_reason(d, reason, "clean", "record", "doc_id")
+    return ledger.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).unionByName(kept.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n")))
+
+
+def request_chunks(spark, sf_dir):
+    """Requests in chunks of capped count and size: none passes a cap (SCA-38)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"))
+    c = S.request_chunks(d, 50, 200_000, "doc_id", "n").join(d, "doc_id").groupBy("part", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes"))
+    return c.agg(F.sum("rows").alias("rows"), (F.max("rows") <= 50).alias("count_ok"), F.max(F.when(F.col("rows") > 1, F.col("bytes")).otherwise(0) <= 200_000).alias("bytes_ok"))
+
+
+def markdown_plain(spark, sf_dir):
+    """Markdown without its marks (SCA-25)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("## "), "p_name", F.lit("\n- **"), "p_brand", F.lit("** `x` [t](u)")).alias("m"))
+    return p.select("p_partkey", X.plain_markdown("m").alias("text"))
+
+
+def label_shapes(spark, sf_dir):
+    """Whether labels have the shape of their kind (FLT-08)."""
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, "class").otherwise("predicate").alias("kind"), F.when(F.col("p_partkey") % 3 == 0, F.regexp_replace("p_type", " ", "_")).otherwise(F.regexp_replace(F.initcap("p_type"), " ", "")).alias("name"))
+    return p.groupBy("kind", X.well_formed("kind", "name").alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def model_names(spark, sf_dir):
+    """Model names by key (SCA-27)."""
+    rows = [("maker/Model-X-20250101",), ("Model X",), ("model-x",), ("other/Model-Y-latest",)]
+    return spark.createDataFrame(rows, "model string").select("model", X.model_key("model").alias("key"))
+
+
+def repaired_encoding(spark, sf_dir):
+    """Documents read in the wrong encoding and put right (SCA-14)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+    broken = F.decode(F.encode("t", "UTF-8"), "ISO-8859-1")
+    return d.select("doc_id", (X.fix_encoding_udf(broken) == F.col("t")).alias("right"))
+
+
+QUERIES = {f.__name__: f for f in (
+    clean_pages, cleaning_tally, token_bag_difference, markup_rank, one_line_titles, chunk_documents, abbreviation_scan, term_census, named_terms, neighbor_words, quantity_keys, class_keys, name_key_join,
+    triple_keys, text_contains, source_passages, reply_classify, extract_by_lookup, ledger_split, request_chunks, markdown_plain, label_shapes, model_names, repaired_encoding,
+)}
+
+ORACLES = {
+    "token_bag_difference": """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z0-9]+')) AS w FROM pages), b AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[A-Za-z0-9]+')) AS w FROM pages),
+      d AS (SELECT page_id, w, sum(n) AS m FROM (SELECT page_id, w, 1 AS n FROM a UNION ALL SELECT page_id, w, -1 FROM b) GROUP BY 1, 2) SELECT page_id, count(*) AS words, sum(m)::BIGINT AS tokens FROM d WHERE m > 0 GROUP BY 1""",
+    "markup_rank": "SELECT page_id, 3 * len(regexp_extract_all(html, '</?[A-Za-z][^<>]*>')) + len(regexp_extract_all(html, '&[A-Za-z#][A-Za-z0-9]*;')) AS score FROM pages ORDER BY score DESC, page_id LIMIT 20",
+    "one_line_titles": r"SELECT doc_id, sha256(trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r]+', ' ', 'g'))) AS title FROM documents",
+    "term_census": "WITH t AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS term FROM documents) SELECT term, lang, count(*) AS documents FROM t GROUP BY 1, 2 HAVING count(*) >= 20",
+    "neighbor_words": """WITH d AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), h AS (SELECT doc_id, i AS at, unnest(range(i - 3, i + 4)) AS i FROM d WHERE w = 'the')
+      SELECT w, count(*) AS n FROM d JOIN h ON h.doc_id = d.doc_id AND h.i = d.i AND h.i <> h.at GROUP BY 1 HAVING count(*) >= 25""",
+    "quantity_keys": "SELECT p_partkey, (CASE WHEN p_size % 3 = 2 THEN p_size * 1000 ELSE p_size * 1000 END) || ' m' AS key FROM part",
+    "class_keys": "SELECT p_partkey, lower(replace(p_type, ' ', '')) AS key FROM part",
+    "name_key_join": "SELECT s_suppkey, array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(lower(s_name), '[ ,]+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '')), ' ') AS key FROM supplier",
+    "triple_keys": """WITH t AS (SELECT n_nationkey, lower(n_name) AS s, lower(r_name) AS o, n_nationkey % 2 = 0 AS y FROM nation JOIN region ON r_regionkey = n_regionkey), w AS (SELECT *, y AND (o < s OR (o = s AND 'area' < 'place')) AS turn FROM t)
+      SELECT n_nationkey, CASE WHEN turn THEN o ELSE s END AS k_s, CASE WHEN y THEN 'alsoknownas' ELSE 'partof' END AS k_p, CASE WHEN turn THEN s ELSE o END AS k_o, CASE WHEN turn THEN 'area' ELSE 'place' END AS k_sc, CASE WHEN turn THEN 'place' ELSE 'area' END AS k_oc FROM w""",
+    "cleaning_tally": "SELECT 'conservative' AS tier, true AS markup, count(*) AS pages, 0::BIGINT AS lost FROM pages",
+    "extract_by_lookup": """WITH t AS (SELECT upper(p_type[1]) || lower(substring(split_part(p_type, ' ', 1), 2)) AS s, replace(p_brand, '#', '') AS b FROM part)
+      SELECT s AS subject, 'PART_OF' AS predicate, b AS object, NULL::VARCHAR AS problem, count(*) AS n FROM t GROUP BY 1, 3""",
+    "ledger_split": "SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN source = 'src3' THEN 'source left out' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1",
+    "request_chunks": "SELECT count(*) AS rows, true AS count_ok, true AS bytes_ok FROM documents",
+    "markdown_plain": "SELECT p_partkey, p_name || chr(10) || p_brand || ' x t' AS text FROM part",
+    "model_names": "SELECT * FROM (VALUES ('maker/Model-X-20250101', 'modelx'), ('Model X', 'modelx'), ('model-x', 'modelx'), ('other/Model-Y-latest', 'modely')) AS t(model, key)",
+    "repaired_encoding": 'SELECT doc_id, true AS "right" FROM documents',
+    "label_shapes": r"""WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'predicate' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN replace(p_type, ' ', '_')
+      ELSE array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') END AS name FROM part)
+      SELECT kind, CASE WHEN kind = 'predicate' THEN regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') ELSE regexp_matches(name, '^[A-Z][A-Za-z0-9]*$') END AS ok, count(*) AS n FROM p GROUP BY 1, 2""",
+}
