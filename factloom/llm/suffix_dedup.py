@@ -389,21 +389,31 @@ class Family:
             return
         most_left, most_right = most_left[live], most_right[live]
         got = np.full((len(live), 2), -1, np.int32)
-        for lo in range(int((s.length - most_right).clip(0).min()), int(most_left.max()) + 1, 64):
-            shifts = np.arange(lo, min(lo + 64, int(most_left.max()) + 1))
-            start = half - shifts
-            sums = self.sums(ctx[live], start)
-            for c, shift in enumerate(shifts):
-                ok = np.flatnonzero((most_left >= shift) & (most_right >= s.length - shift))
-                if len(ok) < 2:
-                    continue
-                h = np.sort(sums[ok, c])
-                twice = h[1:][h[1:] == h[:-1]]
-                if not len(twice):
-                    continue
-                ok = ok[np.isin(sums[ok, c], twice)]
-                got[ok, 0] = np.maximum(got[ok, 0], shift)
-                got[ok, 1] = np.maximum(got[ok, 1], s.length - shift)
+        first, last = int((s.length - most_right).clip(0).min()), int(most_left.max())
+        ctx = ctx[live]
+        step = 64 if len(live) <= 4096 else 8
+        for lo in range(first, last + 1, step):
+            shifts = np.arange(lo, min(lo + step, last + 1))
+            able = (most_left[:, None] >= shifts) & (most_right[:, None] >= s.length - shifts)
+            rows = np.flatnonzero(able.any(1))
+            if len(rows) < 2:
+                continue
+            able = able[rows]
+            h = self.sums(ctx[rows], half - shifts)
+            # who cannot have a window gets a number of its own
+            h = np.where(able, h, np.arange(len(rows), dtype=U64)[:, None])
+            order = np.argsort(h, axis=0)
+            y = np.take_along_axis(h, order, 0)
+            same = np.zeros(y.shape, bool)
+            same[1:] = y[1:] == y[:-1]
+            same[:-1] |= same[1:]
+            twice = np.zeros(y.shape, bool)
+            np.put_along_axis(twice, order, same, 0)
+            twice &= able
+            hit = np.flatnonzero(twice.any(1))
+            at, twice = rows[hit], twice[hit]
+            got[at, 0] = np.maximum(got[at, 0], shifts[len(shifts) - 1 - twice[:, ::-1].argmax(1)])
+            got[at, 1] = np.maximum(got[at, 1], s.length - shifts[twice.argmax(1)])
         at = i if b is None else np.concatenate([i, j])
         at, n = at[live], len(i)
         mine = live < n
