@@ -10,7 +10,7 @@ than the penalty, the best single language is the best path.
 Learning uses only texts with a language, at most about `most_docs` of them (chosen by hash of the id); tables hold at most
 `most_words` words and 2^17 trigram cells per language. Nothing but the text enters a prediction.
 
-Null texts and texts without a letter are `und` with score 0. Without labelled texts everything is `und`.
+Null texts and texts without a letter are `und` with score 0. Without labelled texts that have letters everything is `und`.
 Every row is predicted by itself, so repeated rows agree.
 """
 
@@ -129,6 +129,8 @@ class Model:
         frequent = counts.where("kind = 1").groupBy("item").agg(F.sum("n").alias("t")).where("t > 1").orderBy(F.desc("t"), "item").limit(s.most_words).select("item")
         known = counts.where("kind = 1").join(F.broadcast(frequent), "item").select("lang", "kind", "item", "n")
         got = counts.where("kind <> 1").unionByName(known).toPandas()
+        if got.empty:
+            return None
         langs = sorted(got.lang.unique())
         at = got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy()
         kind, item, n = (got[c].to_numpy() for c in ("kind", "item", "n"))
