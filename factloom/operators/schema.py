@@ -6,7 +6,7 @@ after their rows are counted, and joined plainly beyond the limit.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from math import comb, lgamma
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,11 +45,13 @@ def _expected(texts: int, least: int):
     return run
 
 
-def saturation(support: DataFrame, texts: int, points: Iterable[int], least: int) -> DataFrame:
-    """texts, expected: entries expected to reach `least` texts in random subsets of so many texts. AGG-27.
+def saturation(support: DataFrame, texts: int, points: Sequence[int], least: int) -> DataFrame:
+    """texts, expected: entries expected to reach `least` texts in random subsets of so many texts, all at most. AGG-27.
 
     The hypergeometric lower tail has `least` terms; entries of equal support are counted once.
     """
+    if any(not 0 < p <= texts for p in points):
+        raise ValueError("a subset has between one and all texts")
     sizes = support.groupBy("support").agg(F.count(F.lit(1)).alias("n"))
     at = support.sparkSession.createDataFrame([(int(p),) for p in points], "k long")
     both = sizes.crossJoin(F.broadcast(at))  # the points are given

@@ -42,7 +42,7 @@ def saturation_curve(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("support"))
     n = docs.count()
-    out = S.saturation(words, n, [25, 50, 100, n], 2)
+    out = S.saturation(words, n, [*(k for k in (25, 50, 100) if k < n), n], 2)
     return out.select("texts", F.round("expected", 3).alias("expected"))
 
 
@@ -251,7 +251,7 @@ ORACLES = {
     "breadth_table": f"""WITH {FACTS_SQL}, e AS (SELECT s || ' ' || (id % 40) AS entry, count(DISTINCT id) AS support, count(DISTINCT o) AS m FROM f GROUP BY 1)
       SELECT CASE m WHEN 1 THEN '1' WHEN 2 THEN '2' ELSE '3 or more' END AS found_in, count(*) AS entries FROM e WHERE support >= 2 GROUP BY 1""",
     "saturation_curve": """WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), w AS (SELECT w, count(*)::DOUBLE AS f FROM (SELECT unnest(list_distinct(string_split(text, ' '))) AS w FROM d) GROUP BY 1),
-      n AS (SELECT count(*)::DOUBLE AS n FROM d), k AS (SELECT unnest([25.0, 50.0, 100.0, (SELECT n FROM n)])::DOUBLE AS k), x AS (SELECT unnest([0.0, 1.0]) AS x),
+      n AS (SELECT count(*)::DOUBLE AS n FROM d), k AS (SELECT DISTINCT k FROM (SELECT unnest([25.0, 50.0, 100.0, (SELECT n FROM n)])::DOUBLE AS k) WHERE k <= (SELECT n FROM n)), x AS (SELECT unnest([0.0, 1.0]) AS x),
       s AS (SELECT f, count(*) AS c FROM w GROUP BY 1),
       t AS (SELECT f, c, k, sum(CASE WHEN f >= x AND k >= x AND n - f >= k - x THEN exp(lgamma(f + 1) - lgamma(x + 1) - lgamma(f - x + 1) + lgamma(n - f + 1) - lgamma(k - x + 1) - lgamma(n - f - k + x + 1)
         - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) ELSE 0 END) AS below FROM s, k, x, n GROUP BY 1, 2, 3)
