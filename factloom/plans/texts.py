@@ -159,8 +159,8 @@ def label_shapes(spark, sf_dir):
 
 def model_names(spark, sf_dir):
     """Model names by key (SCA-27)."""
-    rows = [("maker/Model-X-20250101",), ("Model X",), ("model-x",), ("other/Model-Y-latest",)]
-    return spark.createDataFrame(rows, "model string").select("model", X.model_key("model").alias("key"))
+    rows = [("google-claude-x-5.5",), ("Claude X 5-5",), ("claude_x/5.5",), ("other:model",), ("GPT-5",)]
+    return spark.createDataFrame(rows, "model string").select("model", X.model_key("model").alias("key"), X.model_maker("model").alias("maker"))
 
 
 def repaired_encoding(spark, sf_dir):
@@ -194,7 +194,7 @@ ORACLES = {
     "ledger_split": "SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN source = 'src3' THEN 'source left out' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1",
     "request_chunks": "SELECT count(*) AS rows, true AS count_ok, true AS bytes_ok FROM documents",
     "markdown_plain": "SELECT p_partkey, p_name || chr(10) || p_brand || ' x t' AS text FROM part",
-    "model_names": "SELECT * FROM (VALUES ('maker/Model-X-20250101', 'modelx'), ('Model X', 'modelx'), ('model-x', 'modelx'), ('other/Model-Y-latest', 'modely')) AS t(model, key)",
+    "model_names": "SELECT * FROM (VALUES ('google-claude-x-5.5', 'google-claude-x-5-5', 'Anthropic'), ('Claude X 5-5', 'claude-x-5-5', 'Anthropic'), ('claude_x/5.5', 'claude-x-5-5', 'Anthropic'), ('other:model', 'other-model', NULL), ('GPT-5', 'gpt-5', 'OpenAI')) AS t(model, key, maker)",
     "repaired_encoding": 'SELECT doc_id, true AS "right" FROM documents',
     "label_shapes": r"""WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'predicate' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN replace(p_type, ' ', '_')
       ELSE array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') END AS name FROM part)

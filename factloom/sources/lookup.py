@@ -79,7 +79,7 @@ def rows_of_replies(answers: DataFrame) -> DataFrame:
         out = []
         for reply, text in zip(replies, texts, strict=True):
             state, value = X.find_json(reply)
-            rows = value.get("triples") if state == "found" and isinstance(value, dict) else None
+            rows = value.get("triples") if state == "object" and isinstance(value, dict) else None
             held, found = Lookup(text), []
             if not isinstance(rows, list):
                 found.append(dict.fromkeys(("subject", "predicate", "object", "source_text")) | {"problem": f"reply {X.classify_reply(reply)}"})

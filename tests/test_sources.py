@@ -75,30 +75,44 @@ def test_emails(spark, tmp_path):
     assert S.joined_parts(m.where("subject like '%1 of%'"), ["address"]).count() == 0
 
 
-SCHEMA = """ENTITY CLASSES
-Instrument: a device
+SCHEMA = """# comment
+ENTITY CLASSES
+--------------
+Instrument        a device
+                  rule 19: standalone
 Aqua
+instrument        again
+
 PREDICATES
-ABOARD: is carried by
-  only: Instrument -> Spacecraft; any -> Platform
-  source: text #3
-  held-out only
+----------
+(some explanation)
+
+ABOARD            is carried by
+                  Instrument -> Spacecraft; Probe -> Spacecraft
+                  only: Instrument -> Spacecraft; any -> Platform
+                  source: text #3
+                  held-out only
 PATTERNS
-ABOARD
-  Instrument -> Spacecraft
-!! nobody reads this
+--------
+Instrument ABOARD Mission
+                  source: mentor
+!! nobody reads this line
 """
 
 
 def test_schema_text(spark):
     s = P.parse_schema(SCHEMA)
     assert s.classes == {"Instrument": "a device", "Aqua": ""} and s.pins == {"ABOARD": [("Instrument", "Spacecraft"), ("any", "Platform")]}
-    assert s.patterns == [("Instrument", "ABOARD", "Spacecraft")] and s.sources == {"ABOARD": ["text #3"]} and s.marks == {"ABOARD": ["held-out only"]} and s.unread == [(12, "!! nobody reads this")]
-    assert s.frames(spark)["pins"].count() == 2
-    j = P.parse_schema_json(json.dumps({"entity_classes": {"A": "x"}, "predicates": {"R": ""}, "patterns": [["A", "R", "A"]], "pinned": {"R": [["A", "any"]]}}))
-    assert j.patterns == [("A", "R", "A")] and j.pins == {"R": [("A", "any")]}
-    with pytest.raises(ValueError):
-        P.parse_schema_json("[]")
+    assert s.patterns == [("Instrument", "ABOARD", "Spacecraft"), ("Probe", "ABOARD", "Spacecraft"), ("Instrument", "ABOARD", "Mission")]
+    assert s.sources == {"ABOARD": "text #3", "Instrument ABOARD Mission": "mentor"} and s.held_out == {"ABOARD"} and s.marks == {"Instrument": "rule 19: standalone"}
+    assert [n for n, _ in s.unread] == [7, 11, 22]
+    assert s.frames(spark)["pins"].count() == 2 and s.frames(spark)["marks"].count() == 2
+    entries = [{"component_class": "A", "definition": "x"}, {"component_class": "a"}]
+    j = P.parse_schema_json(json.dumps({"entity_classes": entries, "predicates": [], "patterns": [["A", "R", "A"]], "pinned": {"R": [["A", "any"]]}}))
+    assert j.classes == {"A": "x"} and j.patterns == [("A", "R", "A")] and j.pins == {"R": [("A", "any")]} and j.unread
+    for bad in ("[]", "{}", '{"entity_classes": [{}], "predicates": []}', '{"entity_classes": [], "predicates": [], "pinned": {"R": []}}'):
+        with pytest.raises(ValueError):
+            P.parse_schema_json(bad)
     qs, bad = P.parse_questions("intro\n## 2. Which?\nText\n**Ann:** yes\n## 1. Again\n\n")
     assert qs[0].answers == (("Ann", "yes"),) and bad == ["question 1 is out of order", "question 1 is empty"]
 

@@ -73,29 +73,33 @@ def test_slot(v, text, out):
 
 @pytest.mark.parametrize(
     ("reply", "state"),
-    [('{"a": 1}', "found"), ('Sure:\n```json\n{"a": {"b": 2}}\n```', "found"), ("no json", "none"), ('{"a": [1, 2', "unterminated"), ('{"a": 1} {"b": 2}', "several"), ("{a: 1} rest", "invalid")],
+    [('{"a": 1}', "object"), ('```json\n{"a": {"b": 2}}\n```', "object"), ('Sure: {"a": 1} ok', "object"), ("no json", "none"), ('{"a": [1, "x}', "unterminated"), ('{"a": 1} {"b": 2}', "several"), ("{a: 1} rest", "invalid")],
 )
 def test_find_json(reply, state):
     assert X.find_json(reply)[0] == state
 
 
 def test_replies():
-    assert X.classify_reply('{"a": 1}') == "complete" and X.classify_reply("", None) == "empty" and X.classify_reply("x", "length") == "cut off"
-    assert X.classify_reply("no", "content_filter") == "refused" and X.classify_reply("prose") == "malformed"
+    assert X.classify_reply('{"a": 1}') == "complete" and X.classify_reply("", None) == "empty" and X.classify_reply("x", "length") == "cut_off" and X.classify_reply('{"a": 1') == "cut_off" and X.classify_reply('{"a": 1', "stop") == "malformed"
+    assert X.classify_reply("no", "content_filter") == "refused" and X.classify_reply("I can't help with that.") == "refused" and X.classify_reply("prose") == "malformed"
     assert X.has_fields({"a": 1}, a=int) and not X.has_fields({"a": True}, a=int)
     assert X.match_reply(["Aqua", "terra sat"], {"Aqua": 1, "Terra  Sat": 2, "TERRA SAT": 3}) == {"Aqua": 1, "terra sat": 2}
 
 
 def test_small_things():
-    assert X.slash_lists("Terra/Aqua at 5 m/s on 1/2/2020, see http://a/b") == [["Terra", "Aqua"]]
+    got = X.slash_lists("Level 2/3 (EDR/RDR) of Terra/Aqua, see http://a/b; Terra rose, Aqua fell")
+    assert got == [("2/3 (EDR/RDR", [("2", "EDR"), ("3", "RDR")], False), ("Terra/Aqua", [("Terra",), ("Aqua",)], True)]
+    assert X.slash_splits("Level 2/3 (EDR/RDR) data", ["EDR data", "Level 2/3 (EDR/RDR)", "data"]) == [True, False, False]
     assert "Big Blue Sea" in X.named_terms("the Big Blue Sea is")
     assert X.word_diff("a b c", "a x c") == [("same", "a"), ("only a", "b"), ("only b", "x"), ("same", "c")]
     assert X.fix_encoding("cafÃ©") == "café" and X.fix_encoding("café") == "café"
-    assert X.class_spellings("SeaBody") == ["sea body", "sea bodies"]
+    assert X.class_spellings("SeaBody") == ["SeaBody", "SeaBodys", "SeaBodyes", "SeaBodies"]
+    assert X.unnamed_pins("holds one of the Channels", [("Channel", "any"), ("Grid", "Channel")]) == ["Grid"]
+    assert X.stray_classes("a DataSet near DataSets and SeaBody", {"DataSet"}) == ["SeaBody"]
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([("&lt;b&gt;x&lt;/b&gt; y", "**bold** [t](u)", "Maker/Model-X-20250101")], "raw string, md string, m string")
+    df = spark.createDataFrame([("&lt;b&gt;x&lt;/b&gt; y", "**bold** [t](u)", "Claude Model-X.5")], "raw string, md string, m string")
     r = df.select(X.clean_udf("raw").alias("c"), X.plain_markdown("md").alias("p"), X.model_key("m").alias("k"), X.source_in_text_udf(F.lit("x ... y"), "raw").alias("s")).first()
-    assert r.c.text == "x y" and r.c.lost == 0 and r.p == "bold t" and r.k == "modelx" and r.s
+    assert r.c.text == "x y" and r.c.lost == 0 and r.p == "bold t" and r.k == "claude-model-x-5" and r.s
     assert df.select(X.well_formed(F.lit("predicate"), F.lit("HAS_PART")).alias("a"), X.well_formed(F.lit("class"), F.lit("has part")).alias("b")).first() == (True, False)
