@@ -60,11 +60,6 @@ def small_enough(df: DataFrame, limit_rows: int) -> bool:
     return df.count() <= limit_rows
 
 
-def keep_only(df: DataFrame, ids: DataFrame, key: str, limit_rows: int = 1_000_000) -> DataFrame:
-    """Rows of df whose key is in `ids` (stored): broadcast up to limit_rows keys, else a shuffled semi join."""
-    return df.join(F.broadcast(ids) if small_enough(ids, limit_rows) else ids, key, "left_semi")
-
-
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): each node of an edge with the smallest node it reaches.
 

@@ -49,21 +49,17 @@ def vectors(batch: pa.RecordBatch, column: str = "embedding", dim: int | None =
     return rows[fine], grid[fine]
 
 
-def _survey(is_query: bool):
-    def run(batches):
-        for b in batches:
-            rows, size = vectors(b)
-            q = np.asarray(b.column("is_query").fill_null(False))[rows]
-            for d in np.unique(size):
-                take = b.take(pa.array(rows[size == d]))
-                _, x = vectors(take, dim=int(d))
-                y = np.floor(SCALE * x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(d)], pa.int64()), pa.array([len(y)], pa.int64()), pa.array([int(q[size == d].sum())], pa.int64()), pa.array([float((y * y).sum(1).max(initial=0))])],
-                    ["dim", "n", "n_q", "m2"],
-                )
-
-    return run
+def _survey(batches):
+    """Whole vectors, queries among them and the largest squared norm, by length."""
+    for b in batches:
+        rows, size = vectors(b)
+        q = np.asarray(b.column("is_query").fill_null(False))[rows]
+        for d in np.unique(size):
+            _, x = vectors(b.take(pa.array(rows[size == d])), dim=int(d))
+            y = np.floor(SCALE * x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(d)], pa.int64()), pa.array([len(y)], pa.int64()), pa.array([int(q[size == d].sum())], pa.int64()), pa.array([float((y * y).sum(1).max(initial=0))])], ["dim", "n", "n_q", "m2"]
+            )
 
 
 class Space:
@@ -217,7 +213,7 @@ def topk_search(table: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     scratch = Scratch(spark)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query")).where("vec_id is not null and embedding is not null")
     result = "query_id long, vec_id long, score long"
-    seen = rows.mapInArrow(_survey(True), "dim long, n long, n_q long, m2 double").groupBy("dim").agg(F.sum("n").alias("n"), F.sum("n_q").alias("n_q"), F.max("m2").alias("m2"))
+    seen = rows.mapInArrow(_survey, "dim long, n long, n_q long, m2 double").groupBy("dim").agg(F.sum("n").alias("n"), F.sum("n_q").alias("n_q"), F.max("m2").alias("m2"))
     top = seen.orderBy(F.desc("n"), "dim").first()
     if top is None or not top.n_q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
