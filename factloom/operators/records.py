@@ -66,3 +66,45 @@ def out_of_date(steps: DataFrame, inputs: DataFrame) -> DataFrame:
     """step, waiting: how many inputs changed since the step ran. AGG-40. steps: step, ran_at. inputs: step, changed_at."""
     j = steps.join(inputs, "step", "left")
     return j.groupBy("step").agg(F.count(F.when(F.col("changed_at") > F.col("ran_at"), 1)).alias("waiting"), F.max(F.col("ran_at").isNull()).alias("never_ran"))
+
+
+def row_errors(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """rows with errors: incomplete, id unknown, no source text, source not in text, several describes rows. FLT-04.
+
+    records: id, text. The text is joined once for each row and read in Arrow batches.
+    """
+    slots = ("subject", "subject_class", "predicate", "object", "object_class")
+    blank = F.lit(False)
+    for s in slots:
+        blank |= F.coalesce(F.trim(s), F.lit("")) == ""
+    is_it = K.class_key_udf("predicate") == K.class_key(ENTRY_PREDICATE)
+    marked = rows.withColumn("_it", is_it)
+    many = marked.where("_it").groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    out = marked.join(records.select("id", F.col("text").alias("_text"), F.lit(True).alias("_known")), "id", "left").join(many, "id", "left")
+    no_source = F.coalesce(F.trim("source_text"), F.lit("")) == ""
+    errors = F.array_compact(F.array(
+        F.when(blank, "incomplete"), F.when(F.col("_known").isNull(), "id unknown"), F.when(no_source & ~F.col("_it"), "no source text"),
+        F.when(~no_source & ~F.col("_it") & F.col("_known").isNotNull() & ~X.source_in_text_udf("source_text", "_text"), "source not in text"), F.when(F.col("_it") & F.col("_n").isNotNull(), "several describes rows"),
+    ))
+    return out.select(*rows.columns, errors.alias("errors"))
+
+
+def unlinked_rows(rows: DataFrame) -> DataFrame:
+    """Facts that no chain of shared instances links to their record's id. SET-08. rows: id, subject, object and more.
+
+    A group is one record's facts.
+    """
+    import pandas as pd
+
+    def far(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = [(K.instance_key(s), K.instance_key(o)) for s, o in zip(pdf["subject"], pdf["object"], strict=True)]
+        reached, grew = {K.instance_key(str(pdf["id"].iloc[0]))}, True
+        while grew:
+            before = len(reached)
+            for a, b in ends:
+                if a in reached or b in reached:
+                    reached |= {a, b}
+            grew = len(reached) > before
+        return pdf[[a not in reached for a, _ in ends]]
+
+    return rows.groupBy("id").applyInPandas(far, rows.schema)

@@ -296,3 +296,18 @@ def request_chunks(sizes: DataFrame, most_count: int, most_bytes: int, key: str,
 def hypergeometric_tail(texts: int, found: int, drawn: int, least: int) -> float:
     """The exact value that `saturation` computes in logarithms; for tests."""
     return sum(comb(found, x) * comb(texts - found, drawn - x) for x in range(least, min(found, drawn) + 1) if drawn - x <= texts - found) / comb(texts, drawn)
+
+
+def induced_support(triples: DataFrame, labels: DataFrame, titles: DataFrame) -> DataFrame:
+    """kind, entry, support, maintainers of classes, predicates and patterns from labelled triples. AGG-01.
+
+    triples: text, maintainer, subject, predicate, object. labels: name, label. titles: text, maintainer, label (the class a text describes).
+    A slot without a label loses only its own entry and its pattern; a title counts once for its class; texts count, not occurrences.
+    """
+    t = with_labels(triples, labels)
+    entry = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("entry"))
+    s, p, o = (F.col(f"{x}_label") for x in ("subject", "predicate", "object"))
+    whole = F.when(s.isNotNull() & p.isNotNull() & o.isNotNull(), F.concat_ws(" ", s, p, o))
+    entries = F.array(entry("class", s), entry("class", o), entry("predicate", p), entry("pattern", whole))
+    rows = t.select("text", "maintainer", F.inline(entries)).unionByName(titles.select("text", "maintainer", F.lit("class").alias("kind"), F.col("label").alias("entry")))
+    return support_counts(rows.where("entry is not null"), ["kind", "entry"], "text", "maintainer")

@@ -73,7 +73,29 @@ def quantity_words(spark, sf_dir):
     return p.select("p_partkey", F.array_join(quantity_words_udf("t"), "|").alias("words"))
 
 
-QUERIES = {f.__name__: f for f in (describes_rows, describes_problems, clean_field_columns, export_instances, pin_keys, consolidated_names, status_counts, wrong_row_bounds, t_quantiles, quantity_words)}
+def _order_facts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    head = F.when(F.col("l_linenumber") <= 2, F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))).otherwise(F.concat(F.lit("part "), (F.col("l_linenumber") % 3).cast("string")))
+    return li.select(
+        F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("id"), "l_linenumber", head.alias("subject"), F.lit("Item").alias("subject_class"), F.lit("HAS").alias("predicate"),
+        F.concat(F.lit("part "), (F.col("l_linenumber") + 1).cast("string")).alias("object"), F.when(F.col("l_linenumber") == 4, "").otherwise("Item").alias("object_class"),
+        F.when(F.col("l_linenumber") == 3, F.lit(None)).otherwise(F.concat(F.lit("flag "), "l_returnflag")).alias("source_text"),
+    )
+
+
+def row_errors(spark, sf_dir):
+    """Errors of facts against their record's text (FLT-04)."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("id"), F.lit("sold with flag N; and flag R.").alias("text"))
+    return R.row_errors(_order_facts(spark, sf_dir).drop("l_linenumber"), o).groupBy(F.array_join("errors", ", ").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unlinked_rows(spark, sf_dir):
+    """Facts that nothing links to their record (SET-08)."""
+    rows = _order_facts(spark, sf_dir).where("l_linenumber <> 3").select("id", "subject", "object", "l_linenumber")
+    return R.unlinked_rows(rows).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (describes_rows, describes_problems, clean_field_columns, export_instances, pin_keys, consolidated_names, status_counts, wrong_row_bounds, t_quantiles, quantity_words, row_errors, unlinked_rows)}
 
 _ROWS = r"""s AS (SELECT s_suppkey::VARCHAR AS id, trim(regexp_replace('  ' || regexp_replace(s_name, '#', '  ', 'g') || ' ', '\s+', ' ', 'g')) AS t, CASE WHEN s_suppkey % 4 = 0 THEN 'X' ELSE 'Supplier' END AS c, s_suppkey AS k FROM supplier)"""
 ORACLES = {
@@ -87,6 +109,8 @@ ORACLES = {
       SELECT key, first(t ORDER BY n DESC, t) AS name, sum(n)::BIGINT AS rows, count(*) AS spellings, count(*) > 1 AS merged FROM n GROUP BY 1""",
     "status_counts": """WITH s AS (SELECT l_suppkey AS step, max(l_shipdate) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
       SELECT step, count(*) FILTER (l_shipdate > r) AS waiting, false AS never_ran FROM s JOIN lineitem ON l_suppkey = step GROUP BY 1""",
+    "row_errors": """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, l_returnflag AS f FROM lineitem WHERE l_orderkey % 5 = 0)
+      SELECT concat_ws(', ', CASE WHEN i = 4 THEN 'incomplete' END, CASE WHEN k % 10 <> 0 THEN 'id unknown' END, CASE WHEN i = 3 THEN 'no source text' END, CASE WHEN i <> 3 AND k % 10 = 0 AND f = 'A' THEN 'source not in text' END) AS errors, count(*) AS n FROM l GROUP BY 1""",
     "t_quantiles": "SELECT * FROM (VALUES (1, 12.7062::DOUBLE), (2, 4.3027), (5, 2.5706), (10, 2.2281), (19, 2.0930), (29, 2.0452), (99, 1.9842)) AS t(df, t)",
     "quantity_words": "SELECT p_partkey, (p_size * 1000) || ' m|' || lower(split_part(p_type, ' ', 1)) AS words FROM part",
 }

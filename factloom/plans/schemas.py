@@ -59,6 +59,14 @@ def label_lookup(spark, sf_dir):
     return out.groupBy("subject_label", "predicate_label", "object_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def induced_support(spark, sf_dir):
+    """Support of classes, predicates and patterns from partly labelled facts and titles (AGG-01)."""
+    labels = spark.createDataFrame([("BUILDING", "Sector"), ("MACHINERY", "Sector"), ("BUYS", "RELATES_TO"), ("ASIA", "Place"), ("EUROPE", "Place")], "name string, label string")
+    t = facts(spark, sf_dir).select((F.col("id") % 40).alias("text"), (F.col("id") % 7).alias("maintainer"), F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
+    titles = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 40).alias("text"), (F.col("s_suppkey") % 7).alias("maintainer"), F.lit("Supplier").alias("label"))
+    return S.induced_support(t, labels, titles)
+
+
 def pattern_validation(spark, sf_dir):
     """Facts by their schema errors (JOIN-07, FLT-04, FLT-05)."""
     t = spark.createDataFrame
@@ -237,7 +245,7 @@ def reproduction_check(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    support_counts, breadth_table, saturation_curve, representative_examples, label_lookup, pattern_validation, rule_lookup_most_specific, rule_conflicts, translate_facts, reachability_flags,
+    support_counts, breadth_table, saturation_curve, representative_examples, label_lookup, induced_support, pattern_validation, rule_lookup_most_specific, rule_conflicts, translate_facts, reachability_flags,
     schema_compare_full_outer, schema_merge, reversal_doubts, min_support_cut, conflicting_classes, table_states, held_out_leakage, rules_format, qualifier_duplicates, record_states,
     one_to_one_exact_pairs, assignment_matching, compared_projection, origin_split, partial_union_runs, stale_verdicts, guarded_row_merge, induction_trace, reproduction_check,
 )}
@@ -257,6 +265,10 @@ ORACLES = {
         - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) ELSE 0 END) AS below FROM s, k, x, n GROUP BY 1, 2, 3)
       SELECT k::BIGINT AS texts, round(sum(c * CASE WHEN f >= 2 THEN greatest(0, 1 - below) ELSE 0 END), 3) AS expected FROM t GROUP BY 1""",
     "label_lookup": f"""WITH {FACTS_SQL} SELECT CASE s WHEN 'BUILDING' THEN 'Sector' END AS subject_label, CASE p WHEN 'BUYS' THEN 'RELATES_TO' END AS predicate_label, CASE WHEN o IN ('ASIA', 'EUROPE') THEN 'Place' END AS object_label, count(*) AS n FROM f GROUP BY 1, 2, 3""",
+    "induced_support": f"""WITH {FACTS_SQL}, l AS (SELECT id % 40 AS t, id % 7 AS m, CASE WHEN s IN ('BUILDING', 'MACHINERY') THEN 'Sector' END AS s, 'RELATES_TO' AS p, CASE WHEN o IN ('ASIA', 'EUROPE') THEN 'Place' END AS o FROM f),
+      e AS (SELECT t, m, 'class' AS kind, s AS entry FROM l UNION ALL SELECT t, m, 'class', o FROM l UNION ALL SELECT t, m, 'predicate', p FROM l UNION ALL SELECT t, m, 'pattern', s || ' ' || p || ' ' || o FROM l
+        UNION ALL SELECT s_suppkey % 40, s_suppkey % 7, 'class', 'Supplier' FROM supplier)
+      SELECT kind, entry, count(DISTINCT t) AS support, count(DISTINCT m) AS maintainers FROM e WHERE entry IS NOT NULL GROUP BY 1, 2""",
     "pattern_validation": f"""WITH {FACTS_SQL}, g AS (SELECT s, CASE WHEN id % 3 = 0 THEN 'SELLS' ELSE p END AS p, o FROM f)
       SELECT concat_ws(', ', CASE WHEN s NOT IN ('BUILDING', 'MACHINERY', 'ASIA', 'EUROPE', 'AFRICA') THEN 'subject class' END, CASE WHEN o NOT IN ('BUILDING', 'MACHINERY', 'ASIA', 'EUROPE', 'AFRICA') THEN 'object class' END,
         CASE WHEN p = 'BUYS' AND NOT ((s = 'BUILDING' AND o = 'ASIA') OR (s = 'MACHINERY' AND o = 'EUROPE')) THEN 'pattern' END, CASE WHEN p = 'SELLS' AND s <> 'BUILDING' THEN 'pin' END) AS errors, count(*) AS n FROM g GROUP BY 1""",
