@@ -8,8 +8,8 @@ segment value), candidates are verified exactly on the whole sets, and linked
 documents form components.
 
 * Documents with equal sets are one class; classes, not documents, are indexed.
-* Bands grow by `BAND`; a set is indexed in its own band, and in the band below
-  if a set of that band can be similar to it.
+* Bands grow by `BAND`; a set is indexed in its own band, and in the bands below
+  whose sets can be similar to it.
 * Allocation by cost: every segment first pays for an exact match. Empty segments
   cost too much and are skipped; `slack` extra segments stand in for them. Buckets
   with more than `small` classes are resolved by stars around changing centres; those
@@ -28,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
@@ -48,6 +48,7 @@ class Setting:
     den: int = 100
     small: int = 8
     star_rounds: int = 2
+    star_keys: int = 4
     broadcast_rows: int = 1_000_000
 
 
@@ -107,8 +108,10 @@ def schemes(n: int, s: Setting) -> list[tuple[int, bool]]:
         return []
     own = int(np.searchsorted(low, n, "right")) - 1
     out = [(own, True)]
-    if own and (low[own] - 1) * s.den >= n * s.num:
-        out.append((own - 1, False))
+    for band in range(own - 1, -1, -1):
+        if (low[band + 1] - 1) * s.den < n * s.num:
+            break
+        out.append((band, False))
     return out
 
 
@@ -121,7 +124,7 @@ def set_key(hs: np.ndarray) -> int:
     """A class's number: even, so that the lowest bit is free for the role."""
     with np.errstate(over="ignore"):
         x = X.mix(hs ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) + np.uint64(len(hs)) * np.uint64(0x9FB21C651E98DF25)
-        return int(X.mix(np.array([x], np.uint64))[0]) & 0x3FFFFFFFFFFFFFFE
+        return int(X.mix(np.array([x], np.uint64))[0]) & 0x1FFFFFFFFFFFFFFE
 
 
 def _sets_of(batch: pa.RecordBatch, s: Setting):
@@ -381,15 +384,11 @@ class _Join:
         members = scratch.store(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").bitwiseAND(F.lit(-2)).alias("cls"), F.col("b").bitwiseAND(F.lit(1)).alias("own")))
         thin = scratch.store(found.where("kind = 2").select(F.col("b").bitwiseAND(F.lit(-2)).alias("cls"), F.col("b").bitwiseAND(F.lit(1)).alias("own")))
         scratch.drop(found)
-        for r in range(s.star_rounds + 1):
-            mixed = self.mixed(members, comp)
-            if mixed.isEmpty() and (r < s.star_rounds or thin.isEmpty()):
-                continue
-            more = self.verify(self.stars(mixed, r)) if r < s.star_rounds else self.uncovered(mixed, thin, comp)
-            if more.isEmpty():
-                continue
-            links = scratch.store(links.union(more).distinct())
-            comp = scratch.store(components(scratch, links))
+        if s.star_rounds and not members.isEmpty():
+            links, comp = self.more(links, comp, self.verify(self.apart(self.stars(members), comp)))
+        unpaid = self.unpaid(members, thin, comp)
+        if not unpaid.isEmpty():
+            links, comp = self.more(links, comp, self.uncovered(unpaid, comp))
         label = digests.where("n_shingles > 0").select("cls", "doc_id").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
         label = label.select("doc_id", F.coalesce("component", "cls").alias("component"))
         heads = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -399,28 +398,54 @@ class _Join:
         out = out.join(heads, "component", "left")
         return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    def mixed(self, members: DataFrame, comp: DataFrame) -> DataFrame:
-        """(key, cls, own, component) of the large buckets that hold several components."""
+    def more(self, links: DataFrame, comp: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links with new ones, and their components."""
+        if new.isEmpty():
+            return links, comp
+        links = self.scratch.store(links.union(new).distinct())
+        return links, self.scratch.store(components(self.scratch, links))
+
+    def apart(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """The pairs of different components."""
+        out = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """Pairs of large buckets' centres with their members, other centres in each round.
+
+        A set asks the centres of `star_keys` of its buckets in each round: the rounds only spare the exact steps
+        after them work, so no link depends on which.
+        """
+        out = None
+        for r in range(self.s.star_rounds):
+            turn = F.struct(F.xxhash64("cls", F.lit(r)).alias("h"), F.col("cls"))
+            centre = members.groupBy("key").agg(F.min(turn).alias("c")).select("key", F.col("c.cls").alias("c"))
+            by = Window.partitionBy("cls").orderBy(F.xxhash64("key", F.lit(r)), "key", "own")
+            asked = members.withColumn("turn", F.row_number().over(by)).where(F.col("turn") <= self.s.star_keys).select("key", "cls")
+            pairs = asked.join(centre, "key").where("cls <> c").select(F.least("c", "cls").alias("a"), F.greatest("c", "cls").alias("b"))
+            out = pairs if out is None else out.union(pairs)
+        return out.distinct()
+
+    def unpaid(self, members: DataFrame, thin: DataFrame, comp: DataFrame) -> DataFrame:
+        """cls, own, unpaid, crowded, doc_id: how many large buckets of several components a set is in, and the keys of all its large ones; thin sets too.
+
+        Counted as all its large buckets less those of one component, where nothing is left to find.
+        """
         own = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        several = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        return self.scratch.store(own.join(several, "key", "left_semi"))
-
-    def stars(self, mixed: DataFrame, r: int) -> DataFrame:
-        """Pairs of a bucket's centre of this round with the members of other components."""
-        turn = F.struct(F.xxhash64("cls", F.lit(r)).alias("h"), F.col("cls"), F.col("component"))
-        centre = mixed.groupBy("key").agg(F.min(turn).alias("c")).select("key", F.col("c.cls").alias("c"), F.col("c.component").alias("cc"))
-        pairs = mixed.join(centre, "key").where("component <> cc")
-        return pairs.select(F.least("c", "cls").alias("a"), F.greatest("c", "cls").alias("b")).distinct()
-
-    def uncovered(self, mixed: DataFrame, thin: DataFrame, comp: DataFrame) -> DataFrame:
+        own = self.scratch.store(own)
+        settled = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo = hi").select("key")
+        less = own.join(settled, "key", "left_semi").groupBy("cls", "own").agg(F.count(F.lit(1)).alias("less"))
+        n = members.groupBy("cls", "own").agg(F.count(F.lit(1)).alias("n"), F.collect_set("key").alias("crowded")).join(less, ["cls", "own"], "left")
+        n = n.select("cls", "own", (F.col("n") - F.coalesce("less", F.lit(0))).alias("x"), "crowded").where("x > 0")
+        n = n.union(thin.select("cls", "own", F.lit(0).cast("long").alias("x"), F.lit(None).cast("array<long>").alias("crowded"))).groupBy("cls", "own").agg(F.sum("x").cast("int").alias("unpaid"), F.max("crowded").alias("crowded"))
+        return self.scratch.store(n.join(self.classes.select("cls", "doc_id"), "cls"))
+
+    def uncovered(self, unpaid: DataFrame, comp: DataFrame) -> DataFrame:
         """Links that only mixed buckets could show: one-deletion neighbourhoods, then blocks."""
         scratch, s = self.scratch, self.s
-        unpaid = mixed.select("cls", "own", F.lit(1).alias("x")).union(thin.select("cls", "own", F.lit(0).alias("x")))
-        unpaid = unpaid.groupBy("cls", "own").agg(F.sum("x").cast("int").alias("unpaid"))
-        unpaid = scratch.store(unpaid.join(self.classes.select("cls", "doc_id"), "cls"))
         limit = s.broadcast_rows
         side = F.broadcast(unpaid) if unpaid.count() <= limit else unpaid
-        rows = self.docs.join(side, "doc_id").select("text", "cls", "own", "unpaid")
+        rows = self.docs.join(side, "doc_id").select("text", "cls", "own", "unpaid", "crowded")
         heavy = scratch.store(rows.mapInArrow(_heavy(s), _HEAVY))
         if heavy.isEmpty():
             return heavy.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
@@ -431,9 +456,7 @@ class _Join:
         lost = keys.where("kind = 1").groupBy(F.col("b").alias("tag")).agg(F.countDistinct("a").alias("lost"))
         rest = heavy.join(lost, "tag", "left").where(F.col("worth") - 2 * F.coalesce("lost", F.lit(0)) < F.col("need"))
         rest = scratch.store(rest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "band", "hs", "component"))
-        of = comp.withColumnRenamed("component", "c")
-        found = found.distinct().join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
-        pairs = self.verify(found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+        pairs = self.verify(self.apart(found.distinct(), comp))
         return pairs.union(self.blocks(rest)).distinct()
 
     def blocks(self, rest: DataFrame, block: int = 256) -> DataFrame:
@@ -450,7 +473,7 @@ class _Join:
         return scratch.store(both.select("x", "y").mapInArrow(_block_links(s), "a long, b long").distinct())
 
 
-_HEAVY = "tag long, cls long, band int, own int, worth int, need int, hs binary"
+_HEAVY = "tag long, cls long, band int, own int, worth int, need int, crowded binary, hs binary"
 
 
 def _heavy(s: Setting):
@@ -459,34 +482,35 @@ def _heavy(s: Setting):
     def run(batches):
         for b in batches:
             rows = []
-            cls, own, unpaid = (b.column(x).to_pylist() for x in ("cls", "own", "unpaid"))
+            cls, own, unpaid, crowded = (b.column(x).to_pylist() for x in ("cls", "own", "unpaid", "crowded"))
             for i, hs in _sets_of(b, s):
                 for band, mine in schemes(len(hs), s):
                     if int(mine) != own[i]:
                         continue
-                    _, cut = segments(hs, bands(s.num, s.den)[1][band])
+                    v, cut = segments(hs, bands(s.num, s.den)[1][band])
                     held, need = np.diff(cut), needed(len(hs), mine, s.num, s.den)
                     if int((held > 0).sum()) - unpaid[i] < need:
-                        # a neighbourhood counts twice, but a segment of one member has no neighbour without it
-                        worth = 2 * int((held > 1).sum()) + int((held == 1).sum())
-                        rows.append((cls[i] | own[i], cls[i], band, own[i], worth, need, hs.tobytes()))
+                        # a neighbourhood counts twice, but a segment of one member has no neighbour without it; a crowded one counts for nothing
+                        full = np.isin(_keys(v, band).view(np.int64), np.array(crowded[i] or [], np.int64)) & (held > 0)
+                        worth = 2 * int(((held > 1) & ~full).sum()) + int(((held == 1) & ~full).sum())
+                        rows.append((cls[i] | own[i], cls[i], band, own[i], worth, need, np.packbits(full).tobytes(), hs.tobytes()))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                names = ("tag", "cls", "band", "own", "worth", "need", "hs")
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                names = ("tag", "cls", "band", "own", "worth", "need", "crowded", "hs")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
 def _neighbourhoods(s: Setting, parts: int):
-    """Packed (key, class with role * 2 + deleted) of the filled segments and all their one-deletions."""
+    """Packed (key, class with role, deleted, crowded) of the filled segments and all their one-deletions."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 keys, values = [], []
                 part = b.slice(at, 256)
-                for tag, band, raw in zip(part.column("tag").to_pylist(), part.column("band").to_pylist(), part.column("hs"), strict=True):
+                for tag, band, bits, raw in zip(part.column("tag").to_pylist(), part.column("band").to_pylist(), part.column("crowded").to_pylist(), part.column("hs"), strict=True):
                     hs = np.frombuffer(raw.as_buffer(), np.uint64)
                     v, cut = segments(hs, bands(s.num, s.den)[1][band])
                     seg = np.repeat(np.arange(len(v)), np.diff(cut))
@@ -494,16 +518,17 @@ def _neighbourhoods(s: Setting, parts: int):
                     less = v[seg] - X.mix(hs + np.uint64(0x51ED270B))
                     keep = v != 0
                     keys += [X.mix(v + base)[keep], X.mix(less + base[seg])]
-                    # the class's lowest bits: role, and whether an element was deleted
-                    half = (tag >> 1) << 2 | (tag & 1) << 1
-                    values += [np.full(int(keep.sum()), half, np.int64), np.full(len(hs), half | 1, np.int64)]
+                    # the class's lowest bits: role, whether an element was deleted, whether the segment is crowded as it is
+                    full = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(v)).astype(np.int64)
+                    base_value = (tag >> 1) << 3 | (tag & 1) << 2
+                    values += [base_value | full[keep], base_value | 2 | full[seg]]
                 yield _packed_batch(_pack(np.concatenate(keys), np.concatenate(values), parts))
 
     return run
 
 
 def _neighbours(small: int):
-    """Pairs where one side is whole; large buckets name their (key, tag) instead."""
+    """Pairs where one side is whole; large buckets name (key, tag) instead, for segments not known to be crowded."""
 
     def run(batches):
         ks, vs = [], []
@@ -519,11 +544,11 @@ def _neighbours(small: int):
         out = []
         for a, g in zip(start[count > 1], count[count > 1], strict=True):
             v = np.unique(values[a : a + g])
-            tag, cls, deleted = (v >> 2) << 1 | (v >> 1 & 1), (v >> 2) << 1, v & 1
+            tag, cls, deleted, full = (v >> 3) << 1 | (v >> 2 & 1), (v >> 3) << 1, v >> 1 & 1, v & 1
             if (deleted == 1).all() or len(np.unique(cls)) < 2:
                 continue
             if g > small:
-                out += [(1, int(keys[a].view(np.int64)), int(t)) for t in np.unique(tag)]
+                out += [(1, int(keys[a].view(np.int64)), int(t)) for t in np.unique(tag[full == 0])]
                 continue
             i, j = np.triu_indices(len(v), 1)
             ok = (cls[i] != cls[j]) & ~((deleted[i] == 1) & (deleted[j] == 1)) & (((tag[i] | tag[j]) & 1) == 1)
