@@ -55,6 +55,17 @@ def buckets(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def text_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Keep the session's Arrow batches to some megabytes, whatever the texts' lengths.
+
+    The setting stays, as the caller runs the plan later; a smaller one is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = str(spark.conf.get(name, str(64 << 20))).strip().lower().rstrip("b")
+    if not have.isdigit() or int(have) > most:
+        spark.conf.set(name, str(most))
+
+
 def small_enough(df: DataFrame, limit_rows: int) -> bool:
     """Whether a stored table has at most so many rows: the check before a broadcast."""
     return df.count() <= limit_rows

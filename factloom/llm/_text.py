@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one slice holds (a longer document is a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: ASCII upper to lower case, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)

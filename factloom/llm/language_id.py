@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch
+from factloom.llm._spark import Scratch, text_batches
 
 U64 = np.uint64
 CELLS = 1 << 17
@@ -118,6 +118,7 @@ class Model:
     @classmethod
     def fit(cls, docs: DataFrame, s: Setting = Setting()) -> "Model | None":
         """docs: doc_id, text, lang; only rows with both text and lang count."""
+        text_batches(docs.sparkSession)
         rows = docs.where("text is not null and lang is not null")
         n = rows.count()
         if not n:
@@ -224,7 +225,9 @@ def _predict(model: Model | None, spans: bool):
     def run(batches):
         m = getattr(model, "value", model)
         for b in batches:
-            for at, to, data, offsets in X.slices(b, "text"):
+            # a text that is kept travels once
+            texts = b if "text" in b.schema.names else pa.RecordBatch.from_arrays([b.column("_row").field("text")], ["text"])
+            for at, to, data, offsets in X.slices(texts, "text"):
                 n = to - at
                 pred, score, parts = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
                 if m is not None:
@@ -264,7 +267,10 @@ def _predict(model: Model | None, spans: bool):
 
 def _labelled(docs: DataFrame, model: Model | None, spans: bool, keep: tuple[str, ...]) -> DataFrame:
     """_row (struct of the kept columns), lang_pred, score and maybe spans."""
-    rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").cast("string").alias("text"))
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*keep).alias("_row"))
+    if "text" not in keep or docs.schema["text"].dataType.simpleString() != "string":
+        rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["_row"].dataType.simpleString()
     schema = f"_row {kind}, lang_pred string, score double" + ", spans array<struct<first:int,last:int,lang:string>>" * spans
     shared = docs.sparkSession.sparkContext.broadcast(model) if model else None  # bounded by the setting

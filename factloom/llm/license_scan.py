@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch, small_enough
+from factloom.llm._spark import Scratch, small_enough, text_batches
 
 #: label, phrase: places where the words stand consecutively.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -142,6 +142,7 @@ def license_scan(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first, last, score)."""
     s, spark = setting, docs.sparkSession
     scratch = Scratch(spark)
+    text_batches(spark)
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
     grams = template_grams(s)

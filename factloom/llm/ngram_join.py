@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch, buckets, components
+from factloom.llm._spark import Scratch, buckets, components, text_batches
 
 BAND = 1.5
 #: Stands for no segment: its bucket lists the sets with too few filled segments.
@@ -225,7 +225,7 @@ def index_entries(s: Setting, parts: int):
                     keys.append(k)
                     values.append(np.full(len(k), c | own, np.int64))
                     held += len(k)
-                if held > 2_000_000:
+                if held > 500_000:
                     yield _packed_batch(_pack(np.concatenate(keys), np.concatenate(values), parts))
                     keys, values, held = [], [], 0
         if held:
@@ -348,6 +348,7 @@ class _Join:
     def __init__(self, docs: DataFrame, s: Setting):
         self.s, self.spark = s, docs.sparkSession
         self.scratch = Scratch(self.spark)
+        text_batches(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def sets(self, wanted: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch, buckets
+from factloom.llm._spark import Scratch, buckets, text_batches
 
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
@@ -526,6 +526,7 @@ def _with(docs: DataFrame, lists: DataFrame, how: str, s: Setting) -> DataFrame:
 def remove_repeats(docs: DataFrame, setting: Setting = Setting(), whole: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if whole, kept (the remaining bytes) of every document."""
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows.select("key", "text"), setting, scratch)

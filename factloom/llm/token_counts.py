@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._spark import text_batches
+
 MARK = "▁"
 #: Place of the public vocabulary unless another is given.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -129,6 +131,7 @@ def _count(scores: dict[str, float], unknown: float, most_nodes: int):
 
 def token_counts(docs: DataFrame, scores: dict[str, float] | None = None, unknown: float = -20.0, most_nodes: int = 600_000) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every document."""
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     vocabulary = rank_scores() if scores is None else scores
