@@ -50,6 +50,7 @@ class Setting:
     star_rounds: int = 2
     star_keys: int = 4
     broadcast_rows: int = 1_000_000
+    broadcast_bytes: int = 48 << 20
 
 
 @lru_cache(maxsize=None)
@@ -444,8 +445,8 @@ class _Join:
     def uncovered(self, unpaid: DataFrame, comp: DataFrame) -> DataFrame:
         """Links that only mixed buckets could show: one-deletion neighbourhoods, then blocks."""
         scratch, s = self.scratch, self.s
-        limit = s.broadcast_rows
-        side = F.broadcast(unpaid) if unpaid.count() <= limit else unpaid
+        size = unpaid.agg(F.sum(F.coalesce(F.size("crowded"), F.lit(0)) * 8 + 48)).first()[0] or 0
+        side = F.broadcast(unpaid) if size <= s.broadcast_bytes else unpaid.hint("shuffle_hash")
         rows = self.docs.join(side, "doc_id").select("text", "cls", "own", "unpaid", "crowded")
         heavy = scratch.store(rows.mapInArrow(_heavy(s), _HEAVY))
         if heavy.isEmpty():

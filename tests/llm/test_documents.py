@@ -83,7 +83,7 @@ def brute_components(texts, k=5, num=80, den=100):
         low = new
 
 
-@pytest.mark.parametrize("setting", [N.Setting(), N.Setting(small=2, star_rounds=0), N.Setting(num=60), N.Setting(k=1, num=50, small=2, star_rounds=1, star_keys=1)])
+@pytest.mark.parametrize("setting", [N.Setting(), N.Setting(small=2, star_rounds=0), N.Setting(small=2, star_rounds=0, broadcast_rows=-1, broadcast_bytes=-1), N.Setting(num=60), N.Setting(k=1, num=50, small=2, star_rounds=1, star_keys=1)])
 def test_ngram_join(spark, setting):
     texts = corpus()
     got = rows(N.ngram_jaccard_join(make(spark, texts), setting), "doc_id", "n_shingles", "component_id")
