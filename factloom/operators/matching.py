@@ -7,9 +7,9 @@ record's facts are few (a person wrote them), so one group is one record.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,13 +126,22 @@ def match_records(truth: DataFrame, found: DataFrame, vetoes: DataFrame | None =
     else:
         left = left.withColumn("bans", F.lit(None).cast("array<struct<g:int,e:int>>"))
 
-    def pair(key, g: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        t, x = g.sort_values("i").to_dict("records"), e.sort_values("i").to_dict("records")
-        bans = {(b["g"], b["e"]) for b in (g["bans"].iloc[0] if len(g) and g["bans"].iloc[0] is not None else [])}
-        rows = [(key[0], int(t[a]["i"]), int(x[b]["i"]), level, turned) for a, b, level, turned in match_record(t, x, lambda u, v: (u["i"], v["i"]) in bans)]
-        return pd.DataFrame(rows, columns=["record", "g", "e", "level", "swapped"])
-
-    return left.groupBy("record").cogroup(found.select(*cols).toDF(*cols).groupBy("record")).applyInPandas(pair, "record string, g int, e int, level string, swapped boolean")
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # many records a batch: a call for each record costs more than its pairing
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                bans = {(b["g"], b["e"]) for b in r["bans"] or []}
+                t, x = (sorted(r[side], key=lambda f: f["i"]) for side in ("truth", "found"))
+                rows += [(r["record"], t[a]["i"], x[b]["i"], level, turned) for a, b, level, turned in match_record(t, x, lambda u, v, bans=bans: (u["i"], v["i"]) in bans)]
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, row, strict=True)) for row in rows], schema=out)
+
+    out = pa.schema([("record", pa.string()), ("g", pa.int32()), ("e", pa.int32()), ("level", pa.string()), ("swapped", pa.bool_())])
+    fact = F.struct(*cols[1:])
+    a = left.groupBy("record").agg(F.collect_list(fact).alias("truth"), F.first("bans").alias("bans"))
+    b = found.select(*cols).groupBy(F.col("record").alias("_record")).agg(F.collect_list(fact).alias("found"))
+    both = a.join(b, F.col("record").eqNullSafe(F.col("_record"))).select("record", "truth", "found", "bans")
+    return both.mapInArrow(pair, "record string, g int, e int, level string, swapped boolean")
 
 
 def exact_multiset_pairs(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -1,6 +1,9 @@
 """Queries do their whole table: fixtures whose rows an earlier filter or cap left out."""
 
-from factloom.plans import texts
+import random
+from itertools import combinations, permutations
+
+from factloom.plans import schemas, texts
 
 
 def write(spark, folder, **tables):
@@ -20,3 +23,37 @@ def test_repaired_encoding_reads_past_200_characters(spark, tmp_path):
 def test_text_contains_reads_every_language(spark, tmp_path):
     at = write(spark, tmp_path, documents=("doc_id long, lang string, text string", [(1, "en", "on the of"), (2, "de", "on the of it"), (3, None, "the of"), (4, "fr", "bathe offer"), (5, "en", None)]))
     assert {r.doc_id: r.found for r in texts.text_contains(spark, at).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def brute_pairs(truth, found):
+    """(pairs, costs, negative) of the best pairing of equal names, by trying all."""
+    best = (0, (0, 0))
+    for n in range(1, min(len(truth), len(found)) + 1):
+        for gs in combinations(truth, n):
+            for es in permutations(found, n):
+                if all(g[0] == e[0] and g[2] == e[2] for g, e in zip(gs, es, strict=True)):
+                    differ = [(g[1] != e[1]) + (g[3] != e[3]) for g, e in zip(gs, es, strict=True)]
+                    cost = (sum(x > 0 for x in differ), sum(differ))
+                    best = max(best, (n, tuple(-c for c in cost)))
+    return best
+
+
+def test_assignment_matching_pairs_every_order(spark, tmp_path):
+    rng = random.Random(5)
+    part = [(1, "Brand#11", "STANDARD A"), (2, "Brand#22", "STANDARD B"), (3, "Brand#11", "SMALL A"), (4, "Brand#11", "STANDARD C")]
+    items = [(o, line, rng.choice(part)[0], rng.choice("AN"), rng.choice("FO")) for o in range(1, 31) for line in range(1, 8)]
+    at = write(spark, tmp_path, part=("p_partkey long, p_brand string, p_type string", part), lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string", items))
+    kind = {k: (b, t.split()[0]) for k, b, t in part}
+    facts = {(str(o), i): (kind[p][0], f, kind[p][1], s) for o, i, p, f, s in items}
+    got = {}
+    for r in schemas.assignment_matching(spark, at).collect():
+        assert r.level == "exact" and not r.swapped and r.g % 2 == 0 and r.e % 2 == 1
+        g, e = facts[r.record, r.g], facts[r.record, r.e]
+        assert g[0] == e[0] and g[2] == e[2]
+        differ = (g[1] != e[1]) + (g[3] != e[3])
+        n, (a, b) = got.get(r.record, (0, (0, 0)))
+        got[r.record] = (n + 1, (a - (differ > 0), b - differ))
+    for o in range(1, 31):
+        side = lambda odd, o=o: [facts[str(o), i] for i in range(1, 8) if i % 2 == odd]
+        assert got.get(str(o), (0, (0, 0))) == brute_pairs(side(0), side(1))
+    assert len(got) > 20
