@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,17 +95,22 @@ def unlinked_rows(rows: DataFrame) -> DataFrame:
 
     A group is one record's facts.
     """
-    import pandas as pd
-
-    def far(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = [(K.instance_key(s), K.instance_key(o)) for s, o in zip(pdf["subject"], pdf["object"], strict=True)]
-        reached, grew = {K.instance_key(str(pdf["id"].iloc[0]))}, True
+    def far(name, subjects, objects) -> list[bool]:
+        ends = [(K.instance_key(s), K.instance_key(o)) for s, o in zip(subjects, objects, strict=True)]
+        reached, grew = {K.instance_key(str(name))}, True
         while grew:
             before = len(reached)
             for a, b in ends:
                 if a in reached or b in reached:
                     reached |= {a, b}
             grew = len(reached) > before
-        return pdf[[a not in reached for a, _ in ends]]
+        return [a not in reached for a, _ in ends]
+
+    @F.pandas_udf("array<boolean>")
+    def far_udf(name: pd.Series, subjects: pd.Series, objects: pd.Series) -> pd.Series:
+        return pd.Series([far(*r) for r in zip(name, subjects, objects, strict=True)], dtype=object)
 
-    return rows.groupBy("id").applyInPandas(far, rows.schema)
+    # many records a batch: a call for each record costs more than its walk
+    packed = rows.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    marked = packed.select("_rows", far_udf("_id", F.col("_rows.subject"), F.col("_rows.object")).alias("_far"))
+    return marked.select(F.inline(F.filter("_rows", lambda r, i: F.get("_far", i))))

@@ -1,9 +1,10 @@
 """Queries do their whole table: fixtures whose rows an earlier filter or cap left out."""
 
 import random
+from collections import Counter
 from itertools import combinations, permutations
 
-from factloom.plans import schemas, texts
+from factloom.plans import records, schemas, texts
 
 
 def write(spark, folder, **tables):
@@ -57,3 +58,24 @@ def test_assignment_matching_pairs_every_order(spark, tmp_path):
         side = lambda odd, o=o: [facts[str(o), i] for i in range(1, 8) if i % 2 == odd]
         assert got.get(str(o), (0, (0, 0))) == brute_pairs(side(0), side(1))
     assert len(got) > 20
+
+
+def orders(spark, folder):
+    """Orders 1 to 20 of five items each; flag N stands in the known records' text, A does not."""
+    items = [(o, line, "NA"[(o // 10 + line) % 2]) for o in range(1, 21) for line in range(1, 6)]
+    return items, write(spark, folder, orders=("o_orderkey long", [(o,) for o in range(1, 21)]), lineitem=("l_orderkey long, l_linenumber int, l_returnflag string", items))
+
+
+def test_row_errors_checks_every_order(spark, tmp_path):
+    items, at = orders(spark, tmp_path)
+    want = Counter()
+    for o, line, flag in items:
+        known = o % 10 == 0
+        want[", ".join(e for e, is_so in (("incomplete", line == 4), ("id unknown", not known), ("no source text", line == 3), ("source not in text", known and line != 3 and flag == "A")) if is_so)] += 1
+    assert {r.errors: r.n for r in records.row_errors(spark, at).collect()} == dict(want)
+
+
+def test_unlinked_rows_walks_every_order(spark, tmp_path):
+    _, at = orders(spark, tmp_path)
+    # an order's first two items link it to parts 2 and 3; item 4 joins parts 1 and 5, item 5 parts 2 and 6
+    assert {r.l_linenumber: r.n for r in records.unlinked_rows(spark, at).collect()} == {4: 20}
