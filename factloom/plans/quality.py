@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import stats as S
 
+#: Sources of an exact test at most: 2^24 assignments.
+MOST_FLIPPED = 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -149,17 +154,28 @@ def holm_adjust(spark, sf_dir):
 
 
 def sign_flip_exact(spark, sf_dir):
-    """Exact paired permutation test over 2^10 assignments, all in one expression of integers (AGG-23)."""
+    """Exact paired permutation test over all 2^n assignments of n sources (AGG-23).
+
+    Sums of either half of the sources meet in one cross join, so each assignment is one row and one comparison of integers.
+    """
     d = judged(spark, sf_dir)
     halves = d.withColumn("g", F.col("doc_id") % 2).groupBy("source").agg(*(F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0)).alias(f"{n}{g}") for g in (0, 1) for n, c in (("n", "both"), ("d", "said"))))
-    ten = halves.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1).where("i < 10")
-    masks = spark.range(1024).withColumnRenamed("id", "mask")
-    flip = F.expr("(shiftright(mask, i) & 1) = 1")
-    side = lambda x, y: F.sum(F.when(flip, F.col(y)).otherwise(F.col(x)))
-    sums = masks.crossJoin(F.broadcast(ten)).groupBy("mask").agg(side("n0", "n1").alias("a"), side("d0", "d1").alias("b"), side("n1", "n0").alias("c"), side("d1", "d0").alias("d"))  # 10 rows
-    far = sums.select("mask", F.abs(F.col("a") * F.col("d") - F.col("c") * F.col("b")).alias("x"), (F.col("b") * F.col("d")).alias("y"))
-    base = far.where("mask = 0").select(F.col("x").alias("x0"), F.col("y").alias("y0"))
-    out = far.crossJoin(F.broadcast(base)).agg(F.sum((F.col("x") * F.col("y0") >= F.col("x0") * F.col("y")).cast("long")).alias("as_far"), F.count(F.lit(1)).alias("tried"))
+    pairs = [(r.n0, r.d0, r.n1, r.d1) for r in halves.orderBy("source").limit(MOST_FLIPPED + 1).collect()]
+    if len(pairs) > MOST_FLIPPED:
+        raise ValueError(f"more than {MOST_FLIPPED} sources are too many for an exact test")
+
+    def sums(part, names):
+        out = [(0, 0, 0, 0)]
+        for p in part:
+            out = [tuple(map(sum, zip(s, x, strict=True))) for x in (p, p[2:] + p[:2]) for s in out]
+        return spark.createDataFrame(out, ", ".join(f"{n} long" for n in names))
+
+    half = (len(pairs) + 1) // 2
+    a, b, c, d = (F.col(x) + F.col(y) for x, y in zip("abcd", "efgh", strict=True))
+    a0, b0, c0, d0 = (sum(p[i] for p in pairs) for i in range(4))
+    wide = lambda x: x.cast("decimal(19,0)")  # noqa: E731  a product of two products may pass 64 bits
+    far = wide(F.abs(a * d - c * b)) * F.lit(Decimal(b0 * d0)) >= wide(b * d) * F.lit(Decimal(abs(a0 * d0 - c0 * b0)))
+    out = sums(pairs[:half], "abcd").crossJoin(F.broadcast(sums(pairs[half:], "efgh"))).agg(F.sum(far.cast("long")).alias("as_far"), F.count(F.lit(1)).alias("tried"))
     return out.withColumn("p", F.round(F.col("as_far") / F.col("tried"), 6))
 
 

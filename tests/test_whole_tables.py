@@ -4,7 +4,11 @@ import random
 from collections import Counter
 from itertools import combinations, permutations
 
-from factloom.plans import records, schemas, texts
+import pytest
+
+from factloom.functions import stats
+from factloom.operators import graph
+from factloom.plans import quality, records, schemas, selection, texts
 
 
 def write(spark, folder, **tables):
@@ -79,3 +83,25 @@ def test_unlinked_rows_walks_every_order(spark, tmp_path):
     _, at = orders(spark, tmp_path)
     # an order's first two items link it to parts 2 and 3; item 4 joins parts 1 and 5, item 5 parts 2 and 6
     assert {r.l_linenumber: r.n for r in records.unlinked_rows(spark, at).collect()} == {4: 20}
+
+
+def judged_tables(spark, folder, sources):
+    """Six judged documents of each source."""
+    rng = random.Random(sources)
+    docs = [(i, "en", f"src{i % sources}") for i in range(6 * sources)]
+    labels = [(i, rng.randint(0, 1), int(rng.random() < (0.8 if i % 2 else 0.4))) for i, *_ in docs]
+    at = write(spark, folder, documents=("doc_id long, lang string, source string", docs), labels=("doc_id long, quality int, toxic int", labels))
+    pairs = {s: [[0, 0], [0, 0]] for _, _, s in docs}
+    for (i, _, s), (_, quality, toxic) in zip(docs, labels, strict=True):
+        pairs[s][i % 2][0] += int(toxic == 1 and quality == 0)
+        pairs[s][i % 2][1] += int(toxic == 1)
+    return at, [(tuple(x), tuple(y)) for x, y in pairs.values()]
+
+
+def test_sign_flip_takes_every_source(spark, tmp_path):
+    for n in (1, 13):
+        at, pairs = judged_tables(spark, tmp_path / str(n), n)
+        want, got = stats.sign_flip(pairs), quality.sign_flip_exact(spark, at).first()
+        assert (got.as_far, got.tried, got.p) == (want["as_far"], 2**n, round(want["p"], 6))
+    with pytest.raises(ValueError, match="too many"):
+        quality.sign_flip_exact(spark, judged_tables(spark, tmp_path / "many", quality.MOST_FLIPPED + 1)[0])
