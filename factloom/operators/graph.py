@@ -57,13 +57,16 @@ def resolve_chains(merges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def walk(edges: DataFrame, start: DataFrame, most_depth: int = 50) -> DataFrame:
-    """node, depth of everything reached from the start nodes along child -> parent edges (least depth). JOIN-20."""
+    """node, depth of everything reached from the start nodes along child -> parent edges (least depth). JOIN-20.
+
+    Ancestors deeper than most_depth are an error, not left out.
+    """
     seen = _checkpointed(start.select("node", F.lit(0).alias("depth")).distinct())
     front = seen
-    for depth in range(1, most_depth + 1):
+    for depth in range(1, most_depth + 2):
         front = front.join(edges, front.node == edges.child).select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti")
         front = _checkpointed(front.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
         seen = _checkpointed(seen.union(front))
-    return seen
+    raise RuntimeError("ancestors are deeper than most_depth")

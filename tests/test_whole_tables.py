@@ -105,3 +105,16 @@ def test_sign_flip_takes_every_source(spark, tmp_path):
         assert (got.as_far, got.tried, got.p) == (want["as_far"], 2**n, round(want["p"], 6))
     with pytest.raises(ValueError, match="too many"):
         quality.sign_flip_exact(spark, judged_tables(spark, tmp_path / "many", quality.MOST_FLIPPED + 1)[0])
+
+
+def test_lineage_walk_starts_from_every_order(spark, tmp_path):
+    at = write(spark, tmp_path, orders=("o_orderkey long, o_custkey long", [(1, 7), (97, 8)]), customer=("c_custkey long, c_nationkey long", [(7, 3), (8, 4)]), nation=("n_nationkey long, n_regionkey long", [(3, 0), (4, 0)]))
+    assert {(r.node, r.depth) for r in selection.lineage_walk(spark, at).collect()} == {("o#1", 0), ("o#97", 0), ("c#7", 1), ("c#8", 1), ("n#3", 2), ("n#4", 2), ("r#0", 3)}
+
+
+def test_walk_raises_when_it_is_not_at_the_end(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "child string, parent string")
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert graph.walk(chain, start, 4).count() == 5
+    with pytest.raises(RuntimeError, match="deeper"):
+        graph.walk(chain, start, 3)
