@@ -85,7 +85,7 @@ def _ints(batch: pa.RecordBatch, dim: int):
 
 
 def _summaries(space: Space, k: int):
-    """kind 0: near distance of a group of rows, 1: radius of a group of queries."""
+    """kind 0: near distance of a group of rows and the vec_id at it, each vec_id once; 1: radius of a group of queries."""
 
     def run(batches):
         for b in batches:
@@ -93,29 +93,39 @@ def _summaries(space: Space, k: int):
             if not len(rows):
                 continue
             out = []
+            ids = b.column("vec_id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
             d = space.far(y, False)
             own = d.argmin(1)
             best = d[np.arange(len(d)), own]
             for j in np.unique(own):
-                out += [(0, int(j), float(v)) for v in np.sort(best[own == j])[: k + 1]]
+                at = np.flatnonzero(own == j)
+                at = at[np.argsort(best[at], kind="stable")]
+                at = at[np.sort(np.unique(ids[at], return_index=True)[1])[: k + 1]]
+                out += [(0, int(j), int(c), float(v)) for c, v in zip(ids[at], best[at], strict=True)]
             q = np.asarray(b.column("is_query").fill_null(False))[rows]
             if q.any():
                 d = space.far(y[q], True)
                 own = d.argmin(1)
                 best = d[np.arange(len(d)), own]
-                out += [(1, int(j), float(best[own == j].max())) for j in np.unique(own)]
-            a, c, v = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.float64())], ["kind", "pivot", "value"])
+                out += [(1, int(j), None, float(best[own == j].max())) for j in np.unique(own)]
+            a, c, i, v = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.int32()), pa.array(i, pa.int64()), pa.array(v, pa.float64())], ["kind", "pivot", "vec_id", "value"])
 
     return run
 
 
-def bounds(space: Space, near: dict[int, list[float]], radius: dict[int, float], k: int) -> dict[int, float]:
-    """For each group of queries, a distance that no query's k-th neighbour exceeds (the query itself may be one row)."""
+def bounds(space: Space, near: dict[int, list[tuple[int, float]]], radius: dict[int, float], k: int) -> dict[int, float]:
+    """For each group of queries, a distance that no query's k-th neighbour exceeds (the query itself may be one row).
+
+    near: (vec_id, distance) by group of rows. Only distinct vec_ids are neighbours: k + 1 of them must lie within the bound.
+    """
     gap = np.sqrt(np.maximum(0, ((space.pivots[:, None, :] - space.pivots[None, :, :]) ** 2).sum(2)))
+    group, ids, value = (np.array(x, t) for x, t in zip(zip(*((j, c, v) for j, rows in near.items() for c, v in rows), strict=True), (np.int64, np.int64, np.float64), strict=True))
     out = {}
     for i, r in radius.items():
-        ub = np.sort(np.concatenate([r + gap[i, j] + np.array(v) for j, v in near.items()]))
+        ub = r + gap[i, group] + value
+        order = np.argsort(ub, kind="stable")
+        ub = ub[order][np.sort(np.unique(ids[order], return_index=True)[1])]
         out[i] = float(ub[k]) if len(ub) > k else float("inf")
     return out
 
@@ -222,11 +232,11 @@ def topk_search(table: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     sample = rows.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     sample = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("embedding").collect()
     space = Space(dim, m2, np.unique(np.floor(SCALE * np.array([r.embedding for r in sample], dtype=np.float64)), axis=0))
-    parts = rows.mapInArrow(_summaries(space, k), "kind int, pivot int, value double")
+    parts = rows.mapInArrow(_summaries(space, k), "kind int, pivot int, vec_id long, value double")
     near, radius = {}, {}
-    turn = Window.partitionBy("pivot").orderBy("value")
-    for r in parts.where("kind = 0").withColumn("i", F.row_number().over(turn)).where(F.col("i") <= k + 1).collect():
-        near.setdefault(r.pivot, []).append(r.value)
+    turn = Window.partitionBy("pivot").orderBy("value", "vec_id")
+    for r in parts.where("kind = 0").groupBy("pivot", "vec_id").agg(F.min("value").alias("value")).withColumn("i", F.row_number().over(turn)).where(F.col("i") <= k + 1).collect():
+        near.setdefault(r.pivot, []).append((r.vec_id, r.value))
     for r in parts.where("kind = 1").groupBy("pivot").agg(F.max("value").alias("value")).collect():
         radius[r.pivot] = r.value
     theta = bounds(space, near, radius, k)

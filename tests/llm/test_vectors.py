@@ -58,6 +58,17 @@ def test_topk_small_tables(spark):
     assert K.topk_search(odd, F.col("vec_id") % 2 == 0).count() == 0
 
 
+def test_topk_counts_repeated_rows_once(spark):
+    """Four tight clusters of three, all but three rows ten-fold: copies near a pivot are one neighbour."""
+    rng = np.random.default_rng(8)
+    ids = [r.vec_id for r in spark.range(12).withColumnRenamed("id", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").collect()]
+    rows = [(c, [float(v) for v in np.float32(np.eye(16)[i % 4] + rng.normal(size=16) * 0.01)], 0) for i, c in enumerate(ids)]
+    # the pivots are the first four rows by hash: three single ones and a repeated one, one in each cluster
+    df = spark.createDataFrame(rows[:3] + rows[3:] * 10, SCHEMA)
+    got = sorted(tuple(r) for r in K.topk_search(df, F.col("vec_id") >= 0).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_topk(rows, 5, 1)
+
+
 def brute_links(rows, cosine=0.93):
     ok = {i: (np.array(e, np.float64), c) for i, e, c in rows if i is not None and c is not None and e and all(v is not None and np.isfinite(v) for v in e) and any(e)}
     links = {i: set() for i, *_ in rows}
