@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with a family of suffix arrays of geometric sizes, exact.
+"""Removal of repeated byte strings with levels of sampled suffixes of geometric sizes, exact.
 
 A byte goes if a string of `length` bytes that covers it also starts at another place.
 
@@ -6,8 +6,8 @@ A byte goes if a string of `length` bytes that covers it also starts at another
   anchors; equal windows have equal anchors at equal offsets, so suffixes that start at anchors suffice
   (about 2 in `length`). Anchors whose gram occurs once in the corpus match nothing and end here.
 * The others travel with their surroundings (up to `length` bytes on either side) to the part that owns their gram.
-  There, batches get a suffix array each, are scanned against the existing levels in one merged order, and
-  levels of equal size merge, so a part of n suffixes is sorted O(log n) times. A match is the common stretch
+  There, each batch becomes a level in the order of its grams only (no full suffix array), is matched with the existing
+  levels gram by gram, and levels of equal size merge, so a part of n suffixes is sorted O(log n) times. A match is the common stretch
   to the left and right of two anchors; it counts from `length` bytes.
 * Large groups of one gram within a part compare hashes of whole windows instead of pairs. Grams with over `hot` places
   never meet in one task: their windows are hashed where the text is, merged per slice and counted by hash.
@@ -307,7 +307,7 @@ class Family:
             self.levels.append(self.sort(*(np.concatenate([a[c], b[c]]) for c in range(3))))
 
     def sort(self, head, ctx, found):
-        """A suffix array: entries in the order of the bytes from the anchor on, and the name of each one's gram."""
+        """A level: entries in the order of the gram at the anchor, not of the bytes beyond it, and the name of each one's gram."""
         at = self.half
         k = np.ascontiguousarray(ctx[:, at : at + self.s.gram]).view(">u8").astype(U64)
         order = np.lexsort(k.T[::-1])
@@ -322,7 +322,7 @@ class Family:
         return start, np.diff(np.append(start, len(name)))
 
     def scan(self, new, old) -> None:
-        """Match a new suffix array with itself, or with an existing one in merged order."""
+        """Match a new level with itself, or with an existing one: pairs of small groups of equal grams, window hashes of larger ones."""
         start, count = self.groups(new[3])
         left, right = [], []
         if old is None:
