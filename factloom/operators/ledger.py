@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions import text as X
+from factloom.functions import markup as M
 
 ENTRY = ("stage", "action", "item_type", "reason", "setting", "record_id", "item", "kept_as", "place")
 
@@ -45,7 +45,7 @@ def fuzz_cleaning(rounds: int = 200, seed: int = 0) -> list[str]:
     bad = []
     for _ in range(rounds):
         raw = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
-        c = X.clean(raw)
-        if c.tier != "source" and X.missing_tokens(raw, c.text):
+        c = M.clean(raw)
+        if c.tier != "source" and M.missing_tokens(raw, c.text):
             bad.append(raw)
     return bad

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import keys as K
+from factloom.functions import markup as M
 from factloom.functions import text as X
 
 ENTRY_CLASS, ENTRY_PREDICATE, ENTRY_SOURCE, UNDECIDED = "CatalogEntry", "DESCRIBES", "(record structure)", "X"
@@ -40,7 +41,7 @@ def describes_problems(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def cleaned_fields(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     """records with <field>, <field>_clean and <field>_clean_method for each field. PRJ-06."""
     rest = [c for c in records.columns if c not in fields]
-    out = records.select("*", *(X.clean_udf(c).alias(f"_{c}") for c in fields))
+    out = records.select("*", *(M.clean_udf(c).alias(f"_{c}") for c in fields))
     return out.select(*rest, *(x for c in fields for x in (F.col(c), F.col(f"_{c}.text").alias(f"{c}_clean"), F.col(f"_{c}.tier").alias(f"{c}_clean_method"))))
 
 

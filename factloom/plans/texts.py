@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import keys as K
+from factloom.functions import markup as M
 from factloom.functions import text as X
 from factloom.operators import ledger as L
 from factloom.operators import schema as S
@@ -14,7 +15,7 @@ from factloom.sources import lookup as A
 
 def clean_pages(spark, sf_dir):
     """Pages as plain text with the tier and the proof (SCA-10, SCA-11, SCA-12, SCA-13)."""
-    p = table(spark, sf_dir, "pages").select("page_id", X.clean_udf("html").alias("c"))
+    p = table(spark, sf_dir, "pages").select("page_id", M.clean_udf("html").alias("c"))
     return p.select("page_id", "c.tier", "c.markup", "c.lost", F.length("c.text").alias("n_chars"), F.sha2("c.text", 256).alias("fingerprint"))
 
 
@@ -66,7 +67,7 @@ def term_census(spark, sf_dir):
 
 def named_terms(spark, sf_dir):
     """Capitalised words and runs of two or three of them in page text (SCA-29)."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(X.named_terms_udf(X.clean_udf("html").text))).alias("term"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(X.named_terms_udf(M.clean_udf("html").text))).alias("term"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 10")
 
 

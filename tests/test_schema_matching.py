@@ -27,18 +27,19 @@ def test_validate(spark):
     assert got["A", "Q", "B"] == [] and got["B", "Q", "A"] == ["pin"] and got["A", "X", "B"] == ["predicate", "pattern"]
 
 
-RULES = [("SOURCED_FROM", None, None, "(none)", 1, False), ("SOURCED_FROM", None, "Mission", "FROM_MISSION", 2, False), ("SOURCED_FROM", None, "Spacecraft", "FROM_SPACECRAFT", 3, True), ("SOURCED_FROM", "Dataset", "Spacecraft", "FROM_MISSION", 4, False)]
+#: Whose rule: (predicate, class of s or any, class of o or any, target, line, swap).
+RULES = [("EATS", None, None, "(none)", 1, False), ("EATS", None, "Plant", "GRAZES", 2, False), ("EATS", None, "Animal", "EATEN_BY", 3, True), ("EATS", "Owl", "Animal", "HUNTS", 4, False)]
 RULE_COLUMNS = "predicate string, if_s string, if_o string, target string, line int, swap boolean"
 
 
 def test_rules_most_specific_wins(spark):
-    facts = spark.createDataFrame([("Dataset", "SOURCED_FROM", "Spacecraft"), ("Instrument", "SOURCED_FROM", "Spacecraft"), ("Dataset", "SOURCED_FROM", "Instrument"), ("X", "OTHER", "Y")], "s string, p string, o string")
+    facts = spark.createDataFrame([("Owl", "EATS", "Animal"), ("Fox", "EATS", "Animal"), ("Owl", "EATS", "Stone"), ("Fox", "EATS", "Plant"), ("Owl", "SEES", "Fox")], "s string, p string, o string")
     rules = spark.createDataFrame(RULES, RULE_COLUMNS)
     got = {r[:2]: r[2] for r in rows(S.apply_rules(facts, rules), "s", "o", "target")}
-    assert got == {("Dataset", "Spacecraft"): "FROM_MISSION", ("Instrument", "Spacecraft"): "FROM_SPACECRAFT", ("Dataset", "Instrument"): "(none)", ("X", "Y"): None}
-    entity = spark.createDataFrame([("Instrument", "Sensor"), ("Spacecraft", "Satellite")], "source string, target string")
+    assert got == {("Owl", "Animal"): "HUNTS", ("Fox", "Animal"): "EATEN_BY", ("Owl", "Stone"): "(none)", ("Fox", "Plant"): "GRAZES", ("Owl", "Fox"): None}
+    entity = spark.createDataFrame([("Fox", "Canid"), ("Animal", "Prey")], "source string, target string")
     got = {r[:2]: r[2:] for r in rows(S.translate(facts, entity, rules), "s", "o", "ts", "tp", "to")}
-    assert got["Instrument", "Spacecraft"] == ("Satellite", "FROM_SPACECRAFT", "Sensor") and got["Dataset", "Instrument"] == (None, None, "Sensor")
+    assert got["Fox", "Animal"] == ("Prey", "EATEN_BY", "Canid") and got["Owl", "Stone"] == (None, None, None)
 
 
 def test_conflicts(spark):
