@@ -322,8 +322,8 @@ def _clean_marked(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [c.text for c in done], "tier": [c.tier for c in done], "markup": [c.markup for c in done], "lost": 0})
 
 
-_SPACE = r"[\s\x1c-\x1f]"
-_IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
+#: White space, as a set of characters to trim.
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def clean_udf(c: Column | str) -> Column:
@@ -333,7 +333,8 @@ def clean_udf(c: Column | str) -> Column:
     """
     c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     marked = c.contains("<") | c.contains("&")
-    plain = F.regexp_replace(F.translate(c, " ", " "), rf"(?U)(?<!{_IN_LINE}){_IN_LINE}++(?=\n)", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), rf"(?U)\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
+    white, text = F.lit(_WHITE), F.translate(c, "\u00a0", " ")
+    lines = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, white)), "\n")
+    plain = F.btrim(F.when(text.contains("\n"), F.regexp_replace(lines, r"\n{3,}", "\n\n")).otherwise(text), white)
     fast = F.struct(plain.alias("text"), F.lit("parsed").alias("tier"), F.lit(False).alias("markup"), F.lit(0).alias("lost"))
     return F.when(marked, _clean_marked(F.when(marked, c))).otherwise(fast)
