@@ -33,8 +33,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document less the bytes of 400-byte strings that start elsewhere too."""
-    return remove_repeats(_table(spark, sf_dir, "documents"), whole=False)
+    """Every document less the bytes of 400-byte strings that start elsewhere too; text: what remains, cut characters as U+FFFD."""
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ A byte goes if a string of `length` bytes that covers it also starts at another
 
 * Sampled suffixes. In every window of `length` bytes the `gram`-byte substrings with the smallest hash are
   anchors; equal windows have equal anchors at equal offsets, so suffixes that start at anchors suffice
-  (about 2 in `length`). Anchors whose gram occurs once in the corpus match nothing and end here.
+  (about 2 in `length`). A combining aggregate counts the grams; anchors whose gram occurs once match nothing and end here.
 * The others travel with their surroundings (up to `length` bytes on either side) to the part that owns their gram.
-  There, each batch becomes a level in the order of its grams only (no full suffix array), is matched with the existing
-  levels gram by gram, and levels of equal size merge, so a part of n suffixes is sorted O(log n) times. A match is the common stretch
-  to the left and right of two anchors; it counts from `length` bytes.
-* Large groups of one gram within a part compare hashes of whole windows instead of pairs. Grams with over `hot` places
-  never meet in one task: their windows are hashed where the text is, merged per slice and counted by hash.
+  There, each batch becomes a level, a suffix array of its anchors (entries in the order of all bytes from the anchor on), is merge-scanned
+  with the existing levels gram by gram, and levels of equal size merge, so a part of n suffixes is sorted O(log n) times. A match is
+  the common stretch to the left and right of two anchors; it counts from `length` bytes. Parts are as many as bound their entries.
+* Large groups of one gram within a part compare hashes of whole windows instead of pairs. The places of grams with over `hot` of them
+  never meet in one task: they are marked by a join with the few hot grams, and their windows are hashed where the text is, merged per
+  slice and counted by hash.
 
 Null and empty texts keep nothing and lose nothing. Repeated rows are copies of one another, so all their bytes (from
 `length` on) go. Rows with equal ids and different texts are told apart. Empty tables give an empty result.
@@ -38,13 +39,17 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class Setting:
-    """length of a repeated string, gram of an anchor, places from which a gram is hot, entries of a group compared by pairs."""
+    """length of a repeated string, gram of an anchor, places from which a gram is hot, entries of a group compared by pairs.
+
+    batch and part: entries of a new level and of a part, about. broadcast_bytes: the largest side that is broadcast.
+    """
 
     length: int = 400
     gram: int = 32
     hot: int = 4096
     pairs: int = 24
     batch: int = 4096
+    part: int = 40_000
     broadcast_bytes: int = 48 << 20
 
     @property
@@ -96,26 +101,8 @@ def _rows(part: np.ndarray, parts: int, *columns: np.ndarray):
         yield (int(p), *(c[cut[p] : cut[p + 1]].tobytes() for c in columns))
 
 
-def _emit(rows, names: list[str]) -> Iterator[pa.RecordBatch]:
-    rows = list(rows)
-    if rows:
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
-
-
-def _flat(batches, names: dict[str, type]) -> Iterator[tuple[np.ndarray, ...]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield tuple(np.frombuffer(b.column(n)[i].as_buffer(), t) for n, t in names.items())
-
-
-def _gathered(batches, names: dict[str, type]) -> list[np.ndarray]:
-    got = list(_flat(batches, names))
-    return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, t) for t in names.values()]
-
-
-def _find_anchors(s: Setting, parts: int):
-    """key, text -> part, grams, keys, places."""
+def _find_anchors(s: Setting):
+    """key, text -> g, key, pos of every anchor."""
 
     def run(batches):
         for b in batches:
@@ -123,54 +110,13 @@ def _find_anchors(s: Setting, parts: int):
             for at, to, data, offsets in X.slices(b, "text", SLICE):
                 pos, g = anchors(X.prefix_hash(data), offsets, s)
                 doc = np.searchsorted(offsets, pos, "right") - 1
-                yield from _emit(_rows((g >> U64(20)) % U64(parts), parts, g, key[at:to][doc], (pos - offsets[doc]).astype(np.int32)), ["part", "g", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(key[at:to][doc]), pa.array((pos - offsets[doc]).astype(np.int32))], ["g", "key", "pos"])
 
     return run
 
 
-def _repeated(s: Setting, parts: int):
-    """Anchors whose gram occurs more than once, dealt by document, with whether it is hot."""
-
-    def run(batches):
-        g, key, pos = _gathered(batches, {"g": U64, "key": np.int64, "pos": np.int32})
-        if not len(g):
-            return
-        order = np.argsort(g, kind="stable")
-        g, key, pos = g[order], key[order], pos[order]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        count = np.repeat(np.diff(np.append(start, len(g))), np.diff(np.append(start, len(g))))
-        keep = count > 1
-        g, key, pos, hot = g[keep], key[keep], pos[keep], (count[keep] > s.hot).astype(np.uint8)
-        yield from _emit(_rows(key.view(U64) % U64(parts), parts, key, pos, hot), ["part", "key", "pos", "hot"])
-
-    return run
-
-
-def _by_document(names: dict[str, type]):
-    """Packed columns -> one row a document: key and the packed other columns."""
-
-    def run(batches):
-        cols = _gathered(batches, {"key": np.int64, **names})
-        if not len(cols[0]):
-            return
-        order = np.argsort(cols[0], kind="stable")
-        cols = [c[order] for c in cols]
-        start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-        end = np.append(start[1:], len(order))
-        for i in range(0, len(start), 5000):
-            a, z = start[i : i + 5000], end[i : i + 5000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0][a]), *(pa.array([c[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary()) for c in cols[1:])], ["key", *names]
-            )
-
-    return run
-
-
-_LEAF = {"head": np.int64, "ctx": np.uint8}
-
-
 def _surroundings(s: Setting, parts: int):
-    """key, text, pos, hot -> packed rows: kind 0 anchors with surroundings, 1 windows of hot grams, 2 certain spans."""
+    """key, text, places (pos, hot) -> packed rows: kind 0 anchors with surroundings, 1 windows of hot grams, 2 certain spans."""
     half, reach = s.window - 1, s.length
 
     def run(batches):
@@ -178,13 +124,12 @@ def _surroundings(s: Setting, parts: int):
             key = b.column("key").to_numpy(zero_copy_only=False)
             for at, to, data, offsets in X.slices(b, "text", SLICE):
                 prefix = X.prefix_hash(data)
-                held = [np.frombuffer(x.as_buffer(), np.int32) for x in b.column("pos").slice(at, to - at)]
-                flags = [np.frombuffer(x.as_buffer(), np.uint8) for x in b.column("hot").slice(at, to - at)]
-                doc = np.repeat(np.arange(to - at), [len(x) for x in held])
+                places = b.column("places").slice(at, to - at)
+                doc = np.repeat(np.arange(to - at), places.value_lengths().to_numpy(zero_copy_only=False))
                 if not len(doc):
                     continue
-                pos = np.concatenate(held) + offsets[doc]
-                hot = np.concatenate(flags) > 0
+                pos = places.flatten().field("pos").to_numpy(zero_copy_only=False).astype(np.int64) + offsets[doc]
+                hot = places.flatten().field("hot").to_numpy(zero_copy_only=False).astype(bool)
                 own = key[at:to]
                 lo, hi = offsets[doc], offsets[doc + 1]
                 left, right = np.minimum(pos - lo, half), np.minimum(hi - pos, reach)
@@ -307,10 +252,10 @@ class Family:
             self.levels.append(self.sort(*(np.concatenate([a[c], b[c]]) for c in range(3))))
 
     def sort(self, head, ctx, found):
-        """A level: entries in the order of the gram at the anchor, not of the bytes beyond it, and the name of each one's gram."""
-        at = self.half
-        k = np.ascontiguousarray(ctx[:, at : at + self.s.gram]).view(">u8").astype(U64)
-        order = np.lexsort(k.T[::-1])
+        """A level: entries in the order of their bytes from the anchor on, and the name of each one's gram."""
+        ahead = np.ascontiguousarray(ctx[:, self.half :])
+        order = np.argsort(ahead.view(f"S{ahead.shape[1]}").ravel(), kind="stable")
+        k = np.ascontiguousarray(ahead[:, : self.s.gram]).view(">u8").astype(U64)
         name = np.zeros(len(k), U64)
         for c in range(k.shape[1]):
             name = X.mix(name + k[:, c])
@@ -436,8 +381,8 @@ class Family:
             yield head[hit, 0], head[hit, 1] - found[hit, 0], head[hit, 1] + found[hit, 1]
 
 
-def _match(s: Setting, parts: int):
-    """Packed rows of one part -> packed spans, dealt by document."""
+def _match(s: Setting):
+    """Packed rows of one part -> spans (key, lo, hi)."""
     width = s.window - 1 + s.length
 
     def run(batches):
@@ -453,25 +398,26 @@ def _match(s: Setting, parts: int):
                     hashes.append(np.frombuffer(b.column("ctx")[i].as_buffer(), U64))
                 else:
                     k, lo, hi = head.reshape(-1, 3).T
-                    yield from _packed_spans(k, lo, hi, parts)
+                    yield from _span_rows(k, lo, hi)
         for k, lo, hi in family.spans():
-            yield from _packed_spans(k, lo, hi, parts)
+            yield from _span_rows(k, lo, hi)
         if hashes:
             h, head = np.concatenate(hashes), np.concatenate(heads)
             _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
             hit = (count[inverse] > 1) & (head[:, 2] == 0)
-            yield from _packed_spans(head[hit, 0], head[hit, 1], head[hit, 1] + s.length, parts)
+            yield from _span_rows(head[hit, 0], head[hit, 1], head[hit, 1] + s.length)
 
     return run
 
 
-def _packed_spans(key, lo, hi, parts):
+def _span_rows(key, lo, hi):
     key, lo, hi = _joined(key, lo, hi)
-    yield from _emit(_rows(key.view(U64) % U64(parts), parts, key, lo, hi), ["part", "key", "lo", "hi"])
+    for i in range(0, len(key), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (key, lo, hi)], ["key", "lo", "hi"])
 
 
 def _cut(whole: bool):
-    """doc_id, text, lo, hi -> n_bytes, n_removed, n_spans, kept_sha256 and, if whole, kept."""
+    """doc_id, text, spans -> n_bytes, n_removed, n_spans, kept_sha256 and, if whole, kept."""
 
     def run(batches):
         for b in batches:
@@ -480,9 +426,9 @@ def _cut(whole: bool):
                 for i in range(at, to):
                     kept = raw = data[offsets[i - at] : offsets[i - at + 1]]
                     removed = spans = 0
-                    lo = b.column("lo")[i]
-                    if lo.is_valid:
-                        lo, hi = (np.frombuffer(x.as_buffer(), np.int64) for x in (lo, b.column("hi")[i]))
+                    spans_of = b.column("spans")[i]
+                    if spans_of.is_valid:
+                        lo, hi = (spans_of.values.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
                         _, lo, hi = _joined(np.zeros(len(lo), np.int64), lo, hi)
                         keep = np.ones(len(raw), bool)
                         for x, y in zip(lo, hi, strict=True):
@@ -500,26 +446,40 @@ def _cut(whole: bool):
     return run
 
 
+def repeated_places(docs: DataFrame, s: Setting, scratch: Scratch) -> DataFrame:
+    """key, places (pos, hot): the anchors of each document whose gram occurs more than once. docs: key, text."""
+    found = scratch.store(docs.mapInArrow(_find_anchors(s), "g long, key long, pos int"))
+    grams = scratch.store(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = grams.where(F.col("n") > s.hot).select("g")
+    if 16 * hot.count() <= s.broadcast_bytes:
+        marked = found.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        rest = marked.where("not hot").join(grams.where(F.col("n") <= s.hot).select("g"), "g", "left_semi")
+        places = marked.where("hot").unionByName(rest)
+    else:  # adaptive execution splits the hot grams' places, and only they have a large share of them
+        places = found.join(grams.select("g", (F.col("n") > s.hot).alias("hot")), "g")
+    out = scratch.store(places.groupBy("key").agg(F.collect_list(F.struct("pos", "hot")).alias("places")))
+    scratch.drop(found, grams)
+    return out
+
+
 def repeated_spans(docs: DataFrame, setting: Setting = Setting(), scratch: Scratch | None = None) -> DataFrame:
-    """key, lo, hi (packed bounds) of the documents that lose bytes. docs: key, text."""
+    """key, spans (lo, hi; they may overlap) of the documents that lose bytes. docs: key, text."""
     s, spark = setting, docs.sparkSession
     scratch = scratch or Scratch(spark)
-    parts = buckets(spark) * 2
-    found = docs.mapInArrow(_find_anchors(s, parts), "part int, g binary, key binary, pos binary").repartition(parts, "part")
-    dealt = found.mapInArrow(_repeated(s, parts), "part int, key binary, pos binary, hot binary").repartition(parts, "part")
-    lists = scratch.store(dealt.mapInArrow(_by_document({"pos": np.int32, "hot": np.uint8}), "key long, pos binary, hot binary"))
-    rows = _with(docs, lists, "inner", s).select("key", "text", "pos", "hot")
+    lists = repeated_places(docs, s, scratch)
+    total = lists.agg(F.sum(F.size("places"))).first()[0] or 0
+    parts = max(buckets(spark) * 2, -(-total // s.part))
+    rows = _with(docs, lists, "places", "inner", s).select("key", "text", "places")
     near = rows.mapInArrow(_surroundings(s, parts), "kind int, part int, head binary, ctx binary").repartition(parts, "part")
-    spans = near.mapInArrow(_match(s, parts), "part int, key binary, lo binary, hi binary").repartition(parts, "part")
-    out = scratch.store(spans.mapInArrow(_by_document({"lo": np.int64, "hi": np.int64}), "key long, lo binary, hi binary"))
+    spans = near.mapInArrow(_match(s), "key long, lo long, hi long")
+    out = scratch.store(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     scratch.drop(lists)
     return out
 
 
-def _with(docs: DataFrame, lists: DataFrame, how: str, s: Setting) -> DataFrame:
+def _with(docs: DataFrame, lists: DataFrame, column: str, how: str, s: Setting) -> DataFrame:
     """docs joined with stored lists: broadcast if their counted bytes are few, else by a shuffled hash join."""
-    names = [c for c in lists.columns if c != "key"]
-    size = lists.agg(F.sum(sum((F.length(c) for c in names), F.lit(16)))).first()[0] or 0
+    size = lists.agg(F.sum(F.size(column) * 16 + 32)).first()[0] or 0
     return docs.join(F.broadcast(lists) if size <= s.broadcast_bytes else lists.hint("shuffle_hash"), "key", how)
 
 
@@ -530,7 +490,7 @@ def remove_repeats(docs: DataFrame, setting: Setting = Setting(), whole: bool =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows.select("key", "text"), setting, scratch)
-    rows = _with(rows, spans, "left", setting).select("doc_id", "text", "lo", "hi")
+    rows = _with(rows, spans, "spans", "left", setting).select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole
     return rows.mapInArrow(_cut(whole), schema)

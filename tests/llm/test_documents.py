@@ -195,10 +195,27 @@ def test_suffix_dedup_crowds(spark):
     passage = prose(rng, 60)
     texts = [f"{prose(rng, int(rng.integers(0, 40)))} {passage[: int(rng.integers(150, len(passage)))]} {prose(rng, int(rng.integers(0, 40)))}" for _ in range(80)]
     want = brute_repeats(texts, 120)
-    for setting in (S.Setting(length=120, gram=16), S.Setting(length=120, gram=16, pairs=3, batch=40), S.Setting(length=120, gram=16, hot=10)):
+    for setting in (S.Setting(length=120, gram=16), S.Setting(length=120, gram=16, pairs=3, batch=40), S.Setting(length=120, gram=16, hot=10), S.Setting(length=120, gram=16, hot=10, part=50, broadcast_bytes=0)):
         assert rows(S.remove_repeats(make(spark, texts), setting, whole=False), *COLUMNS) == want
 
 
+def test_suffix_dedup_levels_are_suffix_arrays():
+    """Entries of a level stand in the order of their bytes from the anchor on, after merges too."""
+    rng = np.random.default_rng(4)
+    family = S.Family(S.Setting(length=40, gram=8, batch=16))
+    width = family.half + 40
+    for _ in range(9):
+        n = int(rng.integers(5, 30))
+        head = np.stack([rng.integers(0, 9, n), rng.integers(0, 99, n), np.full(n, family.half), np.full(n, 40), np.zeros(n)], 1).astype(np.int64)
+        family.push(head, rng.integers(97, 99, (n, width)).astype(np.uint8))
+    family.flush()
+    sizes = [len(level[0]) for level in family.levels]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    for level in family.levels:
+        ahead = [bytes(row[family.half :]) for row in level[1]]
+        assert ahead == sorted(ahead)
+
+
 @pytest.mark.parametrize("texts", AWKWARD)
 def test_suffix_dedup_awkward(spark, texts):
     df = make(spark, texts).withColumn("key", F.lit("x")).withColumn("lo", F.lit(1))
