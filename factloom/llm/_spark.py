@@ -71,6 +71,22 @@ def small_enough(df: DataFrame, limit_rows: int) -> bool:
     return df.count() <= limit_rows
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, on: str, value: str, hot: int = 4096, most_bytes: int = 32 << 20) -> DataFrame:
+    """rows with `value` of their group; rows without a group go. groups (stored): on, n (rows of the group), value.
+
+    Rows of a group of more than `hot` do not meet in one task: those groups are few, so they are broadcast if their counted size allows
+    it, and their rows are dealt by a salt. Otherwise adaptive execution is left to split them.
+    """
+    large = groups.where(F.col("n") > hot).select(on, F.col(value).alias("_value"))
+    if 64 * large.count() > most_bytes:
+        return rows.join(groups.select(on, value), on)
+    marked = rows.join(F.broadcast(large), on, "left")
+    salt = F.when(F.col("_value").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(997))).cast("int")
+    small = groups.where(F.col("n") <= hot).select(on, value, F.lit(0).alias("_salt"))
+    out = marked.withColumn("_salt", salt).join(small, [on, "_salt"], "left").withColumn(value, F.coalesce(value, "_value"))
+    return out.where(F.col(value).isNotNull()).select(*rows.columns, value)
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): each node of an edge with the smallest node it reaches.
 

@@ -1,56 +1,82 @@
-"""Line dedup: runs of lines that occurred before are deleted, by prefix doubling over line-ID sequences.
+"""Line dedup: runs of lines that occurred before are deleted, found by distributed prefix doubling over line-ID sequences.
 
-Lines are numbered by hash. Names of runs of 1, 2, 4, ... lines are composed from names of halves inside each document
-(prefix doubling), the last step overlapping so that any run length is reached. Equal names form the intervals of the suffix
-array whose common prefix has at least that length; one grouped minimum finds the first member of every interval.
-Every later member is deleted; overlapping and adjacent members unite to the maximal repeated run. A run counts with
-`min_lines` lines, or as a single line of at least `line_chars` characters.
+A suffix is a place (document, line). Lines get names by hash; a suffix's name of length 2 h joins its name of length h with that of the
+suffix h lines further on, one join and one grouped minimum for each doubling. Suffixes with equal names of length h are the intervals of the
+suffix array whose longest common prefix has h lines or more (the array's order itself is not needed, so no suffixes are sorted). Suffixes
+that are alone in their interval leave, so the work shrinks with each doubling and ends with the longest repeated run.
+In every interval all members but the first are later copies of h lines; what the last doubling of each suffix shows is its longest
+repeated stretch, and overlapping and adjacent stretches unite to the maximal repeated runs of a document, which are deleted. A run counts
+with `min_lines` lines (that length is one of the lengths named), or as a single line of at least `line_chars` characters; with min_lines of 1
+only single lines count.
 
 The order is (doc_id, line number). The first copy of every line stays. Text is split at line feeds only; a kept
 text joins its lines with line feeds. Null texts stay null, empty texts have one empty line and stay. Rows with equal id and equal
-text are one document and get one result each; null ids sort first.
+text are one document and get one result each; null ids sort first. Rows of a line that is everywhere are dealt by a salt, so they
+meet in no task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm._spark import Scratch
+from factloom.llm._spark import Scratch, with_groups
 
 BROADCAST_BYTES = 32 << 20
 
 
-def _names(lines: Column, length: int) -> Column:
-    """Names of all runs of `length` lines, by doubling."""
-    names, have = F.transform(lines, lambda x: F.xxhash64(x)), 1
-    while have < length:
-        step = min(have, length - have)
-        names = _compose(names, step, have)
-        have += step
-    return names
+def lengths(min_lines: int) -> Iterator[tuple[int, int]]:
+    """(length of names, lines between the two joined names) of the doublings, `min_lines` among the lengths."""
+    have = 1
+    while True:
+        new = min(2 * have, min_lines) if have < min_lines else 2 * have
+        yield new, new - have
+        have = new
 
 
-def _compose(names: Column, step: int, have: int) -> Column:
-    ahead = F.slice(names, step + 1, F.greatest(F.size(names) - step, F.lit(0)))
-    behind = F.slice(names, 1, F.greatest(F.size(names) - step, F.lit(0)))
-    return F.zip_with(behind, ahead, lambda a, b: F.xxhash64(a, b, F.lit(have + step)))
+def _intervals(scratch: Scratch, suffixes: DataFrame) -> DataFrame:
+    """The suffixes whose name is not theirs alone, with the first place of their interval."""
+    place = F.struct("doc_id", "key", "line")
+    groups = scratch.store(suffixes.groupBy("name").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return with_groups(suffixes, groups, "name", "first")
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = 2, line_chars: int = 40, scratch: Scratch | None = None) -> DataFrame:
-    """key, gone (sorted numbers of the lines to delete) for the documents that lose lines. docs: key, doc_id, text."""
+def repeated_stretches(docs: DataFrame, min_lines: int = 2, line_chars: int = 40, scratch: Scratch | None = None) -> DataFrame:
+    """key, line, end: stretches of lines with an earlier copy. docs: key, doc_id, text."""
     scratch = scratch or Scratch(docs.sparkSession)
-    lines = F.split("text", "\n", -1)
-    one = F.transform(lines, lambda x, i: F.when(F.length(x) >= line_chars, F.struct(i.alias("line"), F.lit(1).alias("n"), F.xxhash64(x, F.lit(1)).alias("name"))))
-    one = F.filter(one, lambda x: x.isNotNull())
-    more = F.transform(_names(lines, min_lines), lambda x, i: F.struct(i.alias("line"), F.lit(min_lines).alias("n"), x.alias("name")))
-    runs = F.concat(one, more) if min_lines > 1 else F.concat(one, F.filter(more, lambda x: F.lit(line_chars <= 0)))
-    at = docs.where("text is not null").select("key", "doc_id", F.inline(runs))
-    place = F.struct("doc_id", "key", "line")
-    first = at.groupBy("name").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("name", "first")
-    later = at.join(first, "name").where(place > F.col("first"))
-    span = later.select("key", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line"))
-    return scratch.store(span.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("gone")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), (F.length(x) >= line_chars).alias("long"), F.xxhash64(x).alias("name")))
+    every = scratch.store(docs.where("text is not null").select("key", "doc_id", F.inline(lines)))
+    # a document of several equal rows counts once
+    live = scratch.store(_intervals(scratch, every).dropDuplicates(["key", "line"]))
+    later = F.struct("doc_id", "key", "line") > F.col("first")
+    out = [live.where(later & F.col("long")).select("key", "line", (F.col("line") + 1).alias("end"))]
+    live = live.select("key", "doc_id", "line", "name")
+    for length, step in lengths(min_lines) if min_lines > 1 else ():
+        ahead = live.select("key", (F.col("line") - step).alias("line"), F.col("name").alias("ahead"))
+        named = live.join(ahead, ["key", "line"]).select("key", "doc_id", "line", F.xxhash64("name", "ahead", F.lit(length)).alias("name"))
+        found = scratch.store(_intervals(scratch, scratch.store(named)))
+        if found.isEmpty():
+            break
+        if length >= min_lines:
+            out.append(found.where(later).select("key", "line", (F.col("line") + length).alias("end")))
+        live = found.select("key", "doc_id", "line", "name")
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("key", "line").agg(F.max("end").alias("end"))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 2, line_chars: int = 40, scratch: Scratch | None = None) -> DataFrame:
+    """key, gone (maximal runs to delete: line, end; in order) for the documents that lose lines. docs: key, doc_id, text."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    by = Window.partitionBy("key").orderBy("line")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    found = repeated_stretches(docs, min_lines, line_chars, scratch)
+    found = found.withColumn("new", F.coalesce(F.col("line") > F.max("end").over(before), F.lit(True)).cast("int"))
+    runs = found.withColumn("run", F.sum("new").over(by)).groupBy("key", "run").agg(F.min("line").alias("line"), F.max("end").alias("end"))
+    return scratch.store(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "end"))).alias("gone")))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2, line_chars: int = 40) -> DataFrame:
@@ -61,16 +87,21 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, line_chars: int = 40) -> Dat
         raise ValueError(f"reserved column names: {clash}")
     text = F.col("text").cast("string")
     rows = docs.withColumn("_key", F.xxhash64("doc_id", text, text.isNull()))
-    gone = repeated_lines(rows.select(F.col("_key").alias("key"), "doc_id", text.alias("text")), min_lines, line_chars)
+    gone = repeated_runs(rows.select(F.col("_key").alias("key"), "doc_id", text.alias("text")), min_lines, line_chars)
     gone = gone.select(F.col("key").alias("_key"), F.col("gone").alias("_gone"))
-    size = gone.agg(F.sum(4 * F.size("_gone") + 32)).first()[0] or 0
+    size = gone.agg(F.sum(8 * F.size("_gone") + 32)).first()[0] or 0
     rows = rows.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone.hint("shuffle_hash"), "_key", "left")
     rows = rows.withColumn("_lines", F.split(text, "\n", -1))
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    gaps = F.filter("_gone", lambda x, i: (i == 0) | ~F.array_contains("_gone", x - 1))
+    # what stands between the runs, each stretch sliced once
+    count = F.size("_gone")
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("_gone", i - 1)["end"])
+    stop = lambda i: F.when(i == count, F.size("_lines")).otherwise(F.get("_gone", i)["line"])
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), count), lambda i: F.slice("_lines", begin(i) + 1, stop(i) - begin(i))))
+    removed = F.aggregate("_gone", F.lit(0), lambda n, run: n + run["end"] - run["line"])
+    whole = F.col("_gone").isNull()
     return rows.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns],
+        *[F.when(whole, text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns],
         F.coalesce(F.when(text.isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size(gaps)).cast("long").alias("n_runs"),
+        F.when(whole, 0).otherwise(removed).cast("long").alias("n_removed"),
+        F.when(whole, 0).otherwise(count).cast("long").alias("n_runs"),
     )
