@@ -8,6 +8,10 @@ only to the groups for which its distance to the pivot cannot exceed that bound.
 queries against blocks of rows with one matrix product each; tasks keep running results, so what a task returns is bounded
 by its queries, and no group of rows must fit into one task.
 
+Where products may pass 2^52 (or components the doubles), distances are taken of vectors scaled by a power of two, rows are narrowed by products
+in double precision with their error bound, and what is left is multiplied in integers of any size: ranks follow these, and a score
+beyond the range of a long is given as the nearest long.
+
 Rows with equal vec_id count as one where their vectors agree, and never as one another's neighbours. Vectors that are null, empty,
 hold null or non-finite components, or do not have the most common length take no part. Equal scores rank by
 smaller vec_id. Fewer candidates give fewer rows; an empty table gives none.
@@ -15,6 +19,8 @@ smaller vec_id. Fewer candidates give fewer rows; an empty table gives none.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -56,45 +62,64 @@ def _survey(batches):
         q = np.asarray(b.column("is_query").fill_null(False))[rows]
         for d in np.unique(size):
             _, x = vectors(b.take(pa.array(rows[size == d])), dim=int(d))
-            y = np.floor(SCALE * x)
+            with np.errstate(over="ignore"):
+                y = np.floor(SCALE * x)
+                y = np.where(np.abs(y) < 2.0**500, y, np.inf)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(d)], pa.int64()), pa.array([len(y)], pa.int64()), pa.array([int(q[size == d].sum())], pa.int64()), pa.array([float((y * y).sum(1).max(initial=0))])], ["dim", "n", "n_q", "m2"]
+                [pa.array([int(d)], pa.int64()), pa.array([len(y)], pa.int64()), pa.array([int(q[size == d].sum())], pa.int64()), pa.array([float((y * y).sum(1).max(initial=0))]), pa.array([float(np.abs(x).max(initial=0))])],
+                ["dim", "n", "n_q", "m2", "top"],
             )
 
 
-class Space:
-    """The lifted space and its pivots."""
+def whole(x: np.ndarray) -> list[int]:
+    """floor(256 x) of each component, as integers of any size."""
+    return [int(v) * 256 if abs(v) >= 2.0**53 else math.floor(v * SCALE) for v in x.tolist()]
 
-    def __init__(self, dim: int, m2: float, pivots: np.ndarray):
-        self.dim, self.m2 = dim, m2
-        self.pivots = self.lift(pivots)
+
+class Space:
+    """The lifted space and its pivots. Narrow: all products fit a double exactly; else vectors are scaled by 2^-shift for distances."""
+
+    def __init__(self, dim: int, m2: float, top: float, pivots: np.ndarray):
+        self.dim, self.narrow, self.shift = dim, m2 < 2**52, 0
+        if not self.narrow:
+            self.shift = max(0, math.frexp(top)[1] + 8 - 400)
+            m2 = dim * (math.ldexp(top, 8 - self.shift) + 1) ** 2
+        self.m2, self.slack = m2, EPS * math.sqrt(m2)
+        self.pivots = self.lift(np.unique(self.metric(pivots), axis=0))
+
+    def metric(self, x: np.ndarray) -> np.ndarray:
+        """floor(256 x), scaled."""
+        if self.narrow:
+            return np.floor(SCALE * x)
+        large = np.abs(x) >= 2.0**53
+        return np.where(large, np.ldexp(x, 8 - self.shift), np.ldexp(np.floor(SCALE * np.where(large, 0, x)), -self.shift))
+
+    def sent(self, x: np.ndarray) -> np.ndarray:
+        """What travels: integers as doubles, or else the vectors as they are."""
+        return np.floor(SCALE * x) if self.narrow else x
 
     def lift(self, y: np.ndarray) -> np.ndarray:
         return np.concatenate([y, np.sqrt(np.maximum(0, self.m2 - (y * y).sum(1)))[:, None]], 1)
 
-    def far(self, y: np.ndarray, query: bool) -> np.ndarray:
+    def far(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Distances of rows, or of queries, to the pivots."""
-        x = np.concatenate([y, np.zeros((len(y), 1))], 1) if query else self.lift(y)
-        d2 = (x * x).sum(1)[:, None] + (self.pivots * self.pivots).sum(1)[None, :] - 2 * x @ self.pivots.T
+        y = self.metric(x)
+        y = np.concatenate([y, np.zeros((len(y), 1))], 1) if query else self.lift(y)
+        d2 = (y * y).sum(1)[:, None] + (self.pivots * self.pivots).sum(1)[None, :] - 2 * y @ self.pivots.T
         return np.sqrt(np.maximum(0, d2))
 
 
-def _ints(batch: pa.RecordBatch, dim: int):
-    rows, x = vectors(batch, dim=dim)
-    return rows, np.floor(SCALE * x)
-
-
 def _summaries(space: Space, k: int):
     """kind 0: near distance of a group of rows and the vec_id at it, each vec_id once; 1: radius of a group of queries."""
 
     def run(batches):
         for b in batches:
-            rows, y = _ints(b, space.dim)
+            rows, x = vectors(b, dim=space.dim)
             if not len(rows):
                 continue
             out = []
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-            d = space.far(y, False)
+            d = space.far(x, False)
             own = d.argmin(1)
             best = d[np.arange(len(d)), own]
             for j in np.unique(own):
@@ -104,7 +129,7 @@ def _summaries(space: Space, k: int):
                 out += [(0, int(j), int(c), float(v)) for c, v in zip(ids[at], best[at], strict=True)]
             q = np.asarray(b.column("is_query").fill_null(False))[rows]
             if q.any():
-                d = space.far(y[q], True)
+                d = space.far(x[q], True)
                 own = d.argmin(1)
                 best = d[np.arange(len(d)), own]
                 out += [(1, int(j), None, float(best[own == j].max())) for j in np.unique(own)]
@@ -135,15 +160,15 @@ def _queries(space: Space, salts: int):
 
     def run(batches):
         for b in batches:
-            rows, y = _ints(b, space.dim)
+            rows, x = vectors(b, dim=space.dim)
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-            own = space.far(y, True).argmin(1) if len(rows) else np.zeros(0, int)
+            own = space.far(x, True).argmin(1) if len(rows) else np.zeros(0, int)
             for i in np.unique(own):
                 at = np.flatnonzero(own == i)
                 for lo in range(0, len(at), BLOCK):
                     part = at[lo : lo + BLOCK]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(salts, i, np.int32)), pa.array(np.arange(salts, dtype=np.int32)), pa.array([ids[rows[part]].astype(np.int64).tobytes()] * salts, pa.binary()), pa.array([y[part].tobytes()] * salts, pa.binary())],
+                        [pa.array(np.full(salts, i, np.int32)), pa.array(np.arange(salts, dtype=np.int32)), pa.array([ids[rows[part]].astype(np.int64).tobytes()] * salts, pa.binary()), pa.array([space.sent(x[part]).tobytes()] * salts, pa.binary())],
                         ["pivot", "salt", "q_ids", "q_vecs"],
                     )
 
@@ -156,20 +181,20 @@ def _replicas(space: Space, theta: dict[int, float], radius: dict[int, float], s
     def run(batches):
         turn = 0
         for b in batches:
-            rows, y = _ints(b, space.dim)
+            rows, x = vectors(b, dim=space.dim)
             if not len(rows):
                 continue
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-            d = space.far(y, False)
+            d = space.far(x, False)
             turn += int(ids[0])
             for i, t in theta.items():
                 # |q - s| >= |s - p| - |q - p| for every query of the group
-                need = np.flatnonzero(d[:, i] - radius[i] <= t * (1 + EPS) + EPS)
+                need = np.flatnonzero(d[:, i] - radius[i] <= t * (1 + EPS) + space.slack)
                 for lo in range(0, len(need), 8192):
                     part = need[lo : lo + 8192]
                     turn += 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i], pa.int32()), pa.array([turn % salts], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([y[part].tobytes()], pa.binary())], ["pivot", "salt", "ids", "vecs"]
+                        [pa.array([i], pa.int32()), pa.array([turn % salts], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([space.sent(x[part]).tobytes()], pa.binary())], ["pivot", "salt", "ids", "vecs"]
                     )
 
     return run
@@ -189,9 +214,48 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return score[new][:k], ids[new][:k]
 
 
-def _solve(dim: int, m2: float, k: int):
-    """Blocks of queries against blocks of rows; a running result for each query."""
-    exact = m2 < 2**52  # every partial sum of a product is then an integer that a double holds
+def _exact_scores(space: Space, q: np.ndarray, v: np.ndarray, name: int, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(-score, vec_id) of one wide query's best rows: those that the error of a product in doubles leaves possible, multiplied exactly."""
+    at = np.flatnonzero(ids != name)
+    a, b = space.metric(q[None, :])[0], space.metric(v[at])
+    score, error = b @ a, 4e-16 * (space.dim + 4) * np.sqrt((a * a).sum() * (b * b).sum(1)) + 1e-300
+    sure = np.sort(np.unique(ids[at], return_index=True)[1])
+    low = (score - error)[sure]
+    least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+    mine = whole(q)
+    return sorted({(-sum(x * y for x, y in zip(mine, whole(v[i]), strict=True)), int(ids[i])) for i in at[score + error >= least]})[:k]
+
+
+def _digits(score: int) -> str:
+    """Text that sorts as the numbers do, whatever their size: sign, number of digits, digits (turned for negative ones)."""
+    if score >= 0:
+        return f"1{len(str(score)):05d}{score}"
+    text = str(-score)
+    return f"0{99999 - len(text):05d}" + "".join("9876543210"[int(c)] for c in text)
+
+
+def _solve_wide(space: Space, k: int):
+    """As _solve, in integers of any size; turn is the score as text that sorts."""
+
+    def run(batches):
+        held: dict[int, list[tuple[int, int]]] = {}
+        for b in batches:
+            for r in range(b.num_rows):
+                q_ids, ids = (np.frombuffer(b.column(c)[r].as_buffer(), np.int64) for c in ("q_ids", "ids"))
+                q, v = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(-1, space.dim) for c in ("q_vecs", "vecs"))
+                for i, name in enumerate(q_ids.tolist()):
+                    held[name] = sorted(set(held.get(name, [])) | set(_exact_scores(space, q[i], v, name, ids, k)))[:k]
+        for name, got in held.items():
+            near = [min(max(-s, -(2**63)), 2**63 - 1) for s, _ in got]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(got), pa.int64()), pa.array([c for _, c in got], pa.int64()), pa.array(near, pa.int64()), pa.array([_digits(-s) for s, _ in got], pa.string())], ["query_id", "vec_id", "score", "turn"]
+            )
+
+    return run
+
+
+def _solve(dim: int, k: int):
+    """Blocks of queries against blocks of rows; a running result for each query. Every partial sum is an integer that a double holds."""
 
     def run(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -199,7 +263,7 @@ def _solve(dim: int, m2: float, k: int):
             for r in range(b.num_rows):
                 q_ids, ids = (np.frombuffer(b.column(c)[r].as_buffer(), np.int64) for c in ("q_ids", "ids"))
                 q, v = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(-1, dim) for c in ("q_vecs", "vecs"))
-                score = (q @ v.T).astype(np.int64) if exact else q.astype(np.int64) @ v.astype(np.int64).T
+                score = (q @ v.T).astype(np.int64)
                 for i, name in enumerate(q_ids.tolist()):
                     s, c = best(score[i][ids != name], ids[ids != name], k)
                     if name in held:
@@ -209,10 +273,8 @@ def _solve(dim: int, m2: float, k: int):
         for lo in range(0, len(names), 10_000):
             part = names[lo : lo + 10_000]
             n = [len(held[x][0]) for x in part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part, n), pa.int64()), pa.array(np.concatenate([held[x][1] for x in part]), pa.int64()), pa.array(np.concatenate([held[x][0] for x in part]), pa.int64())],
-                ["query_id", "vec_id", "score"],
-            )
+            ids, scores = (np.concatenate([held[x][c] for x in part]) for c in (1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, n), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64()), pa.array([""] * len(ids))], ["query_id", "vec_id", "score", "turn"])
 
     return run
 
@@ -222,16 +284,17 @@ def topk_search(table: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     spark = table.sparkSession
     scratch = Scratch(spark)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query")).where("vec_id is not null and embedding is not null")
-    result = "query_id long, vec_id long, score long"
-    seen = rows.mapInArrow(_survey, "dim long, n long, n_q long, m2 double").groupBy("dim").agg(F.sum("n").alias("n"), F.sum("n_q").alias("n_q"), F.max("m2").alias("m2"))
+    result = "query_id long, vec_id long, score long, turn string"
+    seen = rows.mapInArrow(_survey, "dim long, n long, n_q long, m2 double, top double").groupBy("dim")
+    seen = seen.agg(F.sum("n").alias("n"), F.sum("n_q").alias("n_q"), F.max("m2").alias("m2"), F.max("top").alias("top"))
     top = seen.orderBy(F.desc("n"), "dim").first()
     if top is None or not top.n_q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, m2 = top.dim, top.m2
+    dim = top.dim
     n_pivots = int(min(MOST_PIVOTS, max(4, -(-top.n_q // 256))))
     sample = rows.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     sample = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("embedding").collect()
-    space = Space(dim, m2, np.unique(np.floor(SCALE * np.array([r.embedding for r in sample], dtype=np.float64)), axis=0))
+    space = Space(dim, top.m2, top.top, np.array([r.embedding for r in sample], dtype=np.float64))
     parts = rows.mapInArrow(_summaries(space, k), "kind int, pivot int, vec_id long, value double")
     near, radius = {}, {}
     turn = Window.partitionBy("pivot").orderBy("value", "vec_id")
@@ -245,6 +308,6 @@ def topk_search(table: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     asked = rows.where("is_query").mapInArrow(_queries(space, salts), "pivot int, salt int, q_ids binary, q_vecs binary")
     sent = rows.mapInArrow(_replicas(space, theta, radius, salts), "pivot int, salt int, ids binary, vecs binary")
     pairs = sent.join(asked.hint("shuffle_hash"), ["pivot", "salt"]).select("q_ids", "q_vecs", "ids", "vecs")
-    found = scratch.store(pairs.mapInArrow(_solve(dim, m2, k), result)).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = scratch.store(pairs.mapInArrow(_solve(dim, k) if space.narrow else _solve_wide(space, k), result)).distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("turn"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,7 @@
 """Operators on vectors against brute force, and on awkward tables."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,45 @@ def test_topk_counts_repeated_rows_once(spark):
     assert got == brute_topk(rows, 5, 1)
 
 
+@pytest.mark.parametrize("large", [1e4, 1e8, 1e17, 1e154, 1.7e308])
+def test_topk_beyond_doubles_and_longs(spark, large):
+    """Products that no double or long holds: ranks are exact, scores the nearest longs."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=4).clip(-1, 1) * rng.choice([1.0, 1e-3, large / 1e3, large], 4)], 0) for i in range(60)]
+    rows += [(100 + i, [large, -large, float(i), 0.5], 0) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in K.topk_search(df, F.col("vec_id") % 4 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    exact = {i: [Fraction(c) * 256 // 1 for c in e] for i, e, _ in rows}
+    want = []
+    for q in sorted(i for i in exact if i % 4 == 0):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[c], strict=True)), c) for c in exact if c != q)[:5]
+        want += [(q, r, c, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, c) in enumerate(best, 1)]
+    assert got == want
+
+
+def test_digits_sort_as_numbers():
+    rng = np.random.default_rng(1)
+    numbers = [int(a) ** int(b) * int(c) for a, b, c in zip(rng.integers(1, 99, 300), rng.integers(0, 60, 300), rng.choice([-1, 1], 300), strict=True)] + [0, -1, 1]
+    assert sorted(numbers) == sorted(numbers, key=K._digits)
+
+
+def test_graph_by_insertion():
+    """Links of each node are few and lead everywhere; searches of both sides find what brute force does."""
+    x, _ = cloud(5, 900, 24)
+    ids = np.random.default_rng(6).permutation(10**6)[: len(x)].astype(np.int64)
+    s = H.Setting(batch=32)
+    order = H.order_of_insertion(ids, s.links)
+    ids, unit = ids[order], H.unit_rows([list(map(float, r)) for r in x[order]])
+    graph = H.Graph.build(ids, unit, s)
+    assert [layer.shape for layer in graph.layers][0] == (900, 24) and all(len(a) > len(b) for a, b in zip(graph.layers, graph.layers[1:], strict=False))
+    truth = (unit @ unit.T >= s.cosine) & ~np.eye(len(ids), dtype=bool)
+    found = H.linked(graph, graph, s)
+    assert not (found & ~truth).any() and (found & truth).sum() >= 0.995 * truth.sum() > 0
+    # a graph without links reaches nothing, so the audit turns to exact comparison
+    lost = H.Graph(ids, unit, [np.full_like(layer, -1) for layer in graph.layers])
+    assert (H.linked(lost, lost, s) == truth).all()
+
+
 def brute_links(rows, cosine=0.93):
     ok = {i: (np.array(e, np.float64), c) for i, e, c in rows if i is not None and c is not None and e and all(v is not None and np.isfinite(v) for v in e) and any(e)}
     links = {i: set() for i, *_ in rows}
