@@ -71,6 +71,11 @@ def small_enough(df: DataFrame, limit_rows: int) -> bool:
     return df.count() <= limit_rows
 
 
+def side(df: DataFrame, most_bytes: int = 32 << 20, row_bytes: int = 256) -> DataFrame:
+    """A stored table as the side of a join: broadcast if its counted rows are few enough, else left to the planner."""
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+
+
 def with_groups(rows: DataFrame, groups: DataFrame, on: str, value: str, hot: int = 4096, most_bytes: int = 32 << 20) -> DataFrame:
     """rows with `value` of their group; rows without a group go. groups (stored): on, n (rows of the group), value.
 

@@ -1,14 +1,14 @@
 """Language identification of mixed-language text: script ranges, per-word scores, Viterbi with a switching penalty.
 
 A word is a run of letters; its script (UTF-8 lead bytes of the first letter) narrows the candidates to languages seen
-with that script. Known words score by their learned frequencies, others by byte trigrams. Viterbi labels every word,
+with that script. A word scores by the learned frequencies of its byte trigrams, its ends included. Viterbi labels every word,
 paying `penalty` for each change of language; consecutive equal labels are spans. The prediction is the language of most words.
 
 The exact path is computed word by word only where a change can pay off: if no stretch of words prefers other languages by more
 than the penalty, the best single language is the best path.
 
-Learning uses only texts with a language, at most about `most_docs` of them (chosen by hash of the id); tables hold at most
-`most_words` words and 2^17 trigram cells per language. Nothing but the text enters a prediction.
+Learning uses only texts with a language, at most about `most_docs` of them (chosen by hash of the id), and every word of these. Trigrams
+share 2^17 cells a language by hash, so the model has one size whatever was seen. Nothing but the text enters a prediction.
 
 Null texts and texts without a letter are `und` with score 0. Without labelled texts that have letters everything is `und`.
 Every row is predicted by itself, so repeated rows agree.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch, text_batches
+from factloom.llm._spark import text_batches
 
 U64 = np.uint64
 CELLS = 1 << 17
@@ -55,17 +55,19 @@ for _name, _leads in LEADS.items():
 
 @dataclass(frozen=True)
 class Setting:
-    """penalty of a change of language; lowest score of a language for a word against the best one."""
+    """penalty of a change of language; lowest score of a language for a word against the best one.
+
+    script_share: the least share of a language's words in a script that makes it a candidate there; most_docs: labelled texts to learn from.
+    """
 
     penalty: float = 12.0
     floor: float = -8.0
     script_share: float = 0.001
     most_docs: int = 20_000
-    most_words: int = 50_000
 
 
 class Words:
-    """Words of a slice: hashes, scripts, trigram cells of all letters, and where each word and text begins."""
+    """Words of a slice: scripts, trigram cells of all letters, and where each word and text begins."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         low = X.LOWER[data]
@@ -74,7 +76,6 @@ class Words:
         second[1:] = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
         low = np.where(second, low + 0x20, low).astype(np.uint8)
         start, end, self.first = X.words(low, offsets, LETTER)
-        self.hash = X.span_hash(X.prefix_hash(low), start, end)
         self.script = SCRIPT_OF[low[start]] if len(start) else np.zeros(0, np.int64)
         inside = np.zeros(len(low) + 1, np.int32)
         np.add.at(inside, start, 1)
@@ -92,7 +93,7 @@ class Words:
 
 
 def _learn(batches):
-    """lang, text -> counts: kind 0 trigram cell, 1 word, 2 script."""
+    """lang, text -> counts: kind 0 trigram cell, 1 script."""
     for b in batches:
         langs = np.array(b.column("lang").to_pylist(), dtype=object)
         for at, to, data, offsets in X.slices(b, "text"):
@@ -102,7 +103,7 @@ def _learn(batches):
             for lang in sorted(set(langs[at:to])):
                 mine = langs[owner] == lang if len(owner) else np.zeros(0, bool)
                 cells = w.cells[np.repeat(mine, size)] if len(size) else w.cells[:0]
-                for kind, x in ((0, cells), (1, w.hash[mine].view(np.int64)), (2, w.script[mine])):
+                for kind, x in ((0, cells), (1, w.script[mine])):
                     v, c = np.unique(x, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(v), pa.string()), pa.array(np.full(len(v), kind, np.int32)), pa.array(v.astype(np.int64)), pa.array(c.astype(np.int64))], ["lang", "kind", "item", "n"]
@@ -112,8 +113,8 @@ def _learn(batches):
 class Model:
     """Score tables; predictions for slices."""
 
-    def __init__(self, langs: list[str], cells: np.ndarray, words: np.ndarray, word_scores: np.ndarray, scripts: np.ndarray, s: Setting):
-        self.langs, self.cells, self.words, self.word_scores, self.scripts, self.s = langs, cells, words, word_scores, scripts, s
+    def __init__(self, langs: list[str], cells: np.ndarray, scripts: np.ndarray, s: Setting):
+        self.langs, self.cells, self.scripts, self.s = langs, cells, scripts, s
 
     @classmethod
     def fit(cls, docs: DataFrame, s: Setting = Setting()) -> "Model | None":
@@ -126,10 +127,7 @@ class Model:
         if n > s.most_docs:
             rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * s.most_docs / n))
         counts = rows.select("lang", "text").mapInArrow(_learn, "lang string, kind int, item long, n long")
-        counts = Scratch(docs.sparkSession).store(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
-        frequent = counts.where("kind = 1").groupBy("item").agg(F.sum("n").alias("t")).where("t > 1").orderBy(F.desc("t"), "item").limit(s.most_words).select("item")
-        known = counts.where("kind = 1").join(F.broadcast(frequent), "item").select("lang", "kind", "item", "n")
-        got = counts.where("kind <> 1").unionByName(known).toPandas()
+        got = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toPandas()  # CELLS and the scripts, for each language
         if got.empty:
             return None
         langs = sorted(got.lang.unique())
@@ -138,12 +136,8 @@ class Model:
         cells = np.full((CELLS, len(langs)), 0.5)
         pick = kind == 0
         cells[item[pick], at[pick]] += n[pick]
-        words = np.unique(item[kind == 1].view(U64)) if (kind == 1).any() else np.zeros(0, U64)
-        table = np.full((len(words), len(langs)), 0.5)
-        pick = kind == 1
-        table[np.searchsorted(words, item[pick].view(U64)), at[pick]] += n[pick]
         scripts = np.zeros((len(SCRIPTS), len(langs)))
-        pick = kind == 2
+        pick = kind == 1
         scripts[item[pick], at[pick]] = n[pick]
         share = scripts / np.maximum(1, scripts.sum(0))
 
@@ -151,21 +145,13 @@ class Model:
             y = np.log(x / x.sum(0))
             return (y - y.max(1, keepdims=True)).astype(np.float32)
 
-        total = np.maximum(1, table.sum(0))
-        word = np.log(table / total) if len(words) else table
-        word = np.maximum(s.floor, word - word.max(1, keepdims=True)).astype(np.float32) if len(words) else word.astype(np.float32)
-        return cls(langs, logs(cells), words, word, share >= s.script_share, s)
+        return cls(langs, logs(cells), share >= s.script_share, s)
 
     def scores(self, w: Words) -> np.ndarray:
         """Each word's score by language; the best candidate has 0."""
         if not len(w.begin):
             return np.zeros((0, len(self.langs)))
         y = np.add.reduceat(self.cells[w.cells], w.begin, axis=0).astype(np.float64)
-        if len(self.words):
-            at = np.searchsorted(self.words, w.hash)
-            at[at == len(self.words)] = 0
-            hit = self.words[at] == w.hash
-            y[hit] = self.word_scores[at[hit]]
         ok = self.scripts[w.script]
         ok |= ~ok.any(1)[:, None]
         y = np.where(ok, y, -np.inf)

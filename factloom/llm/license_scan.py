@@ -105,6 +105,13 @@ def _hits(s: Setting, known: np.ndarray):
     return run
 
 
+def _windows(lo: int, hi: int, size: int) -> list[tuple[int, int]]:
+    """A span as it is, or a longer one (many notices in a row) as windows that overlap by half, so each template stands whole in one."""
+    if hi - lo <= size:
+        return [(lo, hi)]
+    return [(at, min(hi, at + size)) for at in range(lo, hi - size // 2, size // 2)]
+
+
 def _checked(s: Setting):
     """key, text, spans -> key, label, template, first, last, score of the spans that hold their template."""
     templates = s.templates
@@ -119,12 +126,13 @@ def _checked(s: Setting):
                 good = []
                 for span in spans:
                     label, words, _ = templates[span["t"]]
-                    lo, hi = max(0, span["lo"] - s.near), min(len(start), span["hi"] + s.near + 1)
-                    mine = [low[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(start[lo:hi], end[lo:hi], strict=True)]
-                    blocks = [m for m in difflib.SequenceMatcher(None, mine, words, autojunk=False).get_matching_blocks() if m.size]
-                    score = sum(m.size for m in blocks) / len(words)
-                    if score >= s.least:
-                        good.append((-score, -len(words), label, lo + blocks[0].a, lo + blocks[-1].a + blocks[-1].size - 1))
+                    match = difflib.SequenceMatcher(None, [], words, autojunk=False)
+                    for lo, hi in _windows(max(0, span["lo"] - s.near), min(len(start), span["hi"] + s.near + 1), 2 * (len(words) + s.near)):
+                        match.set_seq1([low[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(start[lo:hi], end[lo:hi], strict=True)])
+                        blocks = [m for m in match.get_matching_blocks() if m.size]
+                        score = sum(m.size for m in blocks) / len(words)
+                        if score >= s.least:
+                            good.append((-score, -len(words), label, lo + blocks[0].a, lo + blocks[-1].a + blocks[-1].size - 1))
                 taken: list[tuple] = []
                 for span in sorted(good):
                     # similar templates match the same words: the best one names them

@@ -8,7 +8,8 @@ weight, saturated nodes come first, so each level is one window over the (few) n
 A leaf takes whole epochs and a prefix of one more. Each epoch has its own seeded order, by md5 of seed, epoch and
 doc_id; the prefix ends before the budget would be passed. Its end is found from running totals over 4096 ranges of the order and
 a sort of the one range that holds it, so a leaf with a third of all rows is never sorted as a whole. The
-documents themselves are not shuffled: each row compares its place with its leaf's end.
+documents themselves are not shuffled as long as the table of leaves is small (its rows are counted before each broadcast): each row
+compares its place with its leaf's end. A larger table of leaves is joined by a shuffle.
 
 Null values of a level form a node of their own, as the empty string. Null and empty texts have 0 tokens. Rows with equal
 doc_id in a leaf stand at one place and are taken or left together. Nodes without a weight have weight 1, a weight of 0 gives nothing.
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm._spark import Scratch
+from factloom.llm._spark import Scratch, side
 from factloom.llm.packing import n_words
 
 LEVELS = ("domain", "lang", "source")
@@ -99,17 +100,17 @@ def mix(docs: DataFrame, setting: Setting = Setting(), domain: Column | None = N
     leaves = facts.groupBy(*LEVELS).agg(F.sum("n").alias("supply"))
     plan = budgets(leaves, s).withColumn("whole", F.when(F.col("supply") > 0, F.least(F.floor(F.col("budget") / F.greatest("supply", F.lit(1))), F.lit(s.max_epochs))).otherwise(0))
     plan = plan.withColumn("left", F.col("budget") - F.col("whole") * F.col("supply"))
-    plan = scratch.store(plan.coalesce(1))
+    plan = scratch.store(plan)
     # the end of each leaf's prefix
-    placed = facts.join(F.broadcast(plan), list(LEVELS)).where("whole < %d" % s.max_epochs).withColumn("h", order(F.col("whole")))
+    placed = facts.join(side(plan), list(LEVELS)).where("whole < %d" % s.max_epochs).withColumn("h", order(F.col("whole")))
     placed = placed.select(*LEVELS, "left", "h", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "n", F.substring("h", 1, 3).alias("range"))
     ranges = placed.groupBy(*LEVELS, "left", "range").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
     by = Window.partitionBy(*LEVELS).orderBy("range")
     ranges = scratch.store(ranges.withColumn("through", F.sum("n").over(by)))
     ends = ranges.where("through <= left").groupBy(*LEVELS).agg(F.max("h").alias("end"))
     split = ranges.where("through > left").groupBy(*LEVELS).agg(F.min_by(F.struct("range", (F.col("through") - F.col("n")).alias("before")), "range").alias("x"))
-    split = split.select(*LEVELS, F.col("x.range").alias("range"), F.col("x.before").alias("before"))
-    inside = placed.join(F.broadcast(split), [*LEVELS, "range"])
+    split = scratch.store(split.select(*LEVELS, F.col("x.range").alias("range"), F.col("x.before").alias("before")))
+    inside = placed.join(side(split), [*LEVELS, "range"])
     inside = inside.withColumn("through", F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h", "id")))
     inner = inside.where("through <= left").groupBy(*LEVELS).agg(F.max(F.struct("h", "id")).alias("inner"))
     plan = plan.join(ends, list(LEVELS), "left").join(inner, list(LEVELS), "left")
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, setting: Setting = Setting(), domain: Column | None = N
     plan = plan.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("whole").alias("_whole"), end.alias("_end"), F.col("inner.id").alias("_end_id"))
     plan = scratch.store(plan)
     match = [c == F.col(f"_{n}") for c, n in zip(levels, LEVELS, strict=True)]
-    rows = docs.join(F.broadcast(plan), match[0] & match[1] & match[2])
+    rows = docs.join(side(plan), match[0] & match[1] & match[2])
     h, own = order(F.col("_whole")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     partial = (F.col("_whole") < s.max_epochs) & F.coalesce((h < F.col("_end")) | ((h == F.col("_end")) & (F.col("_end_id").isNull() | (own <= F.col("_end_id")))), F.lit(False))
     times = F.col("_whole") + F.when(partial, 1).otherwise(0)

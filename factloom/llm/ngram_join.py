@@ -18,7 +18,8 @@ documents form components.
   those do not cover are compared in blocks, so no link is lost.
 
 Null or empty texts are in the result with an empty set and no link. Repeated rows, ties and
-extra columns are harmless; rows without an id are ignored; an empty table gives an empty result.
+extra columns are harmless; rows without an id are ignored; an empty table gives an empty result. Rows of one id with different texts
+get a result each.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def sketch_gap(a: bytes, b: bytes) -> int:
 
 
 def digest(s: Setting):
-    """doc_id, text -> doc_id, n_shingles, cls, sketch."""
+    """doc_id, row, text -> doc_id, row, n_shingles, cls, sketch."""
 
     def run(batches):
         for b in batches:
@@ -182,7 +183,7 @@ def digest(s: Setting):
             for i, hs in _sets_of(b, s):
                 if len(hs):
                     n[i], cls[i], bins[i] = len(hs), set_key(hs), sketch(hs)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(cls), pa.array(bins, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), pa.array(cls), pa.array(bins, pa.binary())], ["doc_id", "row", "n_shingles", "cls", "sketch"])
 
     return run
 
@@ -256,9 +257,9 @@ def bucket_pairs(small: int):
         order = np.lexsort((values, keys))
         keys, values = keys[order], values[order]
         same = np.zeros(len(keys), bool)
-        same[1:] = (keys[1:] == keys[:-1]) & (values[1:] >> 1 == values[:-1] >> 1)
+        same[1:] = (keys[1:] == keys[:-1]) & (values[1:] >> 1 == values[:-1] >> 1) & (keys[1:] != THIN)
         if same.any():
-            # one entry per class and key; own roles win
+            # one entry per class and key; own roles win (but a thin class keeps both, as its key names no band)
             owns = values & 1
             last = np.flatnonzero(~np.append(same[1:], False))
             first = np.flatnonzero(~same)
@@ -350,14 +351,16 @@ class _Join:
         self.s, self.spark = s, docs.sparkSession
         self.scratch = Scratch(self.spark)
         text_batches(self.spark)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+        text = F.col("text").cast("string")
+        # row tells apart the texts of one id
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row")).where("doc_id is not null")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, hs) of the wanted classes (column cls), from one document of each."""
-        reps = self.scratch.store(self.classes.join(wanted, "cls", "left_semi").select("doc_id", "cls"))
+        reps = self.scratch.store(self.classes.join(wanted, "cls", "left_semi").select("doc_id", "row", "cls"))
         limit = self.s.broadcast_rows
         side = F.broadcast(reps) if reps.count() <= limit else reps
-        rows = self.docs.join(side, "doc_id").select("cls", "text")
+        rows = self.docs.join(side, ["doc_id", "row"]).select("cls", "text")
         return self.scratch.store(rows.mapInArrow(_set_rows(self.s), "cls long, hs binary"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -376,8 +379,8 @@ class _Join:
 
     def run(self) -> DataFrame:
         s, scratch = self.s, self.scratch
-        digests = scratch.store(self.docs.mapInArrow(digest(s), "doc_id long, n_shingles long, cls long, sketch binary"))
-        self.classes = scratch.store(digests.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+        digests = scratch.store(self.docs.mapInArrow(digest(s), "doc_id long, row long, n_shingles long, cls long, sketch binary"))
+        self.classes = scratch.store(digests.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select("of.*", "cls", "n_shingles", "sketch"))
         parts = buckets(self.spark) * 2
         packed = self.docs.mapInArrow(index_entries(s, parts), _PACKED)
         found = scratch.store(packed.repartition(parts, "part").mapInArrow(bucket_pairs(s.small), "kind int, a long, b long"))
@@ -429,7 +432,7 @@ class _Join:
         return out.distinct()
 
     def unpaid(self, members: DataFrame, thin: DataFrame, comp: DataFrame) -> DataFrame:
-        """cls, own, unpaid, crowded, doc_id: how many large buckets of several components a set is in, and the keys of all its large ones; thin sets too.
+        """cls, own, unpaid, crowded, doc_id, row: how many large buckets of several components a set is in, and the keys of all its large ones; thin sets too.
 
         Counted as all its large buckets less those of one component, where nothing is left to find.
         """
@@ -440,14 +443,14 @@ class _Join:
         n = members.groupBy("cls", "own").agg(F.count(F.lit(1)).alias("n"), F.collect_set("key").alias("crowded")).join(less, ["cls", "own"], "left")
         n = n.select("cls", "own", (F.col("n") - F.coalesce("less", F.lit(0))).alias("x"), "crowded").where("x > 0")
         n = n.union(thin.select("cls", "own", F.lit(0).cast("long").alias("x"), F.lit(None).cast("array<long>").alias("crowded"))).groupBy("cls", "own").agg(F.sum("x").cast("int").alias("unpaid"), F.max("crowded").alias("crowded"))
-        return self.scratch.store(n.join(self.classes.select("cls", "doc_id"), "cls"))
+        return self.scratch.store(n.join(self.classes.select("cls", "doc_id", "row"), "cls"))
 
     def uncovered(self, unpaid: DataFrame, comp: DataFrame) -> DataFrame:
         """Links that only mixed buckets could show: one-deletion neighbourhoods, then blocks."""
         scratch, s = self.scratch, self.s
         size = unpaid.agg(F.sum(F.coalesce(F.size("crowded"), F.lit(0)) * 8 + 48)).first()[0] or 0
         side = F.broadcast(unpaid) if size <= s.broadcast_bytes else unpaid.hint("shuffle_hash")
-        rows = self.docs.join(side, "doc_id").select("text", "cls", "own", "unpaid", "crowded")
+        rows = self.docs.join(side, ["doc_id", "row"]).select("text", "cls", "own", "unpaid", "crowded")
         heavy = scratch.store(rows.mapInArrow(_heavy(s), _HEAVY))
         if heavy.isEmpty():
             return heavy.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
@@ -588,7 +591,21 @@ def ngram_jaccard_join(docs: DataFrame, setting: Setting = Setting()) -> DataFra
     return _Join(docs, setting).run()
 
 
-def keep_one(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
-    """The documents less all but the one with the smallest doc_id of each component."""
-    gone = ngram_jaccard_join(docs, setting).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, setting: Setting = Setting(), also: DataFrame | None = None) -> DataFrame:
+    """The documents less all but the one with the smallest doc_id of each component.
+
+    also: further texts (doc_id, text) of these documents, such as those before a cut; a link of any of its texts links a document.
+    Rows of one id are one document: the row with the smallest text hash stays. Rows without an id stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select("doc_id", "text")
+    found = ngram_jaccard_join(texts if also is None else texts.unionByName(also.select("doc_id", "text")), setting)
+    links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    gone = components(scratch, links).where("node <> component").select(F.col("node").alias("doc_id"))
+    left = docs.join(scratch.store(gone), "doc_id", "left_anti")
+    again = scratch.store(left.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    first = left.join(again, "doc_id", "left_semi").withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    return left.join(again, "doc_id", "left_anti").unionByName(first)

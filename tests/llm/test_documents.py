@@ -230,6 +230,16 @@ def test_suffix_dedup_equal_ids(spark):
     assert got == [(4, 0), (5, 0), (len(long), len(long)), (len(long), len(long))]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows of one id are one document: linked by any of its texts, one row stays; rows without an id stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (3, b), (4, c), (4, c), (None, c), (None, c), (5, None), (5, None)]
+    got = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 4, 5]
+    also = spark.createDataFrame([(7, a)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.keep_one(spark.createDataFrame([(1, a), (7, "cut")], "doc_id long, text string"), also=also).collect()) == [1]
+
+
 # --- packing
 
 
@@ -445,9 +455,68 @@ def test_language_id(spark):
     assert {r.doc_id for r in L.accepted(df.withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("und"))).collect()} == set(range(len(texts))) - {121, 122, 123, 124}
 
 
+def brute_language(texts, labelled, langs, s):
+    """Predictions word by word: trigram frequencies, candidates by script, the best of all paths by a full Viterbi."""
+
+    def words(t):
+        low = (t or "").translate({c: c + 32 for c in [*range(0x41, 0x5B), *(set(range(0xC0, 0xDF)) - {0xD7})]})
+        return re.findall(rb"[a-zA-Z\x80-\xff]+", low.encode())
+
+    def cells(w):
+        z = b" " + w + b" "
+        return [((z[i] << 16 | z[i + 1] << 8 | z[i + 2]) * 0x9E3779B97F4A7C15 % 2**64) >> 47 for i in range(len(w))]
+
+    count, script = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for t, x in labelled:
+        for w in words(t):
+            count[x].update(cells(w))
+            script[x][int(L.SCRIPT_OF[w[0]])] += 1
+    log = {x: {} for x in langs}
+    total = {x: sum(count[x].values()) + 0.5 * L.CELLS for x in langs}
+    for c in set().union(*count.values()):
+        raw = {x: np.log((count[x][c] + 0.5) / total[x]) for x in langs}
+        for x in langs:
+            log[x][c] = np.float32(raw[x] - max(raw.values()))
+    none = {x: np.log(0.5 / total[x]) for x in langs}
+    none = {x: np.float32(v - max(none.values())) for x, v in none.items()}
+    out = []
+    for t in texts:
+        ws = words(t)
+        if not any(map(str.isalpha, t or "")):
+            out.append(("und", 0.0))
+            continue
+        rows = []
+        for w in ws:
+            y = {x: sum(float(log[x].get(c, none[x])) for c in cells(w)) for x in langs}
+            sc = int(L.SCRIPT_OF[w[0]])
+            ok = [x for x in langs if script[x][sc] / max(1, sum(script[x].values())) >= s.script_share] or langs
+            top = max(y[x] for x in ok)
+            rows.append([max(s.floor, y[x] - top) if x in ok else s.floor for x in langs])
+        path = L.viterbi(np.array(rows), s.penalty)
+        votes, total_y = Counter(path.tolist()), np.array(rows).sum(0)
+        j = max(votes, key=lambda c: (votes[c], total_y[c], -c))
+        out.append((langs[j], votes[j] / len(ws)))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    langs = ["el", "en", "fr"]
+    texts = [speech(rng, langs[i % 3], int(rng.integers(1, 30))) for i in range(90)]
+    texts += [f"{speech(rng, 'en', int(rng.integers(1, 30)))} {speech(rng, 'fr', int(rng.integers(1, 30)))} {speech(rng, 'el', int(rng.integers(0, 9)))}" for _ in range(40)]
+    texts += ["", None, "1 2", "É", "ÀÉÎ THE Ing", "Ж", "你好 the", "a1b2"]
+    labels = {i: langs[i % 3] for i in range(90)}
+    df = make(spark, texts, {i: labels.get(i) for i in range(len(texts))})
+    learn = [(t, labels[i]) for i, t in enumerate(texts) if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+    model = L.Model.fit(df.where(~L.held_out()).select("doc_id", "text", "lang"))
+    got = [(r.lang_pred, r.score) for r in L.language_id(df, model, spans=False).orderBy("doc_id").collect()]
+    want = brute_language(texts, learn, langs, L.Setting())
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+
+
 def test_viterbi_certificate():
     rng = np.random.default_rng(3)
-    model = L.Model(["a", "b", "c"], None, np.zeros(0), None, None, L.Setting(penalty=5.0))
+    model = L.Model(["a", "b", "c"], None, None, L.Setting(penalty=5.0))
     for _ in range(200):
         n = int(rng.integers(1, 30))
         y = -rng.random((n, 3)) * 4

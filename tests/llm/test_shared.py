@@ -74,6 +74,26 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == kept["packing"]
 
 
+def test_pipeline_near_copies_that_share_lines(spark, tmp_path):
+    """A near copy loses most lines to line dedup; its remains are still one of the group, and a clean text with a common line stays."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(500)]
+    lines = [[" ".join(rng.choice(words, 12)) for _ in range(12)] for _ in range(6)]
+    near = [*lines[0][:5], "one line that was changed here and there today", *lines[0][6:]]
+    shared = [*lines[1][:2], *(" ".join(rng.choice(words, 12)) for _ in range(10))]
+    texts = ["\n".join(x) for x in [*lines, near, shared]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (name, stage) in enumerate(P.STAGES[1:3]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert set(left) == {0, 1, 2, 3, 4, 5, 7} and len(left[7].split("\n")) == 10 and all(left[i] == texts[i] for i in range(6))
+
+
 def test_registry():
     import __spark_entry__ as e
 
