@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written and read again.
 
 Language ID drops documents without a language; line dedup deletes runs of lines that occurred before, and documents of which nothing is left;
-the n-gram join leaves one document of each near-duplicate group; mixing takes each source up to its budget; packing
+the n-gram join leaves one document of each near-duplicate group, cut texts being compared as they came in too; mixing takes each source up to its budget; packing
 forms batches of similar length.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._spark import Scratch
+from factloom.llm._spark import Scratch, side
 from factloom.llm.language_id import accepted
 from factloom.llm.line_dedup import line_dedup
 from factloom.llm.mixing import Setting as Mix
@@ -36,8 +36,16 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one(docs)
+    """One document of each group of near duplicates, by the texts as they are and, where an earlier stage cut them, as they came in.
+
+    Line dedup leaves only the differing lines of a near copy, so what was cut is compared whole too.
+    """
+    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    mark = F.xxhash64("text").alias("mark")
+    now = docs.where("doc_id is not null").select("doc_id", mark)
+    cut = came.select("doc_id", mark).join(now, "doc_id", "left_semi").join(now, ["doc_id", "mark"], "left_anti")
+    cut = Scratch(spark).store(cut.select("doc_id").distinct())
+    return keep_one(docs, also=came.join(side(cut), "doc_id", "left_semi"))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
