@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch, buckets, text_batches
+from factloom.llm._spark import Scratch, buckets, text_batches, with_groups
 
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
@@ -116,7 +116,7 @@ def _find_anchors(s: Setting):
 
 
 def _surroundings(s: Setting, parts: int):
-    """key, text, places (pos, hot) -> packed rows: kind 0 anchors with surroundings, 1 windows of hot grams, 2 certain spans."""
+    """key, text, places -> packed rows: kind 0 anchors with surroundings, 1 windows of hot grams, 2 certain spans."""
     half, reach = s.window - 1, s.length
 
     def run(batches):
@@ -128,8 +128,9 @@ def _surroundings(s: Setting, parts: int):
                 doc = np.repeat(np.arange(to - at), places.value_lengths().to_numpy(zero_copy_only=False))
                 if not len(doc):
                     continue
-                pos = places.flatten().field("pos").to_numpy(zero_copy_only=False).astype(np.int64) + offsets[doc]
-                hot = places.flatten().field("hot").to_numpy(zero_copy_only=False).astype(bool)
+                pos = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                hot = pos < 0
+                pos = np.where(hot, -1 - pos, pos) + offsets[doc]
                 own = key[at:to]
                 lo, hi = offsets[doc], offsets[doc + 1]
                 left, right = np.minimum(pos - lo, half), np.minimum(hi - pos, reach)
@@ -428,7 +429,8 @@ def _cut(whole: bool):
                     removed = spans = 0
                     spans_of = b.column("spans")[i]
                     if spans_of.is_valid:
-                        lo, hi = (spans_of.values.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+                        packed = spans_of.values.to_numpy(zero_copy_only=False)
+                        lo, hi = packed >> 32, packed & 0xFFFFFFFF
                         _, lo, hi = _joined(np.zeros(len(lo), np.int64), lo, hi)
                         keep = np.ones(len(raw), bool)
                         for x, y in zip(lo, hi, strict=True):
@@ -447,23 +449,18 @@ def _cut(whole: bool):
 
 
 def repeated_places(docs: DataFrame, s: Setting, scratch: Scratch) -> DataFrame:
-    """key, places (pos, hot): the anchors of each document whose gram occurs more than once. docs: key, text."""
+    """key, places of the anchors of each document whose gram occurs more than once; of a hot one, -1 - place. docs: key, text."""
     found = scratch.store(docs.mapInArrow(_find_anchors(s), "g long, key long, pos int"))
     grams = scratch.store(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    hot = grams.where(F.col("n") > s.hot).select("g")
-    if 16 * hot.count() <= s.broadcast_bytes:
-        marked = found.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-        rest = marked.where("not hot").join(grams.where(F.col("n") <= s.hot).select("g"), "g", "left_semi")
-        places = marked.where("hot").unionByName(rest)
-    else:  # adaptive execution splits the hot grams' places, and only they have a large share of them
-        places = found.join(grams.select("g", (F.col("n") > s.hot).alias("hot")), "g")
-    out = scratch.store(places.groupBy("key").agg(F.collect_list(F.struct("pos", "hot")).alias("places")))
+    places = with_groups(found, grams.withColumn("hot", F.col("n") > s.hot), "g", "hot", s.hot, s.broadcast_bytes)
+    place = F.when(F.col("hot"), -F.col("pos") - 1).otherwise(F.col("pos"))
+    out = scratch.store(places.groupBy("key").agg(F.collect_list(place).alias("places")))
     scratch.drop(found, grams)
     return out
 
 
 def repeated_spans(docs: DataFrame, setting: Setting = Setting(), scratch: Scratch | None = None) -> DataFrame:
-    """key, spans (lo, hi; they may overlap) of the documents that lose bytes. docs: key, text."""
+    """key, spans (lo * 2^32 + hi; they may overlap) of the documents that lose bytes. docs: key, text."""
     s, spark = setting, docs.sparkSession
     scratch = scratch or Scratch(spark)
     lists = repeated_places(docs, s, scratch)
@@ -472,14 +469,14 @@ def repeated_spans(docs: DataFrame, setting: Setting = Setting(), scratch: Scrat
     rows = _with(docs, lists, "places", "inner", s).select("key", "text", "places")
     near = rows.mapInArrow(_surroundings(s, parts), "kind int, part int, head binary, ctx binary").repartition(parts, "part")
     spans = near.mapInArrow(_match(s), "key long, lo long, hi long")
-    out = scratch.store(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    out = scratch.store(spans.groupBy("key").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans")))
     scratch.drop(lists)
     return out
 
 
 def _with(docs: DataFrame, lists: DataFrame, column: str, how: str, s: Setting) -> DataFrame:
     """docs joined with stored lists: broadcast if their counted bytes are few, else by a shuffled hash join."""
-    size = lists.agg(F.sum(F.size(column) * 16 + 32)).first()[0] or 0
+    size = lists.agg(F.sum(F.size(column) * 8 + 48)).first()[0] or 0
     return docs.join(F.broadcast(lists) if size <= s.broadcast_bytes else lists.hint("shuffle_hash"), "key", how)
 
 
