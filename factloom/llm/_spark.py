@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir); a local one only where it is unset and the master local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         have = sc._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors on other machines need a shared folder")
         folder = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="scratch-")
     return folder.rstrip("/")
 
