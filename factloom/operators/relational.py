@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import checkpointed
+
 
 def _row(df: DataFrame) -> Column:
     return F.struct(*df.columns)
@@ -70,10 +72,32 @@ def pool_part(position: Column, head: int = 6, every: int = 3) -> Column:
     return F.when(out, "held-out").otherwise("tuning")
 
 
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with `position` (from 0) in a global order. WIN-02, WIN-03.
+
+    A range-partitioned sort; each partition is numbered by itself from the count of rows before it, so no task holds all rows. Ties in the
+    order are numbered as they come: name enough columns.
+    """
+    rows = checkpointed(df.sort(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftrightunsigned("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(counts), "_part").withColumn("position", F.col("_first") + F.col("_place")).drop("_id", "_part", "_place", "_first")
+
+
+def numbered_by_group(df: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """df with `position` (from 0) in its group's order; a group may span many tasks. WIN-03."""
+    rows = numbered(df, group, *order)
+    first = rows.groupBy(group).agg(F.min("position").alias("_start"))
+    here = rows.join(first.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")))
+    return here.withColumn("position", F.col("position") - F.col("_start")).drop("_start", "_group")
+
+
 def rank_groups(df: DataFrame, key: str) -> DataFrame:
     """key, rows, rank by rows descending, key ascending. WIN-02, WIN-14, WIN-16."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rows"), key)))
+    return numbered(n, F.desc("rows"), F.col(key)).select(key, "rows", (F.col("position") + 1).cast("int").alias("rank"))
 
 
 def hash_order(seed: str, *columns: str) -> Column:

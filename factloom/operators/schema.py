@@ -60,37 +60,62 @@ def saturation(support: DataFrame, texts: int, points: Sequence[int], least: int
 
 
 def representative(candidates: Sequence[dict], n: int, group: str = "group") -> list[dict]:
-    """n diverse examples: groups in turn, each giving first what has a new text and a new maintainer. AGG-02."""
-    queues: dict = {}
+    """n diverse examples of one entry. AGG-02.
+
+    Groups with more distinct texts come first (ties by name) and give one example a round, those with a text not yet shown before the others. A group
+    gives first what has a new text and a new maintainer, then what has one of them, smaller texts first, and each text once. `texts` of a candidate is
+    the number of its group's texts, where the candidates are a part of them.
+    """
+    key = lambda x: (x is not None, x)  # noqa: E731  nulls first
+    held: dict = {}
     for c in candidates:
-        queues.setdefault(c[group], []).append(c)
-    order = sorted(queues, key=lambda g: (-len(queues[g]), str(g)))
+        held.setdefault(c[group], set()).add((c["text"], c["maintainer"]))
+    size = {g: len({t for t, _ in rows}) for g, rows in held.items()} | {c[group]: c["texts"] for c in candidates if "texts" in c}
+    order = sorted(held, key=lambda g: (-size[g], str(g)))
     out, texts, makers = [], set(), set()
-    while len(out) < n and any(queues.values()):
-        for g in order:
-            if queues[g] and len(out) < n:
-                best = min(range(len(queues[g])), key=lambda i: ((queues[g][i]["text"] in texts) + (queues[g][i]["maintainer"] in makers), i))
-                c = queues[g].pop(best)
-                texts.add(c["text"])
-                makers.add(c["maintainer"])
-                out.append(c)
+    while len(out) < n and any(held.values()):
+        waiting = [g for g in order if held[g]]
+        while waiting and len(out) < n:
+            g = next((g for g in waiting if any(t not in texts for t, _ in held[g])), waiting[0])
+            waiting.remove(g)
+            text, maker = min(held[g], key=lambda r: ((r[0] in texts) + (r[1] in makers), key(r[0]), key(r[1])))
+            held[g] = {r for r in held[g] if r[0] != text}
+            texts.add(text)
+            makers.add(maker)
+            out.append({group: g, "text": text, "maintainer": maker})
     return out
 
 
-def representative_examples(df: DataFrame, entry: str, n: int, group: str, text: str, maintainer: str, per_group: int = 50) -> DataFrame:
-    """entry, place, text: representative examples of each entry.
+def representative_examples(df: DataFrame, entry: str, n: int, group: str, text: str, maintainer: str) -> DataFrame:
+    """entry, place, text: representative examples of each entry, by the rule of `representative` over all of its rows.
 
-    Only the first `per_group` texts of a (entry, group) can be wanted while n <= per_group, so a frequent entry never
-    brings all its rows to one task.
+    A frequent entry does not bring all its rows to one task: with n examples, fewer than n texts and n maintainers are taken at any time, so
+    of a group's rows only the first n of each text, of these the first n of each maintainer and of these the first 2 n^2 can be chosen; and of an entry's groups
+    only the first n, and the first n of each text's groups, of these the first n^2 + n. What is left out has earlier rows or groups to be chosen before it.
     """
-    by = Window.partitionBy(entry, group).orderBy(text, maintainer)
-    rows = df.select(entry, group, text, maintainer).distinct().withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= max(per_group, n))
+
+    def first(rows: DataFrame, most: int, by: list[str], *order) -> DataFrame:
+        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
+
+    rows = df.select(entry, group, text, maintainer).distinct()
+    texts = rows.select(entry, group, text).distinct()
+    turn = [F.desc("_n"), F.col("_s")]
+    ranked = texts.groupBy(entry, group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.coalesce(F.col(group).cast("string"), F.lit("None")))
+    same = F.col(f"t.{entry}").eqNullSafe(F.col(f"r.{entry}")) & F.col(f"t.{group}").eqNullSafe(F.col(f"r.{group}"))
+    named = texts.alias("t").join(ranked.alias("r"), same).select("t.*", "r._n", "r._s")
+    groups = first(named, n, [entry, text], *turn).drop(text).unionByName(first(ranked, n, [entry], *turn)).distinct()
+    groups = first(groups, n * n + n, [entry], *turn).select(entry, group, "_n")
+    same = F.col(f"x.{entry}").eqNullSafe(F.col(f"g.{entry}")) & F.col(f"x.{group}").eqNullSafe(F.col(f"g.{group}"))
+    rows = rows.alias("x").join(groups.alias("g"), same).select("x.*", "g._n")
+    rows = first(rows, n, [entry, group, text], maintainer)
+    rows = first(rows, n, [entry, group, maintainer], text)
+    rows = first(rows, 2 * n * n, [entry, group], text, maintainer)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def pick(pdf):
         import pandas as pd
 
-        found = representative([{"group": r[1], "text": r[2], "maintainer": r[3]} for r in pdf.sort_values([group, "_k"])[[entry, group, text, maintainer]].itertuples(index=False)], n)
+        found = representative([dict(zip(("group", "text", "maintainer", "texts"), r, strict=True)) for r in pdf[[group, text, maintainer, "_n"]].astype(object).where(pdf[[group, text, maintainer, "_n"]].notna(), None).itertuples(index=False, name=None)], n)
         return pd.DataFrame({entry: [pdf[entry].iloc[0]] * len(found), "place": range(1, len(found) + 1), text: [f["text"] for f in found]})
 
     return rows.groupBy(entry).applyInPandas(pick, f"{entry} {kinds[entry]}, place int, {text} {kinds[text]}")

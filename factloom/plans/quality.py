@@ -308,7 +308,7 @@ ORACLES = {
       SELECT c_mktsegment, p, round(max(s) OVER (ORDER BY k), 6) AS adjusted FROM s""",
     "sign_flip_exact": f"""WITH {JUDGED}, h AS (SELECT source, sum(CASE WHEN doc_id % 2 = 0 THEN "both" ELSE 0 END) AS n0, sum(CASE WHEN doc_id % 2 = 0 THEN said ELSE 0 END) AS d0,
       sum(CASE WHEN doc_id % 2 = 1 THEN "both" ELSE 0 END) AS n1, sum(CASE WHEN doc_id % 2 = 1 THEN said ELSE 0 END) AS d1 FROM j GROUP BY 1),
-      t AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i FROM h QUALIFY i < 10), m AS (SELECT unnest(range(1024)) AS mask),
+      t AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i FROM h), m AS (SELECT unnest(range(1::BIGINT << (SELECT count(*) FROM h)::INTEGER)) AS mask),
       s AS (SELECT mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN n1 ELSE n0 END) AS a, sum(CASE WHEN (mask >> i) & 1 = 1 THEN d1 ELSE d0 END) AS b,
       sum(CASE WHEN (mask >> i) & 1 = 1 THEN n0 ELSE n1 END) AS c, sum(CASE WHEN (mask >> i) & 1 = 1 THEN d0 ELSE d1 END) AS d FROM m, t GROUP BY 1),
       f AS (SELECT mask, abs(a * d - c * b) AS x, b * d AS y FROM s), z AS (SELECT x AS x0, y AS y0 FROM f WHERE mask = 0)

@@ -91,7 +91,7 @@ def stratified_hash_sample(spark, sf_dir):
 def seeded_group_order(spark, sf_dir):
     """The whole seeded order of each language; every prefix is a sample (WIN-03)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("h", R.hash_order("3", "lang", "doc_id"))
-    return docs.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")).cast("long").alias("place"))
+    return R.numbered_by_group(docs, "lang", "h", "doc_id").select("doc_id", "lang", (F.col("position") + 1).alias("place"))
 
 
 def largest_remainder_allocation(spark, sf_dir):
@@ -377,7 +377,7 @@ ORACLES = {
     "merge_chain_resolve": """WITH RECURSIVE s AS (SELECT DISTINCT p_size AS old, (p_size // 2)::INTEGER AS new FROM part WHERE p_size > 1),
       r(old, new) AS (SELECT old, new FROM s UNION ALL SELECT r.old, s.new FROM r JOIN s ON s.old = r.new) SELECT old, min(new)::INTEGER AS new FROM r GROUP BY 1""",
     "lineage_walk": """WITH RECURSIVE e AS (SELECT 'o#' || o_orderkey AS child, 'c#' || o_custkey AS parent FROM orders UNION ALL SELECT 'c#' || c_custkey, 'n#' || c_nationkey FROM customer UNION ALL SELECT 'n#' || n_nationkey, 'r#' || n_regionkey FROM nation),
-      r(node, depth) AS (SELECT 'o#' || o_orderkey, 0 FROM orders WHERE o_orderkey % 97 = 0 UNION SELECT e.parent, r.depth + 1 FROM r JOIN e ON e.child = r.node) SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY 1""",
+      r(node, depth) AS (SELECT 'o#' || o_orderkey, 0 FROM orders UNION SELECT e.parent, r.depth + 1 FROM r JOIN e ON e.child = r.node) SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY 1""",
     "set_algebra": """WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders), b AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0)
       SELECT 'both' AS "set", count(*) AS n FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'first only', count(*) FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'second only', count(*) FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'either', count(*) FROM (FROM a UNION FROM b)""",
     "batches_union": "WITH u AS (SELECT c_custkey AS id, 'first' AS batch FROM customer UNION ALL SELECT s_suppkey, 'second' FROM supplier) SELECT id, min(batch) AS batch, count(*) AS copies FROM u GROUP BY 1",

@@ -44,8 +44,12 @@ def fetch(url: str, start: int, rows: int, tries: int = 5, pause: float = 1.0) -
     raise AssertionError
 
 
-def _rows(url: str, start: int, rows: int, pause: float) -> Iterator[tuple]:
-    for place, record in enumerate(fetch(url, start, rows, pause=pause)["results"]):
+def _rows(url: str, start: int, rows: int, pause: float, due: int | None = None) -> Iterator[tuple]:
+    """The records of a page; fewer than are due is an error, so no scan loses records silently."""
+    records = fetch(url, start, rows, pause=pause)["results"]
+    if due is not None and len(records) < due:
+        raise ValueError(f"page at {start}: {len(records)} records, {due} due")
+    for place, record in enumerate(records):
         yield (start + place, str(record.get("id") or ""), json.dumps(record))
 
 
@@ -63,7 +67,7 @@ class _Reader(DataSourceReader):
         return [Page(s) for s in range(0, self.count, self.rows)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        yield from _rows(self.url, partition.start, self.rows, self.pause)
+        yield from _rows(self.url, partition.start, self.rows, self.pause, min(self.rows, self.count - partition.start))
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -78,7 +82,8 @@ class _Stream(SimpleDataSourceStreamReader):
         return iter(got), {"start": start["start"] + len(got)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return _rows(self.url, start["start"], end["start"] - start["start"], self.pause)
+        size = end["start"] - start["start"]
+        return _rows(self.url, start["start"], size, self.pause, size)
 
 
 class PagedCatalog(DataSource):

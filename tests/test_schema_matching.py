@@ -1,3 +1,4 @@
+import random
 from itertools import permutations
 
 import pytest
@@ -81,6 +82,23 @@ def test_representative(spark):
     assert S.representative_examples(df, "entry", 3, "grp", "txt", "who").count() == 3
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_representative_over_many_rows(spark, seed):
+    """What is kept of a frequent entry decides as all of its rows would: the 61st row with a new maintainer is still found."""
+    rng = random.Random(seed)
+    rows = [("one", "Z", f"t{i:02d}", "m0") for i in range(60)] + [("one", "Z", "t60", "m1"), ("one", "B", "t00", "m0")]
+    for e in range(25):
+        n_texts, n_makers, n_groups = rng.choice((2, 4, 30)), rng.choice((1, 3, 20)), rng.choice((1, 5, 40))
+        rows += [(f"e{e}", f"g{rng.randrange(n_groups)}", f"t{rng.randrange(n_texts):02d}", f"m{rng.randrange(n_makers)}") for _ in range(rng.choice((3, 40, 300)))]
+    df = spark.createDataFrame(rows, "entry string, grp string, txt string, who string")
+    for n in (1, 2, 4):
+        got = {}
+        for r in S.representative_examples(df, "entry", n, "grp", "txt", "who").orderBy("entry", "place").collect():
+            got.setdefault(r.entry, []).append(r.txt)
+        want = {e: [c["text"] for c in S.representative([dict(group=g, text=t, maintainer=m) for x, g, t, m in rows if x == e], n)] for e in {r[0] for r in rows}}
+        assert got == want
+
+
 def test_request_chunks(spark):
     df = spark.createDataFrame([(i, 10) for i in range(20)], "k int, n int").coalesce(1)
     got = S.request_chunks(df, 3, 1000, "k", "n").groupBy("part", "chunk").count().collect()

@@ -234,3 +234,18 @@ def test_streaming_landing(spark, tmp_path):
     w = M.counts_by_window(stream, "at", "id", "10 minutes", "5 minutes", "1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert sum(r.n for r in spark.table("w").collect()) == 8
+
+
+def test_latest_stream_leaves_conflicts_out(spark):
+    df = spark.createDataFrame([("a", "2020-01-01", "x"), ("a", "2020-01-02", "y"), ("a", "2020-01-02", "z"), ("b", "2020-01-02", "p"), ("b", "2020-01-02", "p"), ("b", "2020-01-01", "q")], "k string, d string, v string")
+    got = M.latest_stream(df.select("k", F.to_timestamp("d").alias("t"), "v"), ["k"], "t", "v")
+    assert rows(got, "k", "v") == [("a", None), ("b", "p")]
+
+
+def test_short_page_is_an_error(monkeypatch):
+    from factloom.sources import paged
+
+    monkeypatch.setattr(paged, "fetch", lambda *a, **k: {"count": 5, "results": [{"id": "1"}, {"id": "2"}]})
+    assert len(list(paged._rows("u", 0, 3, 0.0))) == 2
+    with pytest.raises(ValueError, match="2 records, 3 due"):
+        list(paged._rows("u", 0, 3, 0.0, 3))
