@@ -40,6 +40,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """Delete all tables stored here; nothing still to be computed may read them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete stored tables that nothing still to be computed reads."""
         jvm = self.spark._jvm

@@ -348,8 +348,7 @@ def _set_rows(s: Setting):
 
 class _Join:
     def __init__(self, docs: DataFrame, s: Setting):
-        self.s, self.spark = s, docs.sparkSession
-        self.scratch = Scratch(self.spark)
+        self.s, self.spark, self.scratch = s, docs.sparkSession, Scratch(docs.sparkSession)
         text_batches(self.spark)
         text = F.col("text").cast("string")
         # row tells apart the texts of one id
@@ -594,15 +593,21 @@ def ngram_jaccard_join(docs: DataFrame, setting: Setting = Setting()) -> DataFra
 def keep_one(docs: DataFrame, setting: Setting = Setting(), also: DataFrame | None = None) -> DataFrame:
     """The documents less all but the one with the smallest doc_id of each component.
 
-    also: further texts (doc_id, text) of these documents, such as those before a cut; a link of any of its texts links a document.
+    also: other texts (doc_id, text) of these and maybe more documents, such as all texts before a cut; documents that they link belong together too.
+    The two sets of texts are joined one after the other, each among itself, and their links united.
     Rows of one id are one document: the row with the smallest text hash stays. Rows without an id stay.
     """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    found = ngram_jaccard_join(texts if also is None else texts.unionByName(also.select("doc_id", "text")), setting)
-    links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    gone = components(scratch, links).where("node <> component").select(F.col("node").alias("doc_id"))
-    left = docs.join(scratch.store(gone), "doc_id", "left_anti")
+    scratch, links = Scratch(docs.sparkSession), None
+    for texts in (docs,) if also is None else (docs, also):
+        join = _Join(texts, setting)
+        found = join.run().where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        found = scratch.store(found.distinct())
+        join.scratch.clear()
+        links = found if links is None else links.unionByName(found)
+    members = scratch.store(components(scratch, links)).join(docs.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+    heads = members.groupBy("component").agg(F.min("node").alias("head"))
+    gone = scratch.store(members.join(heads, "component").where("node <> head").select(F.col("node").alias("doc_id")))
+    left = docs.join(gone, "doc_id", "left_anti")
     again = scratch.store(left.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     if again.isEmpty():
         return left
