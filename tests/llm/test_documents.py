@@ -236,7 +236,7 @@ def test_keep_one_of_repeated_ids(spark):
     rows = [(1, a), (2, b), (2, a), (3, b), (4, c), (4, c), (None, c), (None, c), (5, None), (5, None)]
     got = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 4, 5]
-    also = spark.createDataFrame([(7, a)], "doc_id long, text string")
+    also = spark.createDataFrame([(1, a), (7, a), (0, a), (9, b)], "doc_id long, text string")  # 0 and 9 are not among the documents
     assert sorted(r.doc_id for r in N.keep_one(spark.createDataFrame([(1, a), (7, "cut")], "doc_id long, text string"), also=also).collect()) == [1]
 
 
