@@ -7,7 +7,8 @@ rebuilt deterministically in each worker.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,19 @@ _BYTE = None
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def tidy(run: Callable) -> Callable:
+    """run, and what it leaves free goes back to the system: Python workers live on between tasks, and so would their largest size."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = np.asarray(x, dtype=U64)

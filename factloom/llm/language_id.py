@@ -260,7 +260,7 @@ def _labelled(docs: DataFrame, model: Model | None, spans: bool, keep: tuple[str
     kind = rows.schema["_row"].dataType.simpleString()
     schema = f"_row {kind}, lang_pred string, score double" + ", spans array<struct<first:int,last:int,lang:string>>" * spans
     shared = docs.sparkSession.sparkContext.broadcast(model) if model else None  # bounded by the setting
-    return rows.mapInArrow(_predict(shared, spans), schema)
+    return rows.mapInArrow(X.tidy(_predict(shared, spans)), schema)
 
 
 def language_id(docs: DataFrame, model: Model | None, spans: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -351,16 +351,16 @@ class _Join:
         self.s, self.spark, self.scratch = s, docs.sparkSession, Scratch(docs.sparkSession)
         text_batches(self.spark)
         text = F.col("text").cast("string")
-        # row tells apart the texts of one id
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row")).where("doc_id is not null")
+        # row stands for an id and a text
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("row")).where("doc_id is not null")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, hs) of the wanted classes (column cls), from one document of each."""
-        reps = self.scratch.store(self.classes.join(wanted, "cls", "left_semi").select("doc_id", "row", "cls"))
+        reps = self.scratch.store(self.classes.join(wanted, "cls", "left_semi").select("row", "cls"))
         limit = self.s.broadcast_rows
         side = F.broadcast(reps) if reps.count() <= limit else reps
-        rows = self.docs.join(side, ["doc_id", "row"]).select("cls", "text")
-        return self.scratch.store(rows.mapInArrow(_set_rows(self.s), "cls long, hs binary"))
+        rows = self.docs.join(side, "row").select("cls", "text")
+        return self.scratch.store(rows.mapInArrow(X.tidy(_set_rows(self.s)), "cls long, hs binary"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar; sizes and sketches first, then whole sets."""
@@ -368,21 +368,21 @@ class _Join:
         size = self.classes.select("cls", "n_shingles", "sketch")
         pairs = pairs.join(size.toDF("a", "n_a", "sketch_a"), "a").join(size.toDF("b", "n_b", "sketch_b"), "b")
         pairs = pairs.where(F.least("n_a", "n_b") * s.den >= F.greatest("n_a", "n_b") * s.num)
-        pairs = self.scratch.store(pairs.mapInArrow(_possible(s), "a long, b long"))
+        pairs = self.scratch.store(pairs.mapInArrow(X.tidy(_possible(s)), "a long, b long"))
         sets = self.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
         left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
         out = pairs.join(right, "b").join(left, "a").select("a", "set_a", "b", "set_b")
-        out = self.scratch.store(out.mapInArrow(_verified(s), "a long, b long").dropDuplicates())
+        out = self.scratch.store(out.mapInArrow(X.tidy(_verified(s)), "a long, b long").dropDuplicates())
         self.scratch.drop(pairs, sets)
         return out
 
     def run(self) -> DataFrame:
         s, scratch = self.s, self.scratch
-        digests = scratch.store(self.docs.mapInArrow(digest(s), "doc_id long, row long, n_shingles long, cls long, sketch binary"))
+        digests = scratch.store(self.docs.mapInArrow(X.tidy(digest(s)), "doc_id long, row long, n_shingles long, cls long, sketch binary"))
         self.classes = scratch.store(digests.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select("of.*", "cls", "n_shingles", "sketch"))
         parts = buckets(self.spark) * 2
-        packed = self.docs.mapInArrow(index_entries(s, parts), _PACKED)
-        found = scratch.store(packed.repartition(parts, "part").mapInArrow(bucket_pairs(s.small), "kind int, a long, b long"))
+        packed = self.docs.mapInArrow(X.tidy(index_entries(s, parts)), _PACKED)
+        found = scratch.store(packed.repartition(parts, "part").mapInArrow(X.tidy(bucket_pairs(s.small)), "kind int, a long, b long"))
         links = self.verify(found.where("kind = 0").select("a", "b").distinct())
         comp = scratch.store(components(scratch, links))
         members = scratch.store(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").bitwiseAND(F.lit(-2)).alias("cls"), F.col("b").bitwiseAND(F.lit(1)).alias("own")))
@@ -431,7 +431,7 @@ class _Join:
         return out.distinct()
 
     def unpaid(self, members: DataFrame, thin: DataFrame, comp: DataFrame) -> DataFrame:
-        """cls, own, unpaid, crowded, doc_id, row: how many large buckets of several components a set is in, and the keys of all its large ones; thin sets too.
+        """cls, own, unpaid, crowded, row: how many large buckets of several components a set is in, and the keys of all its large ones; thin sets too.
 
         Counted as all its large buckets less those of one component, where nothing is left to find.
         """
@@ -442,19 +442,19 @@ class _Join:
         n = members.groupBy("cls", "own").agg(F.count(F.lit(1)).alias("n"), F.collect_set("key").alias("crowded")).join(less, ["cls", "own"], "left")
         n = n.select("cls", "own", (F.col("n") - F.coalesce("less", F.lit(0))).alias("x"), "crowded").where("x > 0")
         n = n.union(thin.select("cls", "own", F.lit(0).cast("long").alias("x"), F.lit(None).cast("array<long>").alias("crowded"))).groupBy("cls", "own").agg(F.sum("x").cast("int").alias("unpaid"), F.max("crowded").alias("crowded"))
-        return self.scratch.store(n.join(self.classes.select("cls", "doc_id", "row"), "cls"))
+        return self.scratch.store(n.join(self.classes.select("cls", "row"), "cls"))
 
     def uncovered(self, unpaid: DataFrame, comp: DataFrame) -> DataFrame:
         """Links that only mixed buckets could show: one-deletion neighbourhoods, then blocks."""
         scratch, s = self.scratch, self.s
         size = unpaid.agg(F.sum(F.coalesce(F.size("crowded"), F.lit(0)) * 8 + 48)).first()[0] or 0
         side = F.broadcast(unpaid) if size <= s.broadcast_bytes else unpaid.hint("shuffle_hash")
-        rows = self.docs.join(side, ["doc_id", "row"]).select("text", "cls", "own", "unpaid", "crowded")
-        heavy = scratch.store(rows.mapInArrow(_heavy(s), _HEAVY))
+        rows = self.docs.join(side, "row").select("text", "cls", "own", "unpaid", "crowded")
+        heavy = scratch.store(rows.mapInArrow(X.tidy(_heavy(s)), _HEAVY))
         if heavy.isEmpty():
             return heavy.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
         parts = buckets(self.spark) * 2
-        keys = scratch.store(heavy.mapInArrow(_neighbourhoods(s, parts), _PACKED).repartition(parts, "part").mapInArrow(_neighbours(s.small * 4), "kind int, a long, b long"))
+        keys = scratch.store(heavy.mapInArrow(X.tidy(_neighbourhoods(s, parts)), _PACKED).repartition(parts, "part").mapInArrow(X.tidy(_neighbours(s.small * 4)), "kind int, a long, b long"))
         found = keys.where("kind = 0").select("a", "b")
         # a segment whose neighbourhood meets a large bucket is not paid; who lacks paid segments goes to the blocks
         lost = keys.where("kind = 1").groupBy(F.col("b").alias("tag")).agg(F.countDistinct("a").alias("lost"))
@@ -474,7 +474,7 @@ class _Join:
         packed = scratch.store(rest.groupBy("band", "block").agg(F.collect_list(F.struct("cls", "component", "hs")).alias("x")))
         left, right = packed.toDF("band", "i", "x"), packed.toDF("band", "j", "y")
         both = left.join(right, "band").where("i <= j").repartition(buckets(self.spark) * 4, "band", "i", "j")
-        return scratch.store(both.select("x", "y").mapInArrow(_block_links(s), "a long, b long").distinct())
+        return scratch.store(both.select("x", "y").mapInArrow(X.tidy(_block_links(s)), "a long, b long").distinct())
 
 
 _HEAVY = "tag long, cls long, band int, own int, worth int, need int, crowded binary, hs binary"
