@@ -112,7 +112,8 @@ def sectioned_items(texts: DataFrame, heading: str = r"^##\s+(?:(\d+)\.\s*)?(.+?
     is_head, is_item = F.col("value").rlike(heading), F.col("value").rlike(item)
     lines = lines.withColumn("section", F.last(F.when(is_head, F.regexp_extract("value", heading, 2)), ignorenulls=True).over(by))
     lines = lines.withColumn("declared", F.last(F.when(is_head, F.try_to_number(F.nullif(F.regexp_extract("value", heading, 3), F.lit("")), F.lit("999999")).cast("int")), ignorenulls=True).over(by))
-    lines = lines.withColumn("at", F.last(F.when(is_item, F.col("line")), ignorenulls=True).over(by)).where(F.col("section").isNotNull() & ~is_head & F.col("at").isNotNull())
+    at = F.last(F.when(is_head, 0).when(is_item, F.col("line")), ignorenulls=True).over(by)  # an item ends with its section
+    lines = lines.withColumn("at", at).where(F.col("section").isNotNull() & ~is_head & (F.col("at") > 0))
     rows = lines.groupBy("file", "section", "declared", "at").agg(
         F.max(F.when(is_item, F.regexp_extract("value", item, 1))).alias("number"), F.max(F.when(is_item, F.regexp_extract("value", item, 2))).alias("item"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~is_item & (F.trim("value") != ""), F.struct("line", F.trim("value").alias("t"))))), lambda x: x.t), " ").alias("notes"),
@@ -166,12 +167,50 @@ def joined_parts(messages: DataFrame, key: Sequence[str]) -> DataFrame:
     return got.where(F.size("p") == F.col("of")).select(*key, F.array_join(F.transform("p", lambda x: x.body), "").alias("body"))
 
 
+def run_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of tab-separated lists; lines that start with # are comments, a row that does not fit stops the scan. SRC-21."""
+    return spark.read.schema(schema).csv(path, sep="\t", comment="#", mode="FAILFAST")
+
+
 def as_of_run(catalog: DataFrame, run_id: str, file: str) -> DataFrame:
     """The path and hash of a file as a run wrote it. SRC-23. catalog: run_id, file, path, sha256."""
     return catalog.where((F.col("run_id") == run_id) & (F.col("file") == file)).select("path", "sha256")
 
 
+def as_run_wrote(manifests: DataFrame, versions: DataFrame, run_id: str, name: str) -> DataFrame:
+    """path, content: the bytes of an output as a run wrote it, found by hash; bytes that were not kept or have changed stop the scan. SRC-23.
+
+    manifests: rows of `sinks.manifest`; versions: the table of `sinks.keep_versions`.
+    """
+    wrote = manifests.where((F.col("run_id") == run_id) & (F.col("role") == "output") & (F.col("name") == name)).select("path", "sha256")
+    found = wrote.join(versions.select("sha256", "content").dropDuplicates(["sha256"]), "sha256", "left")
+    same = F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False))
+    stop = F.raise_error(F.concat(F.lit("not as written: "), F.col("path"))).cast("binary")
+    return found.select("path", F.when(same, F.col("content")).otherwise(stop).alias("content"))
+
+
 def missing_pages(wanted: DataFrame, landed: DataFrame) -> DataFrame:
     """Pages still to fetch: not landed, or landed with another size or request. SRC-02, SRC-03."""
     good = landed.where("n_records = expected").select("start", "rows", "sort")
     return wanted.join(good, ["start", "rows", "sort"], "left_anti")
+
+
+def page_states(wanted: DataFrame, landed: DataFrame) -> DataFrame:
+    """start, state of each page: fetch (not landed), again (another request or number of records), keep, delete (out of the catalog's range). SRC-02.
+
+    wanted: start, rows, sort, due (records it must have); landed: start, rows, sort, n_records.
+    """
+    both = wanted.alias("w").join(landed.alias("l"), "start", "full_outer")
+    same = (F.col("w.rows") == F.col("l.rows")) & (F.col("w.sort") == F.col("l.sort")) & (F.col("n_records") == F.col("due"))
+    state = F.when(F.col("w.rows").isNull(), "delete").when(F.col("l.rows").isNull(), "fetch").when(same, "keep").otherwise("again")
+    return both.select("start", state.alias("state"))
+
+
+def snapshots(batches: DataFrame, reported: DataFrame, key: str) -> DataFrame:
+    """key, saved, reported, complete: a snapshot is complete if its batches hold as many records as its catalog reported. SRC-03.
+
+    batches: key, n_records; reported: key, reported.
+    """
+    saved = batches.groupBy(key).agg(F.sum("n_records").alias("saved"))
+    out = reported.join(saved, key, "left").withColumn("saved", F.coalesce("saved", F.lit(0)))
+    return out.select(key, "saved", "reported", (F.col("saved") >= F.col("reported")).alias("complete"))

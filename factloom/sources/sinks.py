@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +12,41 @@ from pyspark.sql import functions as F
 from factloom.operators.relational import keyed_diff
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a local one only where it is unset and the master local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        sc = spark.sparkContext
+        have = sc._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors on other machines need a shared folder")
+        folder = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="files-")
+    return folder.rstrip("/")
+
+
 def write_whole(df: DataFrame, path: str, kind: str = "parquet", replace: bool = True, most_rows: int | None = None) -> None:
-    """All rows by Spark's commit protocol: readers see the old output or the new one. SNK-01, SNK-08."""
-    writer = df.write.mode("overwrite" if replace else "errorifexists").format(kind)
+    """All rows in a folder of their own, which then takes the output's name: a write that fails leaves the old output. SNK-01, SNK-08, SRC-03."""
+    spark = df.sparkSession
+    if not replace and exists(spark, path):
+        raise FileExistsError(path)
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists").format(kind)
     if kind == "csv":
         writer = writer.option("header", True).option("escape", '"')
     if most_rows:
         writer = writer.option("maxRecordsPerFile", most_rows)
-    writer.save(path)
+    source, target = spark._jvm.org.apache.hadoop.fs.Path(new), spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        writer.save(new)
+        fs.delete(target, True)
+        if not fs.rename(source, target):
+            raise OSError(f"{new} could not take the name {path}")
+    except OSError:
+        raise  # the new rows are whole: keep them
+    except Exception:
+        fs.delete(source, True)
+        raise
 
 
 def append_by_name(df: DataFrame, path: str) -> None:
@@ -58,6 +87,14 @@ def manifest(spark: SparkSession, run_id: str, inputs: Mapping[str, str], output
     return out.select(F.lit(run_id).alias("run_id"), "*", facts.alias("settings"), F.lit(headline).alias("headline"))
 
 
+def keep_versions(spark: SparkSession, path: str, store: str) -> None:
+    """The bytes of an output's files, kept in a table by hash (sha256, content) unless it has them. SNK-06."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
+    if exists(spark, store):
+        files = files.join(spark.read.parquet(store).select("sha256"), "sha256", "left_anti")
+    files.write.mode("append").parquet(store)
+
+
 def superseded(catalog: DataFrame, current: DataFrame) -> DataFrame:
     """Earlier versions worth keeping: content that the current outputs no longer have. SNK-06. Both: file, path, sha256."""
     return catalog.join(current.select("file", "sha256"), ["file", "sha256"], "left_anti").dropDuplicates(["file", "sha256"])

@@ -60,12 +60,44 @@ def test_text_and_ids(spark, tmp_path):
 
 
 def test_sectioned_items(spark, tmp_path):
-    (tmp_path / "doc.md").write_text("# Head\n\n## 1. First (2)\n- one\n  more of one\n- two\n\n## Second (3)\n1. three\n")
+    (tmp_path / "doc.md").write_text("# Head\n\n## 1. First (2)\n- one\n  more of one\n- two\n\n## Second (3)\n\n1. three\n")
     items = S.sectioned_items(S.utf8_text(spark, str(tmp_path / "doc.md")))
-    assert rows(items, "line", "section", "item", "notes") == [(4, "First", "one", "more of one"), (6, "First", "two", ""), (9, "Second", "three", "")]
+    assert rows(items, "line", "section", "item", "notes") == [(4, "First", "one", "more of one"), (6, "First", "two", ""), (10, "Second", "three", "")]
     assert rows(S.wrong_counts(items), "section", "declared", "items") == [("Second", 3, 1)]
 
 
+def test_write_whole_keeps_the_old_output_of_a_failed_write(spark, tmp_path):
+    path = str(tmp_path / "out")
+    K.write_whole(spark.range(3), path)
+    with pytest.raises(Exception, match="no more"):
+        K.write_whole(spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no more")).cast("long")).otherwise(F.col("id")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(FileExistsError):
+        K.write_whole(spark.range(1), path, replace=False)
+    K.write_whole(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_changed_bytes_stop_the_scan_of_a_run(spark, tmp_path):
+    out, store = str(tmp_path / "out"), str(tmp_path / "store")
+    K.write_whole(spark.range(3), out, "json")
+    runs = spark.createDataFrame(K.manifest(spark, "r1", {}, {"ids": out}, {}, "h").collect())
+    K.keep_versions(spark, out, store)
+    K.keep_versions(spark, out, store)
+    kept = spark.read.parquet(store)
+    assert kept.count() == kept.select("sha256").distinct().count() and S.as_run_wrote(runs, kept, "r1", "ids").count() == runs.count()
+    with pytest.raises(Exception, match="not as written"):
+        S.as_run_wrote(runs, kept.withColumn("content", F.lit("x").cast("binary")), "r1", "ids").collect()
+    with pytest.raises(Exception, match="not as written"):
+        S.as_run_wrote(runs, kept.limit(0), "r1", "ids").collect()
+
+
+def test_page_states(spark):
+    wanted = spark.createDataFrame([(s, 2, "x", 2 if s < 6 else 1) for s in (0, 2, 4, 6)], "start long, rows int, sort string, due int")
+    landed = spark.createDataFrame([(0, 2, "x", 2), (2, 2, "x", 1), (6, 2, "x", 1), (8, 2, "x", 2)], "start long, rows int, sort string, n_records int")
+    assert rows(S.page_states(wanted, landed), "start", "state") == [(0, "keep"), (2, "again"), (4, "fetch"), (6, "keep"), (8, "delete")]
+
+
 def test_emails(spark, tmp_path):
     for i in (1, 2):
         (tmp_path / f"{i}.eml").write_text(f"From: Ann <ann@lab.example.org>\nDate: Mon, 1 Jan 2026 00:00:00 +0000\nSubject: notes part {i} of 2\n\nbody{i}\n")
