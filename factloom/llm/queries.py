@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm import decontamination as leaks
+from factloom.llm import fill_middle as middle
 from factloom.llm import language_id as language
+from factloom.llm import resampling
 from factloom.llm.hnsw_dedup import hnsw_dedup
 from factloom.llm.license_scan import license_scan
 from factloom.llm.line_dedup import line_dedup
@@ -82,6 +85,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: Lines, every text that can be changed, half of them suffix first.
+FIM = middle.Setting(unit="line", seed="7", rate=100, spm=50)
+
+
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two lines and put together anew; digests of the output and of the text restored from it."""
+    out = middle.fill_middle(_table(spark, sf_dir, "documents"), FIM)
+    back = F.sha2(middle.restored(F.col("output"), F.col("form"), FIM), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand inside 10 consecutive words of a benchmark item, and the items."""
+    out = leaks.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), leaks.Setting(size=10))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, and the tenth that a seeded draw takes."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), resampling.Setting(n=1, buckets=10_000, percent=10, least_words=20, seed="2024"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
@@ -93,6 +118,9 @@ QUERIES = {
     "op8_trie_token_counts": op8_trie_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_decontamination": op12_decontamination,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES = {
@@ -163,5 +191,65 @@ WITH RECURSIVE v AS (
 ), c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id)
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c USING (vec_id)
+""",
+    "op11_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents
+), k AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT doc_id, text, n, u, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), p AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+""",
+    "op12_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), w AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS win
+  FROM (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)
+), s AS (SELECT DISTINCT n FROM w),
+g AS (
+  SELECT k, i, n, array_to_string(ws[i : i + n - 1], ' ') AS win FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, s WHERE len(ws) >= n)
+), o AS (SELECT g.k, g.i, g.n, w.item FROM g JOIN w USING (n, win)),
+h AS (SELECT k, count(*) AS n_hit FROM (SELECT DISTINCT k, unnest(range(i, i + n)) FROM o) GROUP BY k),
+m AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM o) GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN m USING (k)
+""",
+    "op13_importance_resampling": r"""
+WITH RECURSIVE step(n, c) AS (
+  SELECT 0, list_transform(range(256), lambda x: x::BIGINT)
+  UNION ALL SELECT n + 1, list_transform(c, lambda x: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) FROM step WHERE n < 8
+), d AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), f AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(ws) AS w FROM d) GROUP BY ALL),
+t AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY ALL),
+v AS (SELECT coalesce(x.w, t.w) AS w, coalesce(x.n, 0) AS s, coalesce(t.n, 0) AS t FROM (SELECT w, sum(n) AS n FROM f GROUP BY w) x FULL JOIN t ON x.w = t.w),
+e AS (
+  SELECT w, s, t, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || hex(encode(w))[2 * i - 1 : 2 * i])::BIGINT) AS bytes, (SELECT c FROM step WHERE n = 8) AS c FROM v
+), u AS (
+  SELECT w, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a // 256, c[1 + xor(a % 256, x)])), 4294967295) % 10000 AS bucket FROM e
+), z AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM u GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE))))::BIGINT AS gain FROM z),
+a AS (SELECT k, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM f JOIN u USING (w) JOIN g USING (bucket) GROUP BY k),
+x AS (
+  SELECT doc_id, len(ws) >= 20 AS open, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM d LEFT JOIN a USING (k)
+), y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM x),
+r AS (SELECT *, row_number() OVER (ORDER BY open DESC, score DESC, doc_id) AS place, count(*) FILTER (open) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND place <= n * 10 // 100 THEN place END AS rank FROM r
 """,
 }
