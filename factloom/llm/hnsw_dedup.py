@@ -11,7 +11,9 @@ compared exactly. Cosines are verified in double precision. A link found from ei
 only counts and a spanning forest of its links.
 
 Null vectors, null labels, zero vectors and vectors with null or non-finite components link with nothing and are kept; so are vectors of different
-lengths with each other. Repeated rows of one vec_id count as one vector and get the same result. An empty table gives an empty result.
+lengths with each other. Repeated rows (one vec_id, label and vector) count as one vector and get the same result. A vec_id with several labels or vectors
+has a vector for each of them: each row tells the links of its own, and all of them are in one component, as they are one id. An empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -229,13 +231,13 @@ def unit_rows(lists: list[list[float]]) -> np.ndarray:
 
 
 def _pack(s: Setting):
-    """label, dim, g, rows (rep, n, embedding) -> the shard: packed ids, counts, vectors and layers of its graph."""
+    """label, dim, g, rows (node, n, embedding) -> the shard: packed ids, counts, vectors and layers of its graph."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 rows = b.column("rows")[i].as_py()
-                ids = np.array([r["rep"] for r in rows], np.int64)
+                ids = np.array([r["node"] for r in rows], np.int64)
                 order = order_of_insertion(ids, s.links)
                 ids, n = ids[order], np.array([r["n"] for r in rows], np.int64)[order]
                 unit = unit_rows([rows[j]["embedding"] for j in order])
@@ -259,7 +261,7 @@ def linked(queries: Graph, graph: Graph, s: Setting) -> np.ndarray:
 
 
 def _search(s: Setting):
-    """Two shards, or one twice -> kind 0: (rep, links), kind 1: (a, b) of a spanning forest."""
+    """Two shards, or one twice -> kind 0: (node, links), kind 1: (a, b) of a spanning forest."""
 
     def run(batches):
         for b in batches:
@@ -320,13 +322,14 @@ def hnsw_dedup(table: DataFrame, setting: Setting = Setting()) -> DataFrame:
     rows = rows.withColumn("h", F.when(fine, F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0.0)))))
     own = scratch.store(rows.select("vec_id", "label", "h", F.size("embedding").alias("dim")))
     classes = own.where("h is not null").groupBy("label", "h", "dim").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n"))
-    classes = scratch.store(classes)
+    classes = scratch.store(classes.withColumn("node", F.xxhash64("label", "h", "dim")))
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
-    heads = rows.where("h is not null").select("vec_id", F.col("h").alias("h2"), "embedding").join(classes, (F.col("vec_id") == F.col("rep")) & (F.col("h") == F.col("h2"))).dropDuplicates(["rep"])
-    heads = scratch.store(heads.select("label", "dim", "rep", "n", "embedding").join(sizes, ["label", "dim"]))
+    first = classes.select(F.col("label").alias("_label"), F.col("h").alias("_h"), "dim", "rep", "n", "node")
+    heads = rows.where("h is not null").join(first, (F.col("vec_id") == F.col("rep")) & (F.col("h") == F.col("_h")) & (F.col("label") == F.col("_label"))).dropDuplicates(["node"])
+    heads = scratch.store(heads.select("label", "dim", "node", "n", "embedding").join(sizes, ["label", "dim"]))
     kind = table.schema["label"].dataType.simpleString()
-    g = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("rows") / s.shard_rows)).cast("int")
-    dealt = heads.groupBy("label", "dim", g.alias("g")).agg(F.collect_list(F.struct("rep", "n", "embedding")).alias("rows"))
+    g = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("rows") / s.shard_rows)).cast("int")
+    dealt = heads.groupBy("label", "dim", g.alias("g")).agg(F.collect_list(F.struct("node", "n", "embedding")).alias("rows"))
     packed = "ids binary, n binary, unit binary, layers array<binary>"
     with batch_rows(spark, 4):
         shards = scratch.store(dealt.mapInArrow(_pack(s), f"label {kind}, dim int, g int, {packed}"))
@@ -339,9 +342,14 @@ def hnsw_dedup(table: DataFrame, setting: Setting = Setting()) -> DataFrame:
         right = shards.select("label", "dim", F.col("g").alias("h"), *(F.col(c).alias(f"r_{c}") for c in names))
         both = pairs.join(left, ["label", "dim", "g"]).join(right, ["label", "dim", "h"]).repartition(buckets(spark) * 2, "label", "dim", "g", "h")
         found = scratch.store(both.drop("label").mapInArrow(_search(s), "kind int, a long, b long"))
-    links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    comp = components(scratch, found.where("kind = 1").select("a", "b")).toDF("rep", "component")
-    named = classes.join(links, "rep", "left").join(comp, "rep", "left")
+    links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    # an id in several classes unites them
+    several = own.where("h is not null").join(classes.select("label", "h", "dim", "node"), ["label", "h", "dim"]).groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all"))
+    several = several.where("a <> z").select("a", F.explode("all").alias("b")).where("a <> b")
+    comp = components(scratch, found.where("kind = 1").select("a", "b").union(several)).toDF("node", "group")
+    grouped = scratch.store(comp.join(classes.select("node", "rep"), "node"))
+    least = grouped.groupBy("group").agg(F.min("rep").alias("component"))
+    named = classes.join(links, "node", "left").join(grouped.join(least, "group").select("node", "component"), "node", "left")
     named = named.select("label", "h", "dim", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = own.join(scratch.store(named), ["label", "h", "dim"], "left")
     component = F.coalesce("component_id", "vec_id")

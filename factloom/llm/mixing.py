@@ -13,6 +13,7 @@ compares its place with its leaf's end. A larger table of leaves is joined by a
 
 Null values of a level form a node of their own, as the empty string. Null and empty texts have 0 tokens. Rows with equal
 doc_id in a leaf stand at one place and are taken or left together. Nodes without a weight have weight 1, a weight of 0 gives nothing.
+Columns of docs may have any names; one named _epoch gives way to the epoch.
 """
 
 from __future__ import annotations
@@ -87,13 +88,15 @@ def budgets(leaves: DataFrame, s: Setting) -> DataFrame:
 
 
 def mix(docs: DataFrame, setting: Setting = Setting(), domain: Column | None = None) -> DataFrame:
-    """The columns of docs, and _epoch (from 0): one row for each time a document is taken."""
+    """The columns of docs, and _epoch (from 0; in place of a column of that name): one row for each time a document is taken."""
     s, spark = setting, docs.sparkSession
     scratch = Scratch(spark)
     levels = [F.coalesce(domain_of() if domain is None else domain, F.lit("")), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in LEVELS[1:])]
 
-    def order(epoch: Column) -> Column:
-        return F.md5(F.concat_ws("|", F.lit(s.seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+    def order(epoch: Column, own: Column = own) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(s.seed), epoch.cast("string"), own).cast("binary"))
 
     facts = docs.select("doc_id", *(c.alias(n) for c, n in zip(levels, LEVELS, strict=True)), n_words("text").cast("long").alias("n"))
     facts = scratch.store(facts)
@@ -103,7 +106,7 @@ def mix(docs: DataFrame, setting: Setting = Setting(), domain: Column | None = N
     plan = scratch.store(plan)
     # the end of each leaf's prefix
     placed = facts.join(side(plan), list(LEVELS)).where("whole < %d" % s.max_epochs).withColumn("h", order(F.col("whole")))
-    placed = placed.select(*LEVELS, "left", "h", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "n", F.substring("h", 1, 3).alias("range"))
+    placed = placed.select(*LEVELS, "left", "h", own.alias("id"), "n", F.substring("h", 1, 3).alias("range"))
     ranges = placed.groupBy(*LEVELS, "left", "range").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
     by = Window.partitionBy(*LEVELS).orderBy("range")
     ranges = scratch.store(ranges.withColumn("through", F.sum("n").over(by)))
@@ -117,9 +120,12 @@ def mix(docs: DataFrame, setting: Setting = Setting(), domain: Column | None = N
     end = F.coalesce(F.col("inner.h"), F.col("end"))
     plan = plan.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("whole").alias("_whole"), end.alias("_end"), F.col("inner.id").alias("_end_id"))
     plan = scratch.store(plan)
-    match = [c == F.col(f"_{n}") for c, n in zip(levels, LEVELS, strict=True)]
-    rows = docs.join(side(plan), match[0] & match[1] & match[2])
-    h, own = order(F.col("_whole")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # a row travels as one struct, so no name of docs meets one of the plan
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "_epoch"]
+    rows = docs.select(F.struct(*kept).alias("_row"), own.alias("_own"), *(c.alias(f"_{n}") for c, n in zip(levels, LEVELS, strict=True)))
+    rows = rows.join(side(plan), [f"_{n}" for n in LEVELS])
+    h, own = order(F.col("_whole"), F.col("_own")), F.col("_own")
     partial = (F.col("_whole") < s.max_epochs) & F.coalesce((h < F.col("_end")) | ((h == F.col("_end")) & (F.col("_end_id").isNull() | (own <= F.col("_end_id")))), F.lit(False))
     times = F.col("_whole") + F.when(partial, 1).otherwise(0)
-    return rows.withColumn("_times", times).where("_times > 0").select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("_epoch"))
+    rows = rows.withColumn("_times", times).where("_times > 0")
+    return rows.select("_row.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("_epoch"))

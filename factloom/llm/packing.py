@@ -92,7 +92,7 @@ def pack(docs: DataFrame, setting: Setting = Setting(), length: Column | None =
     last = F.greatest(F.ceil(F.col("size") / s.longest) - 1, F.lit(0))
     pieces = pieces.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * s.longest).alias("first_token"), F.least(F.col("size") - F.col("piece") * s.longest, F.lit(s.longest)).alias("n_tokens"))
-    pieces = Scratch(spark).store(pieces)
+    pieces = Scratch(spark).store(pieces.withColumn("nth", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))  # rows without id are dealt too
     histogram = {r.n_tokens: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # at most longest + 1 rows
     bounds = best_bounds(histogram, s.buckets)
     rows = sum(histogram.values())
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, setting: Setting = Setting(), length: Column | None =
     for i, b in reversed(list(enumerate(bounds))):
         bucket = F.when(F.col("n_tokens") <= b, i).otherwise(bucket)
         bound = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bound)
-    dealt = pieces.withColumns({"bucket": bucket, "bucket_tokens": bound, "slot": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots))})
+    dealt = pieces.withColumns({"bucket": bucket, "bucket_tokens": bound, "slot": F.pmod(F.xxhash64("doc_id", "piece", "nth"), F.lit(slots))})
     counts = dealt.groupBy("bucket", "slot").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
