@@ -3,12 +3,13 @@
 Documents are weighted by how much likelier the hashed n-grams of a target text are than those of the corpus, and a seeded Gumbel draw takes the
 documents with the highest weight plus noise.
 
-1. Texts are encoded in blocks of bounded size: a block holds its distinct words once, each document as numbers into them, its n-grams as tuples
-   of those numbers with their counts. Blocks are written once, so what follows reads numbers only.
+1. Texts are encoded in pages of some megabytes: each document as numbers of words with their counts, its longer n-grams as tuples of those
+   numbers. The pages of a block share one numbering; a block ends when its task does, or with `BLOCK_WORDS` words. Pages and
+   the words of the blocks are written once, so what follows reads numbers only.
 2. The distinct words of all blocks get integer ids: the dictionary. A word reaches the shuffle once a block, however frequent it is.
-3. Blocks' tuples become tuples of dictionary ids; equal ones are added up over all blocks of corpus and target.
+3. Tuples of a block's numbers become tuples of dictionary ids; equal ones are added up over corpus and target.
 4. Each distinct tuple's bytes (its words, joined by one space) are put together and hashed once: unsigned crc32 modulo `buckets`.
-5. Gains of buckets join the tuples, go back to their blocks, and are added up for each document there.
+5. Gains of buckets join the tuples, go back to their blocks and pages, and are added up for each document there.
 6. A range-partitioned sort numbers the documents by score, so no task holds them all.
 
 weight: floored mean of the gains over a document's n-grams, repeats counted. gain: floor(1000 ln((t + 1)(S + B) / ((s + 1)(T + B)))) with s of S
@@ -34,8 +35,9 @@ from factloom.llm import _text as X
 from factloom.llm._spark import Scratch, side, text_batches
 from factloom.operators.relational import numbered
 
-#: Bytes of text a block holds (a longer document is a block of its own).
-BLOCK_BYTES = 2 << 20
+#: Bytes of text a page holds (a longer document is a page of its own), and words that a block holds (or those of one page, if it has more).
+PAGE_BYTES = 4 << 20
+BLOCK_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -60,120 +62,156 @@ def _word_array(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(body))
 
 
-def _tuples(ids: np.ndarray, first: np.ndarray, m: int, n: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For each order from 1: tuple number of each run of words (numbers go on from order to order), document of each run, a word place of each tuple of order 2 up."""
+def _longer(ids: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Of the runs of 2 to n words: the tuple of each, its document, and the words of each tuple."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     left = first[1:][doc] - np.arange(len(ids))  # words from here to the document's end
-    number, at, total = ids.astype(np.int64), np.arange(len(ids)), m
-    numbers, docs, places = [number], [doc], []
+    number, at, many = ids, np.arange(len(ids)), int(ids.max(initial=0)) + 1
+    numbers, docs, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for k in range(2, n + 1):
         more = left[at] >= k
-        pair = number[more] * m + ids[at[more] + k - 1]
+        pair = number[more] * many + ids[at[more] + k - 1]
         at = at[more]
         _, one, number = np.unique(pair, return_index=True, return_inverse=True)
-        numbers.append(number + total)
+        numbers.append(number + len(words))
         docs.append(doc[at])
-        places.append(at[one])
-        total += len(one)
-    return numbers, docs, places
+        words += [[int(x) for x in ids[p : p + k]] for p in at[one]]
+    return np.concatenate(numbers), np.concatenate(docs), words
 
 
-_BLOCKS = (
-    "block long, docs array<struct<doc_id:%s,n_words:long,n_features:long>>, words array<string>, counts array<long>, "
-    "tuples array<struct<t:int,n:long,w:array<int>>>, f_doc array<int>, f_tuple array<int>, f_times array<int>"
+def _often(doc: np.ndarray, number: np.ndarray) -> list[pa.Array]:
+    """document, number, times of the distinct pairs, by document."""
+    most = int(number.max(initial=0)) + 1
+    seen, often = np.unique(doc * most + number, return_counts=True)
+    return [pa.array(x, pa.int32()) for x in (seen // most, seen % most, often)]
+
+
+_PAGES = (
+    "block long, page int, docs array<struct<doc_id:%s,n_words:long,n_features:long>>, w_doc array<int>, w_word array<int>, w_times array<int>, "
+    "t_doc array<int>, t_tuple array<int>, t_times array<int>, tuples array<array<int>>, tuple_times array<long>, words array<string>, counts array<long>"
 )
+_COLUMNS = ("docs", "w_doc", "w_word", "w_times", "t_doc", "t_tuple", "t_times", "tuples", "tuple_times", "words", "counts")
+
 
+def _encoded(n: int, target: int, kind: pa.DataType):
+    """doc_id, text -> pages, and a row of the words of each block; the number of a block names its partition, its turn there and its side."""
+    numbers = pa.list_(pa.int32())
+    types = [pa.list_(pa.struct([("doc_id", kind), ("n_words", pa.int64()), ("n_features", pa.int64())])), *[numbers] * 6, pa.list_(numbers), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
 
-def _encoded(n: int, target: int):
-    """doc_id, text -> blocks; the number of a block names its partition, its turn there and its side."""
+    def row(block: int, page: int, **lists: pa.Array) -> pa.RecordBatch:
+        cols = [pa.ListArray.from_arrays(pa.array([0, len(lists[c])], pa.int32()), lists[c]).cast(t) if c in lists else pa.nulls(1, t) for c, t in zip(_COLUMNS, types, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([page], pa.int32()), *cols], ["block", "page", *_COLUMNS])
 
     def run(batches):
-        turn = 0
+        turn, page, known, counts = 0, 0, {}, np.zeros(0, np.int64)
+        name = lambda: (TaskContext.get().partitionId() << 32) + 2 * turn + target
         for b in batches:
-            for at, to, data, offsets in X.slices(b, "text", BLOCK_BYTES):
+            for at, to, data, offsets in X.slices(b, "text", PAGE_BYTES):
                 low = X.LOWER[data]
                 start, end, first = X.words(low, offsets, X.ALNUM_WORD)
                 coded = _word_array(low, start, end).dictionary_encode()
-                ids, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
-                m = len(vocabulary)
-                numbers, docs, places = _tuples(ids, first, m, n)
-                total = m + sum(map(len, places))
-                times = np.bincount(np.concatenate(numbers), minlength=total)
-                n_features = sum(np.bincount(d, minlength=to - at) for d in docs)
-                rows = [(m + sum(map(len, places[:k])) + j, [int(x) for x in ids[p : p + k + 2]]) for k, where in enumerate(places) for j, p in enumerate(where)]
-                tuples = pa.array([{"t": t, "n": int(times[t]), "w": w} for t, w in rows], pa.struct([("t", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.int32()))]))
-                seen, often = np.unique(np.concatenate([d * max(total, 1) + x for d, x in zip(docs, numbers, strict=True)]), return_counts=True)
-                facts = pa.StructArray.from_arrays([b.column("doc_id").slice(at, to - at), pa.array(np.diff(first), pa.int64()), pa.array(n_features, pa.int64())], ["doc_id", "n_words", "n_features"])
-                lists = [facts, vocabulary, pa.array(times[:m], pa.int64()), tuples, *(pa.array(x, pa.int32()) for x in (seen // max(total, 1), seen % max(total, 1), often))]
-                if target:  # no document of the target gets a weight
-                    lists[0], lists[4:] = facts.slice(0, 0), [pa.array([], pa.int32())] * 3
-                name = (TaskContext.get().partitionId() << 32) + 2 * turn + target
-                turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], ["block", "docs", "words", "counts", "tuples", "f_doc", "f_tuple", "f_times"])
+                local, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                if known and len(known) + len(vocabulary) > BLOCK_WORDS:
+                    yield row(name(), -1, words=pa.array(known, pa.string()), counts=pa.array(counts))
+                    turn, page, known, counts = turn + 1, 0, {}, np.zeros(0, np.int64)
+                place = np.fromiter((known.setdefault(w, len(known)) for w in vocabulary), np.int64, len(vocabulary))
+                counts = np.append(counts, np.zeros(len(known) - len(counts), np.int64))
+                counts[place] += np.bincount(local, minlength=len(place))
+                ids = place[local] if len(local) else np.zeros(0, np.int64)
+                doc, tuples, tuple_doc, words = np.repeat(np.arange(to - at), np.diff(first)), *(_longer(ids, first, n) if n > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64), []))
+                lists = {"tuples": pa.array(words, pa.list_(pa.int32())), "tuple_times": pa.array(np.bincount(tuples, minlength=len(words)), pa.int64())}
+                if not target:  # no document of the target gets a weight
+                    n_words = np.diff(first)
+                    facts = pa.StructArray.from_arrays([b.column("doc_id").slice(at, to - at), pa.array(n_words, pa.int64()), pa.array(n_words + np.bincount(tuple_doc, minlength=to - at), pa.int64())], ["doc_id", "n_words", "n_features"])
+                    lists |= {"docs": facts} | dict(zip(_COLUMNS[1:7], [*_often(doc, ids), *_often(tuple_doc, tuples)], strict=True))
+                yield row(name(), page, **lists)
+                page += 1
+        if known:
+            yield row(name(), -1, words=pa.array(known, pa.string()), counts=pa.array(counts))
 
     return X.tidy(run)
 
 
 def _summed(kind: pa.DataType):
-    """Blocks with the gains of their tuples -> doc_id, n_words, n_features, weight."""
+    """Pages with the gains of their block's words and of their tuples -> doc_id, n_words, n_features, weight."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
+                get = lambda c: b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) if b.column(c)[i].is_valid else np.zeros(0, np.int64)  # noqa: E731, B023
                 docs = b.column("docs")[i].values
-                doc, at, times, gains = (b.column(c)[i].values.to_numpy(zero_copy_only=False) if b.column(c)[i].is_valid else np.zeros(0, np.int64) for c in ("f_doc", "f_tuple", "f_times", "gains"))
-                total = np.append(0, np.cumsum(times.astype(np.int64) * gains[at] if len(at) else np.zeros(0, np.int64)))
-                ends = np.searchsorted(doc, np.arange(len(docs) + 1))
+                total = np.zeros(len(docs), np.int64)
+                for x, gains in (("w_word", get("gains")), ("t_tuple", get("tuple_gains"))):
+                    at = get(x)
+                    if len(at):
+                        through = np.append(0, np.cumsum(get(f"{x[0]}_times") * gains[at]))
+                        ends = np.searchsorted(get(f"{x[0]}_doc"), np.arange(len(docs) + 1))
+                        total += through[ends[1:]] - through[ends[:-1]]
                 n = docs.field("n_features").to_numpy(zero_copy_only=False)
-                weight = np.where(n > 0, (total[ends[1:]] - total[ends[:-1]]) // np.maximum(n, 1), 0)
+                weight = np.where(n > 0, total // np.maximum(n, 1), 0)
                 yield pa.RecordBatch.from_arrays([docs.field("doc_id").cast(kind), docs.field("n_words"), docs.field("n_features"), pa.array(weight, pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
 
     return X.tidy(run)
 
 
+def _by_number(rows: DataFrame, *key: str) -> DataFrame:
+    """key, gains: the gains of a block's words, or of a page's tuples, in the order of their numbers (as many as those have)."""
+    pairs = F.array_sort(F.collect_list(F.struct("t", "gain")))
+    return rows.groupBy(*key).agg(F.transform(pairs, lambda x: x["gain"]).alias("gains"))
+
+
 def weights(docs: DataFrame, target: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, n_words, n_features, weight of every document of docs (doc_id, text) against the texts of target (text)."""
     s, spark = setting, docs.sparkSession
     scratch = Scratch(spark)
     text_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
+    if arrow is None:
+        raise TypeError(f"doc_id is a long, an int or a string, not {kind}")
     text = F.col("text").cast("string").alias("text")
-    blocks = scratch.store(docs.select("doc_id", text).mapInArrow(_encoded(s.n, 0), _BLOCKS % kind))
-    aims = scratch.store(target.select(F.lit(None).cast(kind).alias("doc_id"), text).mapInArrow(_encoded(s.n, 1), _BLOCKS % kind))
-    both = blocks.select("block", "words", "counts", "tuples").union(aims.select("block", "words", "counts", "tuples"))
+    pages = scratch.store(docs.select("doc_id", text).mapInArrow(_encoded(s.n, 0, arrow), _PAGES % kind))
+    aims = scratch.store(target.select(F.lit(None).cast(kind).alias("doc_id"), text).mapInArrow(_encoded(s.n, 1, arrow), _PAGES % kind))
+    both = pages.union(aims)
 
-    words = both.select("block", F.posexplode("words").alias("t", "word"), "counts").select("block", "t", "word", F.element_at("counts", F.col("t") + 1).alias("n"))
+    words = both.where("page < 0").select("block", F.posexplode("words").alias("t", "word"), "counts").select("block", "t", "word", F.element_at("counts", F.col("t") + 1).alias("n"))
     dictionary = scratch.store(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()))
-    named = words.join(dictionary, "word").select("block", "t", "n", "id")
-    if s.n > 1:
-        named = scratch.store(named)
-    grams = named.select("block", "t", "n", F.array("id").alias("ids"))
+    named = scratch.store(words.join(dictionary, "word").select("block", "t", "n", F.col("id").alias("i0")))
+    # a tuple is a column for each place, null behind its end
+    keys = [f"i{k}" for k in range(s.n)]
+    grams = named.select("block", F.lit(-1).alias("page"), "t", "n", "i0", *(F.lit(None).cast("long").alias(k) for k in keys[1:]))
     if s.n > 1:
-        longer = both.select("block", F.inline("tuples")).select("block", "t", "n", F.posexplode("w").alias("place", "w"))
-        ids = longer.join(named.select("block", F.col("t").alias("w"), "id"), ["block", "w"])
-        longer = ids.groupBy("block", "t", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
-        grams = grams.union(longer)
-    grams = scratch.store(grams)
+        longer = both.where("page >= 0").select("block", "page", F.posexplode("tuples").alias("t", "w"), "tuple_times")
+        longer = longer.select("block", "page", "t", F.element_at("tuple_times", F.col("t") + 1).alias("n"), *(F.get("w", F.lit(k)).alias(f"w{k}") for k in range(s.n)))
+        for k in range(s.n):
+            longer = longer.join(named.select("block", F.col("t").alias(f"w{k}"), F.col("i0").alias(f"i{k}")), ["block", f"w{k}"], "left")
+        grams = scratch.store(grams.union(longer.select("block", "page", "t", "n", *keys)))
 
     of_target = F.col("block").bitwiseAND(F.lit(1).cast("long")) == 1
-    tuples = grams.groupBy("ids").agg(F.sum(F.when(~of_target, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(of_target, F.col("n")).otherwise(0)).alias("t"))
-    if s.n == 1:
-        spelt = tuples.join(dictionary.withColumnRenamed("id", "_id"), F.col("ids")[0] == F.col("_id")).select("ids", "s", "t", F.col("word").alias("gram"))
-    else:
-        spelt = tuples.select("ids", "s", "t", F.posexplode("ids").alias("place", "id")).join(dictionary, "id").groupBy("ids", "s", "t")
-        spelt = spelt.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("gram"))
-    hashed = scratch.store(spelt.select("ids", "s", "t", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(s.buckets)).cast("int").alias("bucket")))
+    tuples = grams.groupBy(*keys).agg(F.sum(F.when(~of_target, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(of_target, F.col("n")).otherwise(0)).alias("t"))
+    spelt = tuples
+    for k in range(s.n):
+        spelt = spelt.join(dictionary.select(F.col("id").alias(f"i{k}"), F.col("word").alias(f"word{k}")), f"i{k}", "inner" if k == 0 else "left")
+    gram = F.concat_ws(" ", *(f"word{k}" for k in range(s.n)))
+    hashed = scratch.store(spelt.select(*keys, "s", "t", F.pmod(F.crc32(gram.cast("binary")), F.lit(s.buckets)).cast("int").alias("bucket")))
 
     size = hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     whole = size.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     ratio = (F.col("t") + 1.0) * (F.col("all_s") + F.lit(float(s.buckets))) / ((F.col("s") + 1.0) * (F.col("all_t") + F.lit(float(s.buckets))))
     gains = scratch.store(size.crossJoin(F.broadcast(whole)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain")))  # whole has one row, gains has `buckets` at most
-    gained = hashed.join(side(gains), "bucket").select("ids", "gain")
-    back = grams.where(~of_target).join(gained, "ids").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "gain"))), lambda x: x["gain"]).alias("gains"))
-    rows = blocks.select("block", "docs", "f_doc", "f_tuple", "f_times").join(back, "block", "left")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-    if arrow is None:
-        raise TypeError(f"doc_id is a long, an int or a string, not {kind}")
+    gained = hashed.join(side(gains), "bucket").select(*keys, "gain")
+    if s.n == 1:
+        back = grams.where(~of_target).join(gained, "i0")
+    else:
+        other = [F.col(k).alias(f"_{k}") for k in keys]
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        back = grams.where(~of_target).join(gained.select("gain", *other), same).drop(*(f"_{k}" for k in keys))
+    of_words = _by_number(back.where("page < 0"), "block")
+    rows = pages.where("page >= 0").select("block", "page", "docs", *_COLUMNS[1:7]).join(of_words, "block", "left")
+    if s.n > 1:
+        rows = rows.join(_by_number(back.where("page >= 0"), "block", "page").withColumnRenamed("gains", "tuple_gains"), ["block", "page"], "left")
+    else:
+        rows = rows.withColumn("tuple_gains", F.lit(None).cast("array<bigint>"))
     return rows.mapInArrow(_summed(arrow), f"doc_id {kind}, n_words long, n_features long, weight long")
 
 
