@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.plans import quality
 
-_PLANS = [import_module(f"factloom.plans.{name}") for name in ("quality", "selection", "schemas", "texts", "records", "sourcing")]
+_PLANS = [import_module(f"factloom.plans.{name}") for name in ("quality", "selection", "schemas", "texts", "records", "sourcing", "greedy")]
 
 QUERIES: dict = {k: v for m in _PLANS for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _PLANS for k, v in m.ORACLES.items()}

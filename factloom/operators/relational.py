@@ -51,19 +51,9 @@ def majority_vote(df: DataFrame, key: Sequence[str], label: str, order: Sequence
     return n.groupBy(*key).agg(F.min_by(label, F.struct(-F.col("n"), F.col("first"))).alias(label), (F.count(F.lit(1)) > 1).alias("disagree"))
 
 
-def positions(df: DataFrame, order: str, ranges: int = 1024) -> DataFrame:
-    """df with `position` (from 0) by a numeric column of distinct values.
-
-    Rows are counted in equal ranges of the column; a range is numbered by itself from the count before it. No task gets more than its range.
-    """
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    b = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(order) - F.col("lo")) * F.lit(ranges - 1) / (F.col("hi") - F.col("lo")))).otherwise(0)
-    dealt = df.crossJoin(F.broadcast(ends)).withColumn("_b", b.cast("int")).drop("lo", "hi")  # ends has one row
-    counts = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))  # `ranges` rows at most
-    turn = F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    return dealt.withColumn("_r", turn).join(F.broadcast(counts), "_b").withColumn("position", F.col("_o") + F.col("_r") - 1).drop("_b", "_r", "_o")
+def positions(df: DataFrame, order: str) -> DataFrame:
+    """df with `position` (from 0) by a column of distinct values. WIN-01."""
+    return numbered(df, order)
 
 
 def pool_part(position: Column, head: int = 6, every: int = 3) -> Column:
@@ -118,13 +108,13 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, seed: str, *columns:
 
 def largest_remainder(sizes: DataFrame, key: str, size: str, places: int) -> DataFrame:
     """key, size, places: whole shares in proportion to size, the rest by largest remainder, ties by key. WIN-05."""
-    one = Window.partitionBy(F.lit(0))
+    total = sizes.agg(F.sum(size).alias("_t"))  # one row
     quota = F.col(size) * F.lit(places)
-    out = sizes.withColumn("_t", F.sum(size).over(one))
+    out = sizes.crossJoin(F.broadcast(total))
     out = out.withColumn("_w", F.floor(F.try_divide(quota, "_t"))).withColumn("_m", quota % F.nullif("_t", F.lit(0)))
-    left = F.lit(places) - F.sum("_w").over(one)
-    turn = F.row_number().over(one.orderBy(F.desc("_m"), key))
-    return out.withColumn("_left", left).withColumn("_turn", turn).select(key, size, (F.col("_w") + F.when(F.col("_turn") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("places"))
+    out = numbered(out, F.desc("_m"), key)
+    left = out.agg((F.lit(places) - F.sum("_w")).alias("_left"))
+    return out.crossJoin(F.broadcast(left)).select(key, size, (F.col("_w") + F.when(F.col("position") < F.col("_left"), 1).otherwise(0)).cast("long").alias("places"))
 
 
 def fair_prefix(df: DataFrame, part: str, order: str, taken: Column) -> DataFrame:
@@ -151,21 +141,23 @@ def bag_difference(expected: DataFrame, found: DataFrame, columns: Sequence[str]
 
 
 def twin_kinds(df: DataFrame, id_: str, title: str, notes: str) -> DataFrame:
-    """id, kind: whole text, notes only or title only, if another record shares it; empty parts never match. JOIN-04."""
+    """id, kind: whole text, notes only or title only, if another record shares it; empty parts never match. JOIN-04.
+
+    Texts are compared by 128-bit hashes, so only those travel; a hash that very many records share is counted before the shuffle.
+    """
 
     def shared(*cols: str) -> Column:
-        filled = [F.coalesce(F.trim(c), F.lit("")) != "" for c in cols]
-        ok = filled[0]
-        for f in filled[1:]:
-            ok &= f
-        return ok
+        filled = F.lit(True)
+        for c in cols:
+            filled &= F.coalesce(F.trim(c), F.lit("")) != ""
+        return F.when(filled, F.unhex(F.md5(F.to_json(F.array(*cols)).cast("binary"))))
 
-    out = df.select(id_, title, notes)
-    for name, cols in (("_w", (title, notes)), ("_n", (notes,)), ("_t", (title,))):
-        n = df.where(shared(*cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
-        out = out.join(n, list(cols), "left")
-    kind = F.when(F.col("_w").isNotNull(), "whole text").when(F.col("_n").isNotNull(), "notes only").when(F.col("_t").isNotNull(), "title only")
-    return out.select(id_, kind.alias("kind")).where("kind is not null")
+    kinds = {"whole text": (title, notes), "notes only": (notes,), "title only": (title,)}
+    marks = F.array(*(F.struct(F.lit(i).alias("rank"), shared(*c).alias("mark")) for i, c in enumerate(kinds.values())))
+    rows = df.select(id_, F.inline(marks)).where("mark is not null")
+    twins = rows.groupBy("rank", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank", "mark")
+    best = rows.join(twins, ["rank", "mark"], "left_semi").groupBy(id_).agg(F.min("rank").alias("rank"))
+    return best.select(id_, F.element_at(F.array(*map(F.lit, kinds)), F.col("rank") + 1).alias("kind"))
 
 
 def top_n(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -191,26 +183,3 @@ def common_records(runs: DataFrame, run: str, record: str, fingerprint: str) ->
     total = runs.agg(F.countDistinct(run).alias("_runs"))
     n = runs.groupBy(record).agg(F.countDistinct(run).alias("_n"), F.countDistinct(fingerprint).alias("_f"))
     return n.crossJoin(F.broadcast(total)).where("_n = _runs and _f = 1").select(record)  # total has one row
-
-
-def round_robin(rows: list[dict], groups: Sequence[str], per_group: int, title: str, notes: str) -> list[dict]:
-    """The order in which a pool is drawn: one record of each group in turn; records whose text was taken are skipped. WIN-04.
-
-    Sequential by nature and for short lists (a pool that people will read).
-    """
-    queues = {g: [r for r in rows if r["group"] == g] for g in groups}
-    taken, seen_whole, seen_notes = [], set(), set()
-    counts = dict.fromkeys(groups, 0)
-    while any(queues[g] and counts[g] < per_group for g in groups):
-        for g in groups:
-            while queues[g] and counts[g] < per_group:
-                r = queues[g].pop(0)
-                t, n = (" ".join((r.get(c) or "").casefold().split()) for c in (title, notes))
-                if (t, n) in seen_whole or (n and n in seen_notes):
-                    continue
-                seen_whole.add((t, n))
-                seen_notes.add(n)
-                counts[g] += 1
-                taken.append(r)
-                break
-    return taken

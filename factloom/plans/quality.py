@@ -197,7 +197,7 @@ def paired_bootstrap(spark, sf_dir):
     d = judged(spark, sf_dir).withColumn("g", F.col("doc_id") % 2).groupBy("source").agg(
         *(F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0)).alias(n) for g, n, c in ((0, "na", "both"), (0, "da", "said"), (1, "nb", "both"), (1, "db", "said")))
     )
-    return S.paired_bootstrap(spark, d.orderBy("source"), 2000, 7)
+    return S.paired_bootstrap(spark, d, seed=7)
 
 
 def difference_verdicts(spark, sf_dir):

@@ -55,14 +55,17 @@ def status_counts(spark, sf_dir):
 
 
 def wrong_row_bounds(spark, sf_dir):
-    """The most wrong rows that a sample with no or few wrong ones leaves possible (AGG-26)."""
-    n = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n")).first().n
-    return spark.createDataFrame([(k, w, S.wrong_bound(n, k, w)) for k in (20, 50) if k <= n for w in (0, 1)], "sample int, wrong int, most int")
+    """The most toxic documents of each source that its labelled ones leave possible (AGG-26)."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
+    n = d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("toxic").alias("sample"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("wrong"))
+    return n.select("*", S.wrong_bound_udf("documents", "sample", "wrong").alias("most"))
 
 
 def t_quantiles(spark, sf_dir):
-    """Quantiles of Student's t (SCA-30)."""
-    return spark.createDataFrame([(df, round(q, 4)) for df, q in S.t_table() if df in (1, 2, 5, 10, 19, 29, 99)], "df int, t double")
+    """Quantiles of Student's t for as many degrees of freedom as nations have customers, less one (SCA-30)."""
+    df = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg((F.count(F.lit(1)) - 1).alias("df")).select("df").distinct().where("df > 0")
+    return S.with_t(df, "df").select("df", F.round("t", 4).alias("t"))
 
 
 def quantity_words(spark, sf_dir):
@@ -111,6 +114,17 @@ ORACLES = {
       SELECT step, count(*) FILTER (l_shipdate > r) AS waiting, false AS never_ran FROM s JOIN lineitem ON l_suppkey = step GROUP BY 1""",
     "row_errors": """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, l_returnflag AS f FROM lineitem)
       SELECT concat_ws(', ', CASE WHEN i = 4 THEN 'incomplete' END, CASE WHEN k % 10 <> 0 THEN 'id unknown' END, CASE WHEN i = 3 THEN 'no source text' END, CASE WHEN i <> 3 AND k % 10 = 0 AND f = 'A' THEN 'source not in text' END) AS errors, count(*) AS n FROM l GROUP BY 1""",
-    "t_quantiles": "SELECT * FROM (VALUES (1, 12.7062::DOUBLE), (2, 4.3027), (5, 2.5706), (10, 2.2281), (19, 2.0930), (29, 2.0452), (99, 1.9842)) AS t(df, t)",
+    # bisection of the distribution function, integrated by Simpson's rule
+    "t_quantiles": """WITH RECURSIVE d AS (SELECT DISTINCT count(*) - 1 AS df FROM customer GROUP BY c_nationkey HAVING count(*) > 1), k AS (SELECT df, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) AS c FROM d),
+      r AS (SELECT df, c, 0.0::DOUBLE AS lo, 16.0::DOUBLE AS hi, 0 AS step FROM k
+        UNION ALL SELECT df, c, CASE WHEN area < 0.475 THEN m ELSE lo END, CASE WHEN area < 0.475 THEN hi ELSE m END, step + 1
+        FROM (SELECT *, (lo + hi) / 2 AS m, list_sum(list_transform(range(0, 1001), lambda i: CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * c * pow(1 + pow((lo + hi) / 2 * i / 1000.0, 2) / df, -(df + 1) / 2.0))) * (lo + hi) / 2 / 3000.0 AS area FROM r WHERE step < 45))
+      SELECT df, round(lo, 4) AS t FROM r WHERE step = 45""",
+    # the most b of n with a chance of 0.05 or more that k of them show w or fewer
+    "wrong_row_bounds": """WITH l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1), g AS (SELECT source, count(*) AS documents, count(toxic) AS sample, coalesce(sum(toxic), 0)::BIGINT AS wrong FROM documents LEFT JOIN l USING (doc_id) GROUP BY 1),
+      b AS (SELECT *, unnest(range(wrong, documents - sample + wrong + 1)) AS bad FROM g), x AS (SELECT *, unnest(range(0, wrong + 1)) AS x FROM b),
+      p AS (SELECT source, documents, sample, wrong, bad, sum(CASE WHEN x <= bad AND sample - x <= documents - bad THEN exp(lgamma(bad + 1) - lgamma(x + 1) - lgamma(bad - x + 1) + lgamma(documents - bad + 1) - lgamma(sample - x + 1)
+        - lgamma(documents - bad - sample + x + 1) - lgamma(documents + 1) + lgamma(sample + 1) + lgamma(documents - sample + 1)) ELSE 0 END) AS chance FROM x GROUP BY ALL)
+      SELECT source, documents, sample, wrong, max(bad) AS most FROM p WHERE chance >= 0.05 - 1e-9 GROUP BY ALL""",
     "quantity_words": "SELECT p_partkey, (p_size * 1000) || ' m|' || lower(split_part(p_type, ' ', 1)) AS words FROM part",
 }

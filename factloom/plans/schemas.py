@@ -83,8 +83,14 @@ def rule_lookup_most_specific(spark, sf_dir):
 
 
 def rule_conflicts(spark, sf_dir):
-    """Pairs of rules that no third one settles (JOIN-14)."""
-    return S.rule_conflicts(spark.createDataFrame(RULES, RULE_COLUMNS))
+    """Rules that customers make for a nation, for an account's range, or for both: pairs that no third one settles (JOIN-14)."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("predicate"), F.when(k % 3 != 1, F.concat(F.lit("nation "), F.col("c_nationkey"))).alias("if_s"), F.when(k % 3 != 0, F.concat(F.lit("range "), F.floor(F.col("c_acctbal") / 1000))).alias("if_o"),
+        F.concat(F.lit("to "), k % 5).alias("target"), k.alias("line"),
+    )
+    # the first customer of a condition makes its rule
+    return S.rule_conflicts(c.groupBy("predicate", "if_s", "if_o").agg(F.min_by("target", "line").alias("target"), F.min("line").alias("line")))
 
 
 def translate_facts(spark, sf_dir):
@@ -273,8 +279,10 @@ ORACLES = {
       SELECT concat_ws(', ', CASE WHEN s NOT IN ('BUILDING', 'MACHINERY', 'ASIA', 'EUROPE', 'AFRICA') THEN 'subject class' END, CASE WHEN o NOT IN ('BUILDING', 'MACHINERY', 'ASIA', 'EUROPE', 'AFRICA') THEN 'object class' END,
         CASE WHEN p = 'BUYS' AND NOT ((s = 'BUILDING' AND o = 'ASIA') OR (s = 'MACHINERY' AND o = 'EUROPE')) THEN 'pattern' END, CASE WHEN p = 'SELLS' AND s <> 'BUILDING' THEN 'pin' END) AS errors, count(*) AS n FROM g GROUP BY 1""",
     "rule_lookup_most_specific": f"WITH {_BEST} SELECT f.s, f.o, target, count(*) AS n FROM f LEFT JOIN b ON b.s = f.s AND b.o = f.o GROUP BY 1, 2, 3",
-    "rule_conflicts": f"""WITH {RULES_SQL} SELECT a.predicate, a.line AS "left", b.line AS "right" FROM rules a JOIN rules b ON a.predicate = b.predicate AND a.if_s IS NOT NULL AND a.if_o IS NULL AND b.if_o IS NOT NULL AND b.if_s IS NULL AND a.target <> b.target
-      WHERE NOT EXISTS (SELECT 1 FROM rules c WHERE c.predicate = a.predicate AND c.if_s = a.if_s AND c.if_o = b.if_o)""",
+    "rule_conflicts": """WITH c AS (SELECT c_mktsegment AS predicate, CASE WHEN c_custkey % 3 <> 1 THEN 'nation ' || c_nationkey END AS s, CASE WHEN c_custkey % 3 <> 0 THEN 'range ' || floor(c_acctbal / 1000)::BIGINT END AS o, c_custkey % 5 AS target, c_custkey AS line FROM customer),
+      r AS (SELECT predicate, s, o, arg_min(target, line) AS target, min(line) AS line FROM c GROUP BY 1, 2, 3)
+      SELECT a.predicate, a.line AS "left", b.line AS "right" FROM r a JOIN r b ON a.predicate = b.predicate AND a.s IS NOT NULL AND a.o IS NULL AND b.o IS NOT NULL AND b.s IS NULL AND a.target <> b.target
+      WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.predicate = a.predicate AND x.s = a.s AND x.o = b.o)""",
     "translate_facts": f"""WITH {_BEST}, e(source, target) AS (VALUES ('BUILDING', 'Construction'), ('MACHINERY', 'Industry'), ('ASIA', 'East'), ('EUROPE', 'West')),
       x AS (SELECT nullif(b.target, '(none)') AS tp, coalesce(b.target = 'IMPORTS', false) AS w, e1.target AS a, e2.target AS c FROM f LEFT JOIN b ON b.s = f.s AND b.o = f.o LEFT JOIN e e1 ON e1.source = f.s LEFT JOIN e e2 ON e2.source = f.o)
       SELECT CASE WHEN w THEN c ELSE a END AS ts, tp, CASE WHEN w THEN a ELSE c END AS "to", count(*) AS n FROM x GROUP BY 1, 2, 3""",

@@ -292,9 +292,13 @@ def json_shape_check(spark, sf_dir):
 
 
 def iso_time_order(spark, sf_dir):
-    """Timestamps written with Z, an offset or none, read as UTC (SCA-32)."""
-    rows = [("2026-01-01T10:00:00Z",), ("2026-01-01T10:00:00+02:00",), ("2026-01-01T10:00:00",), ("2026-01-01",)]
-    return spark.createDataFrame(rows, "written string").select("written", F.date_format(F.to_timestamp("written"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    """Times of events written with Z, an offset, neither, or as a date, read as UTC (SCA-32)."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    at = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    turn = F.col("event_id") % 4
+    ahead = F.col("ts") + F.expr("interval 2 hours")
+    written = F.when(turn == 0, F.concat(at("ts"), F.lit("Z"))).when(turn == 1, F.concat(at(ahead), F.lit("+02:00"))).when(turn == 2, at("ts")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return e.select("event_id", written.alias("written")).select("event_id", "written", F.date_format(F.to_timestamp("written"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
 def duration_money_text(spark, sf_dir):
@@ -400,7 +404,8 @@ ORACLES = {
     "flatten_leaves": """SELECT n_nationkey, 'nation.name' AS path, n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, 'nation.region.name', r_name FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "content_fingerprint": "SELECT c_custkey, sha256(c_name || '|' || c_nationkey || '|' || c_mktsegment) AS fingerprint FROM customer",
     "json_shape_check": """SELECT event_type, CASE WHEN NOT json_valid(props) THEN 'invalid' WHEN json_type(props) = 'OBJECT' THEN 'object' ELSE 'other' END AS shape, count(*) AS n FROM events GROUP BY 1, 2""",
-    "iso_time_order": """SELECT * FROM (VALUES ('2026-01-01T10:00:00Z', '2026-01-01 10:00:00'), ('2026-01-01T10:00:00+02:00', '2026-01-01 08:00:00'), ('2026-01-01T10:00:00', '2026-01-01 10:00:00'), ('2026-01-01', '2026-01-01 00:00:00')) AS t(written, utc)""",
+    "iso_time_order": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%d') END AS written,
+      CASE event_id % 4 WHEN 3 THEN strftime(ts, '%Y-%m-%d 00:00:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS utc FROM events""",
     "duration_money_text": """WITH o AS (SELECT o_orderkey, o_orderkey * 37 % 100000 AS s FROM orders) SELECT o_orderkey, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN (s // 60) || ' min ' || (s % 60) || ' s' ELSE (s // 3600) || ' h ' || (s % 3600 // 60) || ' min' END AS duration FROM o""",
     "document_text": r"""SELECT doc_id, sha256(concat_ws(chr(10) || chr(10), CASE WHEN trim(coalesce(lang, '')) <> '' THEN 'lang: ' || trim(lang) END, CASE WHEN trim(coalesce(source, '')) <> '' THEN 'source: ' || trim(source) END, CASE WHEN trim(coalesce(text, '')) <> '' THEN 'text: ' || trim(text) END)) AS fingerprint FROM documents""",
 }

@@ -53,29 +53,86 @@ def chunk_documents(spark, sf_dir):
     return d.select("doc_id", "piece", F.length("t").alias("n_chars"))
 
 
+def _set_off(spark, sf_dir):
+    """doc_id, phrase, short, right, text: the first three ASCII words of each document with their initials behind them, other letters in every fourth document."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
+    d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where(F.size("w") >= 3)
+    right = F.col("doc_id") % 4 != 0
+    initials = F.upper(F.concat(*(F.substring(F.element_at("w", i), 1, 1) for i in (1, 2, 3))))
+    d = d.select("doc_id", F.array_join(F.slice("w", 1, 3), " ").alias("phrase"), F.when(right, initials).otherwise("8X9").alias("short"), right.alias("right"))
+    return d.withColumn("text", F.concat(F.lit("It is on. "), "phrase", F.lit(" ("), "short", F.lit(") in all.")))
+
+
 def abbreviation_scan(spark, sf_dir):
-    """Short forms that documents set off, and whether the words before spell them (SCA-17, SCA-18)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.short_forms_udf("text")).alias("x"))
-    return d.select("doc_id", "x.short", "x.passes").groupBy("short", "passes").agg(F.count(F.lit(1)).alias("n"))
+    """Short forms set off behind words of each document, and whether those words spell them (SCA-17, SCA-18)."""
+    d = _set_off(spark, sf_dir).select("doc_id", F.explode(X.short_forms_udf("text")).alias("x"))
+    return d.select("doc_id", "x.short", "x.passes")
+
+
+def abbreviation_flags(spark, sf_dir):
+    """Long forms named for a short form that disagree with what its text says of it (SCA-19)."""
+    full = F.when(F.col("doc_id") % 3 == 0, F.lit("of no such sort")).otherwise(F.col("phrase"))
+    d = _set_off(spark, sf_dir)
+    return d.select("doc_id", F.array_join(X.abbreviation_flags_udf(F.array(F.struct("short", full.alias("words"))), "text"), ",").alias("flags"))
+
+
+def numbers_as_written(spark, sf_dir):
+    """Prices as their text spells them, in full where it does not (SCA-09)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, "no price").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("paid "), F.format_number("v", 2), F.lit(" in all"))).otherwise(F.concat(F.format_string("%.3f", "v"), F.lit(" or so")))
+    return o.select("o_orderkey", X.number_as_written_udf("v", text).alias("written"))
+
+
+def slash_list_scan(spark, sf_dir):
+    """Lists of two words of each document joined by a slash: named apart in every second text, in the title of every third (SCA-23)."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.slice(F.array_distinct(w), 1, 2), F.lower).alias("w")).where(F.size(F.array_distinct("w")) == 2)
+    pair = F.array_join("w", "/")
+    apart = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(", "), F.element_at("w", 2), F.lit(" apart from "), F.element_at("w", 1))).otherwise("")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("title: of "), pair, F.lit("\nMaps"))).otherwise(F.concat(F.lit("Maps by "), pair, apart, F.lit(" of 7")))
+    lists = X.slash_lists_udf(text)
+    names = F.array(F.concat(F.element_at("w", 1), F.lit(" kind")), pair)
+    return d.select("doc_id", F.explode(lists).alias("x"), X.slash_splits_udf(text, names).alias("s")).select("doc_id", "x.words", "x.named", "x.before", F.element_at("s", 1).alias("split"), F.element_at("s", 2).alias("whole_split"))
+
+
+def class_spellings(spark, sf_dir):
+    """Spellings and plurals of the part types' names as classes (SCA-26)."""
+    p = table(spark, sf_dir, "part").select(F.concat(F.initcap("p_type"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("City")).alias("name")).distinct()
+    return p.select("name", F.explode(X.class_spellings_column("name")).alias("spelling"))
+
+
+def word_differences(spark, sf_dir):
+    """Part names against names with another last word, as words that are the same, only left and only right (SCA-28)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    other = F.concat(F.regexp_replace("p_name", r"\S+$", ""), F.lit("blank"))
+    return p.select("p_partkey", F.explode(X.word_diff_udf("p_name", other)).alias("x")).select("p_partkey", "x.kind", "x.words")
+
+
+def reply_keys(spark, sf_dir):
+    """What replies say of customers under names in other case and spacing (SCA-37)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    said = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" "), F.upper("c_name"))).otherwise(F.lit("other"))
+    return c.select("c_custkey", X.match_reply_column("c_name", F.create_map(said, F.col("c_mktsegment"))).alias("segment"))
 
 
 def term_census(spark, sf_dir):
     """Capitalised ASCII words by documents and language (AGG-33, SCA-29)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+"), F.lit(0)))).alias("term"))
-    return d.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("documents")).where("documents >= 20")
+    return d.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def named_terms(spark, sf_dir):
     """Capitalised words and runs of two or three of them in page text (SCA-29)."""
     p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(X.named_terms_udf(M.clean_udf("html").text))).alias("term"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 10")
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def neighbor_words(spark, sf_dir):
-    """Words within three places of 'the' (AGG-33)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
-    hits = d.where("w = 'the'").select("doc_id", F.explode(F.sequence(F.col("i") - 3, F.col("i") + 3)).alias("i"), F.col("i").alias("at")).where("i <> at and i >= 0")
-    return d.join(hits.select("doc_id", "i"), ["doc_id", "i"]).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 25")
+    """Words within three places of 'the' (AGG-33): each hit takes a slice of its own text."""
+    d = table(spark, sf_dir, "documents").select(F.split("text", " ").alias("ws"))
+    hits = d.select("ws", F.posexplode("ws").alias("i", "w")).where("w = 'the'")
+    near = F.concat(F.slice("ws", F.greatest(F.lit(1), F.col("i") - 2), F.least(F.lit(3), F.col("i"))), F.slice("ws", F.col("i") + 2, F.lit(3)))
+    return hits.select(F.explode(near).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantity_keys(spark, sf_dir):
@@ -159,9 +216,12 @@ def label_shapes(spark, sf_dir):
 
 
 def model_names(spark, sf_dir):
-    """Model names by key (SCA-27)."""
-    rows = [("google-claude-x-5.5",), ("Claude X 5-5",), ("claude_x/5.5",), ("other:model",), ("GPT-5",)]
-    return spark.createDataFrame(rows, "model string").select("model", X.model_key("model").alias("key"), X.model_maker("model").alias("maker"))
+    """Model names by key and maker, versions and spellings made from suppliers' numbers (SCA-27)."""
+    k = F.col("s_suppkey").cast("string")
+    turn = F.col("s_suppkey") % 5
+    name = F.when(turn == 0, F.concat(F.lit("google-claude-x-"), k, F.lit(".5"))).when(turn == 1, F.concat(F.lit("Claude X "), k, F.lit("-5"))).when(turn == 2, F.concat(F.lit("claude_x/"), k, F.lit(".5")))
+    name = name.when(turn == 3, F.concat(F.lit("GPT-"), k)).otherwise(F.concat(F.lit("other:model"), k))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("model")).select("s_suppkey", "model", X.model_key("model").alias("key"), X.model_maker("model").alias("maker"))
 
 
 def repaired_encoding(spark, sf_dir):
@@ -172,7 +232,7 @@ def repaired_encoding(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    clean_pages, cleaning_tally, token_bag_difference, markup_rank, one_line_titles, chunk_documents, abbreviation_scan, term_census, named_terms, neighbor_words, quantity_keys, class_keys, name_key_join,
+    clean_pages, cleaning_tally, token_bag_difference, markup_rank, one_line_titles, chunk_documents, abbreviation_scan, abbreviation_flags, numbers_as_written, slash_list_scan, class_spellings, word_differences, reply_keys, term_census, named_terms, neighbor_words, quantity_keys, class_keys, name_key_join,
     triple_keys, text_contains, source_passages, reply_classify, extract_by_lookup, ledger_split, request_chunks, markdown_plain, label_shapes, model_names, repaired_encoding,
 )}
 
@@ -181,9 +241,9 @@ ORACLES = {
       d AS (SELECT page_id, w, sum(n) AS m FROM (SELECT page_id, w, 1 AS n FROM a UNION ALL SELECT page_id, w, -1 FROM b) GROUP BY 1, 2) SELECT page_id, count(*) AS words, sum(m)::BIGINT AS tokens FROM d WHERE m > 0 GROUP BY 1""",
     "markup_rank": "SELECT page_id, 3 * len(regexp_extract_all(html, '</?[A-Za-z][^<>]*>')) + len(regexp_extract_all(html, '&[A-Za-z#][A-Za-z0-9]*;')) AS score FROM pages ORDER BY score DESC, page_id LIMIT 20",
     "one_line_titles": r"SELECT doc_id, sha256(trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r]+', ' ', 'g'))) AS title FROM documents",
-    "term_census": "WITH t AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS term FROM documents) SELECT term, lang, count(*) AS documents FROM t GROUP BY 1, 2 HAVING count(*) >= 20",
+    "term_census": "WITH t AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS term FROM documents) SELECT term, lang, count(*) AS documents FROM t GROUP BY 1, 2",
     "neighbor_words": """WITH d AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), h AS (SELECT doc_id, i AS at, unnest(range(i - 3, i + 4)) AS i FROM d WHERE w = 'the')
-      SELECT w, count(*) AS n FROM d JOIN h ON h.doc_id = d.doc_id AND h.i = d.i AND h.i <> h.at GROUP BY 1 HAVING count(*) >= 25""",
+      SELECT w, count(*) AS n FROM d JOIN h ON h.doc_id = d.doc_id AND h.i = d.i AND h.i <> h.at GROUP BY 1""",
     "quantity_keys": "SELECT p_partkey, (CASE WHEN p_size % 3 = 2 THEN p_size * 1000 ELSE p_size * 1000 END) || ' m' AS key FROM part",
     "class_keys": "SELECT p_partkey, lower(replace(p_type, ' ', '')) AS key FROM part",
     "name_key_join": "SELECT s_suppkey, array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(lower(s_name), '[ ,]+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '')), ' ') AS key FROM supplier",
@@ -195,7 +255,22 @@ ORACLES = {
     "ledger_split": "SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN source = 'src3' THEN 'source left out' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1",
     "request_chunks": "SELECT count(*) AS rows, true AS count_ok, true AS bytes_ok FROM documents",
     "markdown_plain": "SELECT p_partkey, p_name || chr(10) || p_brand || ' x t' AS text FROM part",
-    "model_names": "SELECT * FROM (VALUES ('google-claude-x-5.5', 'google-claude-x-5-5', 'Anthropic'), ('Claude X 5-5', 'claude-x-5-5', 'Anthropic'), ('claude_x/5.5', 'claude-x-5-5', 'Anthropic'), ('other:model', 'other-model', NULL), ('GPT-5', 'gpt-5', 'OpenAI')) AS t(model, key, maker)",
+    "model_names": """SELECT s_suppkey, model, key, maker FROM (SELECT s_suppkey,
+      CASE s_suppkey % 5 WHEN 0 THEN 'google-claude-x-' || s_suppkey || '.5' WHEN 1 THEN 'Claude X ' || s_suppkey || '-5' WHEN 2 THEN 'claude_x/' || s_suppkey || '.5' WHEN 3 THEN 'GPT-' || s_suppkey ELSE 'other:model' || s_suppkey END AS model,
+      CASE s_suppkey % 5 WHEN 0 THEN 'google-claude-x-' || s_suppkey || '-5' WHEN 3 THEN 'gpt-' || s_suppkey WHEN 4 THEN 'other-model' || s_suppkey ELSE 'claude-x-' || s_suppkey || '-5' END AS key,
+      CASE s_suppkey % 5 WHEN 3 THEN 'OpenAI' WHEN 4 THEN NULL ELSE 'Anthropic' END AS maker FROM supplier)""",
+    "abbreviation_scan": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '8X9' ELSE upper(w[1][1] || w[2][1] || w[3][1]) END AS short, doc_id % 4 <> 0 AS passes FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS w FROM documents) WHERE len(w) >= 3",
+    "abbreviation_flags": """SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 AND NOT spelt THEN short ELSE '' END AS flags FROM (
+      SELECT doc_id, upper(w[1][1] || w[2][1] || w[3][1]) AS short, regexp_matches('of no such sort', '(^|[^a-z0-9])' || lower(w[1][1]) || '.*' || lower(w[2][1]) || '.*' || lower(w[3][1])) AS spelt
+      FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS w FROM documents) WHERE len(w) >= 3)""",
+    "numbers_as_written": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END WHEN 1 THEN format('{:,.2f}', o_totalprice) ELSE printf('%.3f', o_totalprice) END AS written FROM orders",
+    "slash_list_scan": """SELECT doc_id, w[1] || '/' || w[2] AS words, doc_id % 3 = 0 OR doc_id % 2 = 0 AS named, CASE WHEN doc_id % 3 = 0 THEN 'of' ELSE 'by' END AS before, NOT (doc_id % 3 = 0 OR doc_id % 2 = 0) AS split, false AS whole_split
+      FROM (SELECT doc_id, list_transform(x.a[1:2], lambda v: lower(v)) AS w FROM (SELECT doc_id, {'a': list_filter(l, lambda v, i: list_position(l, v) = i)} AS x FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{3,}') AS l FROM documents))) WHERE len(list_distinct(w)) = 2""",
+    "class_spellings": """WITH n AS (SELECT DISTINCT array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'City' END AS name FROM part)
+      SELECT name, unnest(list_concat([name, name || 's', name || 'es'], CASE WHEN regexp_matches(name, '[^aeiouAEIOU]y$') THEN [regexp_replace(name, 'y$', 'ies')] ELSE [] END)) AS spelling FROM n""",
+    "word_differences": r"""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+      SELECT p_partkey, unnest(['same', 'only a', 'only b']) AS kind, unnest([array_to_string(w[:-2], ' '), w[-1], 'blank']) AS words FROM p""",
+    "reply_keys": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 2 THEN c_mktsegment END AS segment FROM customer",
     "repaired_encoding": 'SELECT doc_id, true AS "right" FROM documents',
     "label_shapes": r"""WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'predicate' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN replace(p_type, ' ', '_')
       ELSE array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') END AS name FROM part)

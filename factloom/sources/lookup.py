@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.sources.sinks import move, names_in, shared_folder
 
 Ask = Callable[[str], str]
 
@@ -60,13 +62,36 @@ def ask_all(prompts: DataFrame, ask: Ask, parallel: int = 8, most_failures: int
     return prompts.select("key", "prompt").mapInPandas(run, "key string, reply string, error string")
 
 
-def with_cache(prompts: DataFrame, cache: DataFrame, ask: Ask) -> tuple[DataFrame, DataFrame]:
-    """(answers to all prompts, new answers for the cache): only what the cache lacks is asked, once for each key."""
+def with_cache(prompts: DataFrame, cache: DataFrame, ask: Ask, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers to all prompts, new answers for the cache): only what the cache lacks is asked, once for each key.
+
+    New answers are written to a folder before anything reads them, so both results, however often they are computed, hold what the one call
+    said. A task that is tried again asks its prompts again.
+    """
+    spark = prompts.sparkSession
     missing = prompts.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
-    new = ask_all(missing, ask).where("error is null").select("key", "reply")
+    path = folder or f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    ask_all(missing, ask).where("error is null").select("key", "reply").write.parquet(path)
+    new = spark.read.schema("key string, reply string").parquet(path)
     return prompts.join(cache.select("key", "reply").unionByName(new), "key", "left"), new
 
 
+def answered(prompts: DataFrame, store: str, ask: Ask) -> DataFrame:
+    """Answers to all prompts, kept in a store (a folder) that later runs ask first. SNK-09.
+
+    Each call of the function adds one folder, which gets its name when its answers are whole.
+    """
+    spark = prompts.sparkSession
+    kept = [f"{store}/{n}" for n in names_in(spark, store) if n.startswith("answers-")]
+    empty = spark.createDataFrame([], "key string, reply string")
+    cache = spark.read.schema("key string, reply string").parquet(*kept).dropDuplicates(["key"]) if kept else empty
+    name = uuid.uuid4().hex
+    with_cache(prompts, cache, ask, f"{store}/.new-{name}")
+    move(spark, f"{store}/.new-{name}", f"{store}/answers-{name}")
+    new = spark.read.schema("key string, reply string").parquet(f"{store}/answers-{name}")
+    return prompts.join(cache.unionByName(new), "key", "left")
+
+
 _TRIPLE = "array<struct<subject:string,predicate:string,object:string,source_text:string,problem:string>>"
 
 

@@ -3,7 +3,7 @@
     spark.dataSource.register(PagedCatalog)
     spark.read.format("paged_catalog").option("url", ...).option("rows", 1000).option("count", n).load()
 
-Pages are asked for in a total order, so their borders are stable; server errors are tried again with growing pauses. As a stream, the
+Option starts names the pages to read (first records, comma-separated) where not all are wanted. Pages are asked for in a total order, so their borders are stable; server errors are tried again with growing pauses. As a stream, the
 offset is the first record of the next page, so a restart goes on where it stopped.
 """
 
@@ -62,9 +62,10 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.url, self.rows, self.pause = options["url"], int(options.get("rows", 1000)), float(options.get("pause", 1))
         self.count = int(options.get("count") or fetch(self.url, 0, 0, pause=self.pause)["count"])
+        self.starts = [int(x) for x in options.get("starts", "").split(",") if x]
 
     def partitions(self) -> list[Page]:
-        return [Page(s) for s in range(0, self.count, self.rows)]
+        return [Page(s) for s in self.starts or range(0, self.count, self.rows)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         yield from _rows(self.url, partition.start, self.rows, self.pause, min(self.rows, self.count - partition.start))

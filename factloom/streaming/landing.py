@@ -25,14 +25,15 @@ def land_first_copies(stream: DataFrame, key: str, time: str, wait: str, path: s
 
 
 def latest_stream(stream: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
-    """The latest value of each key as an updating table; a key whose latest values conflict has a null value until a later one comes. JOIN-15.
+    """The latest value of each key as an updating table. JOIN-15.
 
-    State is one row a key: the latest time with its smallest and its largest value.
+    A key whose latest values conflict, or whose latest value is empty (withdrawn), has a null value until a later one comes; those are the keys that the batch
+    form leaves out. State is one row a key: the latest time with its smallest and its largest value.
     """
     high = F.max(F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
     low = F.min(F.struct((-F.unix_micros(F.col(time).cast("timestamp"))).alias("t"), F.col(value).alias("v")))
     both = stream.groupBy(*key).agg(high.alias("high"), low.alias("low"))
-    return both.select(*key, F.col("high.t").alias(time), F.when(F.col("high.v").eqNullSafe(F.col("low.v")), F.col("high.v")).alias(value))
+    return both.select(*key, F.col("high.t").alias(time), F.when(F.col("high.v").eqNullSafe(F.col("low.v")) & (F.trim(F.col("high.v").cast("string")) != ""), F.col("high.v")).alias(value))
 
 
 def counts_by_window(stream: DataFrame, time: str, kind: str, size: str, slide: str | None, wait: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_pool_part(spark):
 
 def test_positions(spark):
     df = spark.createDataFrame([(i * i,) for i in range(200)], "x long")
-    got = R.positions(df, "x", 16).orderBy("x").collect()
+    got = R.positions(df, "x").orderBy("x").collect()
     assert [r.position for r in got] == list(range(200))
     assert R.positions(spark.createDataFrame([(5,)], "x long"), "x").first().position == 0
 
@@ -63,12 +63,6 @@ def test_twins(spark):
     assert rows(R.twin_kinds(df, "id", "title", "notes"), "id", "kind") == [("a", "whole text"), ("b", "notes only"), ("c", "title only"), ("e", "whole text")]
 
 
-def test_round_robin():
-    pool = [dict(id=i, group=g, t=t, n=n) for i, g, t, n in [("a", 1, "Snow", "Daily snow."), ("c", 1, "Snow", "Weekly snow."), ("f", 1, "Sea", "Salt."), ("b", 2, "Ice", "daily  SNOW."), ("e", 2, "snow", "Daily snow."), ("d", 2, "Fire", "Burned area.")]]
-    got = [r["id"] for r in R.round_robin(pool, [1, 2], 3, "t", "n")]
-    assert sorted(got) == ["a", "c", "d", "f"]
-
-
 def test_unique_and_disjoint(spark):
     df = spark.createDataFrame([(1,), (2,)], "k int")
     assert R.require_unique(df, "k").count() == 2

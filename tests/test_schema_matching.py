@@ -59,22 +59,6 @@ def test_merge_compare_and_reversal(spark):
     assert rows(S.reversal_doubts(t([("B", "R", "A"), ("A", "R", "B"), ("C", "R", "A")], "s string, p string, o string"), pat), "s", "o") == [("B", "A")]
 
 
-def test_small_sequential_steps():
-    assert [s["name"] for s in S.capped([dict(name="a", texts=5, adds=3), dict(name="b", texts=9, adds=4), dict(name="c", texts=1, adds=1)], 5)] == ["b", "c"]
-    got = S.check_splits([dict(predicate="R", name="R_A", pairs=[("A", "B")], texts=2), dict(predicate="R", name="R_A", pairs=[("A", "C")], texts=2), dict(predicate="R", name="R_B", pairs=[("A", "B")], texts=2), dict(predicate="Z", name="Q")], {"A", "B", "C"}, {"R"})
-    assert [w for _, w in got] == [None, "name taken", "pair taken", "unknown predicate"]
-    splits, pins = S.merge_again({"R_A": "R", "R_B": "R", "R_C": "R"}, {"R_A": {1}, "R_B": {2}, "R_C": {3}}, lambda a, b: {a, b} == {"R_A", "R_B"})
-    assert splits == {"R_A": "R", "R_C": "R"} and pins == {"R_A": {1, 2}, "R_C": {3}}
-    assert S.propagate_labels(list("abcd"), lambda part, used: {p: (used[0] if used else p) for p in part}, 2) == {"a": "a", "b": "b", "c": "a", "d": "a"}
-
-    def ask(batch):
-        if 3 in batch:
-            raise ValueError("refused")
-        return [x * 2 for x in batch]
-
-    assert S.ask_split(ask, [1, 2, 3, 4], lambda e: True) == [2, 4, None, 8]
-
-
 def test_representative(spark):
     pool = [dict(group="g", text="t1", maintainer="m1"), dict(group="g", text="t1", maintainer="m1"), dict(group="g", text="t2", maintainer="m2"), dict(group="h", text="t1", maintainer="m3")]
     assert [(c["group"], c["text"]) for c in S.representative(pool, 3)] == [("g", "t1"), ("h", "t1"), ("g", "t2")]

@@ -126,8 +126,16 @@ def test_replies():
 
 def test_small_things():
     got = X.slash_lists("Level 2/3 (EDR/RDR) of Terra/Aqua, see http://a/b; Terra rose, Aqua fell")
-    assert got == [("2/3 (EDR/RDR", [("2", "EDR"), ("3", "RDR")], False), ("Terra/Aqua", [("Terra",), ("Aqua",)], True)]
+    assert got == [("2/3 (EDR/RDR", [("2", "EDR"), ("3", "RDR")], False, "Level"), ("Terra/Aqua", [("Terra",), ("Aqua",)], True, "of")]
     assert X.slash_splits("Level 2/3 (EDR/RDR) data", ["EDR data", "Level 2/3 (EDR/RDR)", "data"]) == [True, False, False]
+    # a title's list counts as named, and so does the same list elsewhere
+    assert [g.named for g in X.slash_lists("title: Snow/Ice maps\nMaps of Snow/Ice and Sea/Land")] == [True, True, False]
+    assert [g.named for g in X.slash_lists("Maps of Snow/Ice")] == [False]
+    # a bare number needs the word before its list
+    assert X.slash_splits("The RSI 1/2/3 sensors", ["RSI 3", "Level 3", "RSI 1/2/3"]) == [True, False, False]
+    # what has empty items or is part of an address is no list
+    assert X.slash_lists("a//b c/ www.x.com/y and/or+if") == [("and/or+if", [("and",), ("or",), ("if",)], False, "y")]
+    assert [g.words for g in X.slash_lists("A/B\n[C/D] E/F/G")] == ["A/B\n[C/D", "E/F/G"]
     assert "Big Blue Sea" in X.named_terms("the Big Blue Sea is")
     assert X.word_diff("a b c", "a x c") == [("same", "a"), ("only a", "b"), ("only b", "x"), ("same", "c")]
     assert X.fix_encoding("cafÃ©") == "café" and X.fix_encoding("café") == "café"
