@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._spark import Scratch
+from factloom.llm._spark import Scratch, side
 from factloom.llm.language_id import accepted
 from factloom.llm.line_dedup import line_dedup
 from factloom.llm.mixing import Setting as Mix
@@ -38,12 +38,13 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by the texts as they are and, where an earlier stage cut some, as they came in.
 
-    Line dedup leaves only the differing lines of a near copy, so documents are compared whole too.
+    Line dedup leaves only the differing lines of a near copy, so a document that it cut takes part with both of its texts.
     """
-    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("mark"))
     now = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"))
-    cut = came.select("doc_id", F.xxhash64("text").alias("mark")).join(now, "doc_id", "left_semi").join(now, ["doc_id", "mark"], "left_anti")
-    return keep_one(docs, also=None if cut.isEmpty() else came)
+    other = came.select("doc_id", "mark").distinct().join(now.select("doc_id").distinct(), "doc_id", "left_semi").join(now, ["doc_id", "mark"], "left_anti")
+    cut = came.join(side(Scratch(spark).store(other), row_bytes=64), ["doc_id", "mark"], "left_semi")
+    return keep_one(docs, also=cut.select("doc_id", "text"))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -593,17 +593,16 @@ def ngram_jaccard_join(docs: DataFrame, setting: Setting = Setting()) -> DataFra
 def keep_one(docs: DataFrame, setting: Setting = Setting(), also: DataFrame | None = None) -> DataFrame:
     """The documents less all but the one with the smallest doc_id of each component.
 
-    also: other texts (doc_id, text) of these and maybe more documents, such as all texts before a cut; documents that they link belong together too.
-    The two sets of texts are joined one after the other, each among itself, and their links united.
-    Rows of one id are one document: the row with the smallest text hash stays. Rows without an id stay.
+    also: more texts (doc_id, text) of some of these, or of other documents, such as those that an earlier stage cut, as they came in. A document stands for
+    each of its texts, so two documents belong together if any text of one is similar to any of the other; all texts are joined at once.
+    Rows of one id are one document: the row with the smallest text hash stays. Rows without an id stay. docs may have columns of any names.
     """
-    scratch, links = Scratch(docs.sparkSession), None
-    for texts in (docs,) if also is None else (docs, also):
-        join = _Join(texts, setting)
-        found = join.run().where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-        found = scratch.store(found.distinct())
-        join.scratch.clear()
-        links = found if links is None else links.unionByName(found)
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select("doc_id", "text")
+    join = _Join(texts if also is None else texts.unionByName(also.select("doc_id", "text")), setting)
+    links = join.run().where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = scratch.store(links.distinct())
+    join.scratch.clear()
     members = scratch.store(components(scratch, links)).join(docs.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
     heads = members.groupBy("component").agg(F.min("node").alias("head"))
     gone = scratch.store(members.join(heads, "component").where("node <> head").select(F.col("node").alias("doc_id")))
@@ -612,5 +611,6 @@ def keep_one(docs: DataFrame, setting: Setting = Setting(), also: DataFrame | No
     if again.isEmpty():
         return left
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    first = left.join(again, "doc_id", "left_semi").withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    first = left.join(again, "doc_id", "left_semi").select(row, turn.alias("turn")).where("turn = 1").select("row.*")
     return left.join(again, "doc_id", "left_anti").unionByName(first)

@@ -36,7 +36,7 @@ from factloom.llm._spark import Scratch, side, text_batches
 from factloom.operators.relational import numbered
 
 #: Bytes of text a page holds (a longer document is a page of its own), and words that a block holds (or those of one page, if it has more).
-PAGE_BYTES = 4 << 20
+PAGE_BYTES = 2 << 20
 BLOCK_WORDS = 1 << 18
 
 
@@ -221,6 +221,7 @@ def resample(docs: DataFrame, target: DataFrame, setting: Setting = Setting()) -
     rows = weights(docs, target, s)
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{s.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
+    rows = Scratch(docs.sparkSession).store(rows)  # a range-partitioned sort reads its rows twice
     rows = rows.select("doc_id", "n_features", "weight", (F.col("weight") + noise).alias("score"), (F.col("n_words") >= s.least_words).alias("_open"))
     placed = numbered(rows, F.desc("_open"), F.desc("score"), F.asc_nulls_last("doc_id"), F.desc("weight"), "n_features")
     most = placed.agg(F.floor(F.coalesce(F.sum(F.col("_open").cast("long")), F.lit(0)) * s.percent / 100).alias("_most"))  # one row

@@ -35,3 +35,29 @@ def test_packing_without_ids(spark):
     docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"))
     out = P.pack(docs)
     assert out.count() == 5000 and out.select("bucket", "batch", "place").distinct().count() == 5000
+
+
+def test_longest_intervals_of_lines(spark):
+    """How far each place repeats an earlier one, in powers of two, and where first."""
+    import numpy as np
+
+    from factloom.llm import line_dedup as D
+
+    rng = np.random.default_rng(2)
+    block = [f"line {x}" for x in rng.integers(0, 1000, 13)]
+    texts = ["\n".join([f"l{x}" for x in rng.integers(0, 6, int(rng.integers(0, 20)))] + (block if i % 3 == 0 else [])) for i in range(14)]
+    places = [(i, j) for i, t in enumerate(texts) for j in range(len(t.split("\n")))]
+    lines = {(i, j): t.split("\n")[j:] for i, t in enumerate(texts) for j in range(len(t.split("\n")))}
+    want, n = set(), 1
+    while n <= 32:
+        first = {}
+        for p in places:
+            if len(lines[p]) >= n:
+                first.setdefault(tuple(lines[p][:n]), p)
+        want |= {(*p, n, first[tuple(lines[p][:n])]) for p in places if len(lines[p]) >= n and first[tuple(lines[p][:n])] < p}
+        n *= 2
+    best = {}
+    for i, j, n, f in want:
+        best[i, j] = max(best.get((i, j), (0, (0, 0))), (n, f))
+    got = D.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r.doc_id, r.line): (r.n_lines, tuple(r["first"])) for r in got.collect()} == best and max(n for n, _ in best.values()) >= 8
