@@ -127,9 +127,9 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
         )
         new = scratch.store(small)
         # done when every node has one parent and no parent has a parent
-        heads = new.select("v").distinct().join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        crowded = new.groupBy("u").count().where("count > 1")
-        done = heads.isEmpty() and crowded.isEmpty()
+        roles = new.select(F.inline(F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "u").alias("child")) for c in ("u", "v")))))
+        roles = roles.groupBy("node").agg(F.count(F.when(F.col("child"), 1)).alias("parents"), F.max(~F.col("child")).alias("parent"))
+        done = roles.where("parents > 1 or (parents = 1 and parent)").isEmpty()
         scratch.drop(cur, large)
         cur = new
         if done:

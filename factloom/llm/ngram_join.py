@@ -36,6 +36,8 @@ from factloom.llm import _text as X
 from factloom.llm._spark import Scratch, buckets, components, text_batches
 
 BAND = 1.5
+#: Index entries that one task sorts, about.
+PART_ENTRIES = 2_000_000
 #: Stands for no segment: its bucket lists the sets with too few filled segments.
 THIN = np.uint64(0)
 
@@ -380,7 +382,9 @@ class _Join:
         s, scratch = self.s, self.scratch
         digests = scratch.store(self.docs.mapInArrow(X.tidy(digest(s)), "doc_id long, row long, n_shingles long, cls long, sketch binary"))
         self.classes = scratch.store(digests.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select("of.*", "cls", "n_shingles", "sketch"))
-        parts = buckets(self.spark) * 2
+        # entries of the index: about one for two shingles
+        shingles = self.classes.agg(F.sum("n_shingles")).first()[0] or 0
+        parts = max(buckets(self.spark) * 2, -(-shingles // (2 * PART_ENTRIES)))
         packed = self.docs.mapInArrow(X.tidy(index_entries(s, parts)), _PACKED)
         found = scratch.store(packed.repartition(parts, "part").mapInArrow(X.tidy(bucket_pairs(s.small)), "kind int, a long, b long"))
         links = self.verify(found.where("kind = 0").select("a", "b").distinct())
@@ -472,8 +476,10 @@ class _Join:
         sides = -(-n // block)
         rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(sides)).cast("int"))
         packed = scratch.store(rest.groupBy("band", "block").agg(F.collect_list(F.struct("cls", "component", "hs")).alias("x")))
-        left, right = packed.toDF("band", "i", "x"), packed.toDF("band", "j", "y")
-        both = left.join(right, "band").where("i <= j").repartition(buckets(self.spark) * 4, "band", "i", "j")
+        # numbers of blocks are paired first, and dealt; each pair then fetches its blocks
+        name = packed.select("band", "block")
+        pairs = scratch.store(name.toDF("band", "i").join(name.toDF("band", "j"), "band").where("i <= j"))
+        both = pairs.repartition(buckets(self.spark) * 4, "band", "i", "j").join(packed.toDF("band", "i", "x"), ["band", "i"]).join(packed.toDF("band", "j", "y"), ["band", "j"])
         return scratch.store(both.select("x", "y").mapInArrow(X.tidy(_block_links(s)), "a long, b long").distinct())
 
 
@@ -565,22 +571,42 @@ def _neighbours(small: int):
     return run
 
 
+def _in_common(left: list[np.ndarray], right: list[np.ndarray], most: int = 2_000_000) -> np.ndarray:
+    """How many elements each two sets of two lists share: elements of one side look up their run among the sorted ones of the other."""
+    out = np.zeros(len(left) * len(right), np.int64)
+    own, other = (np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right))
+    a, b = np.concatenate(left), np.concatenate(right)
+    order = np.argsort(b, kind="stable")
+    b, other = b[order], other[order]
+    low = np.searchsorted(b, a)
+    n = np.searchsorted(b, a, "right") - low
+    hit = np.flatnonzero(n)
+    low, n, own = low[hit], n[hit], own[hit]
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        k = n[at:to]
+        place = np.repeat(low[at:to] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(int(k.sum()))
+        out += np.bincount(np.repeat(own[at:to] * len(right), k) + other[place], minlength=len(out))
+        at = to
+    return out.reshape(len(left), len(right))
+
+
 def _block_links(s: Setting):
+    """Two blocks of sets (cls, component, hs) -> the pairs of similar ones of different components."""
+
     def run(batches):
         for b in batches:
-            out = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                left, right = ([(r["cls"], r["component"], np.frombuffer(r["hs"], np.uint64)) for r in side.as_py()] for side in (x, y))
-                size = np.array([len(r[2]) for r in right])
-                flat = np.concatenate([r[2] for r in right])
-                owner = np.repeat(np.arange(len(right)), size)
-                for cls, comp, hs in left:
-                    common = np.bincount(owner[np.isin(flat, hs)], minlength=len(right))
-                    near = np.flatnonzero(s.den * common >= s.num * (len(hs) + size - common))
-                    out += [(min(cls, right[j][0]), max(cls, right[j][0])) for j in near if right[j][1] != comp]
-            if out:
-                a, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+                (ca, pa_, ha), (cb, pb, hb) = (
+                    (v.values.field("cls").to_numpy(), v.values.field("component").to_numpy(), [np.frombuffer(h.as_buffer(), np.uint64) for h in v.values.field("hs")]) for v in (x, y)
+                )
+                common = _in_common(ha, hb)
+                size = np.array([len(h) for h in ha])[:, None] + np.array([len(h) for h in hb])[None, :]
+                i, j = np.nonzero((s.den * common >= s.num * (size - common)) & (pa_[:, None] != pb[None, :]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ca[i], cb[j])), pa.array(np.maximum(ca[i], cb[j]))], ["a", "b"])
 
     return run
 

@@ -61,3 +61,14 @@ def test_longest_intervals_of_lines(spark):
         best[i, j] = max(best.get((i, j), (0, (0, 0))), (n, f))
     got = D.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {(r.doc_id, r.line): (r.n_lines, tuple(r["first"])) for r in got.collect()} == best and max(n for n, _ in best.values()) >= 8
+
+
+def test_elements_in_common():
+    import numpy as np
+
+    from factloom.llm import ngram_join as N
+
+    rng = np.random.default_rng(0)
+    left, right = ([np.unique(rng.integers(0, 60, int(rng.integers(1, 40)))).astype(np.uint64) for _ in range(n)] for n in (17, 9))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert N._in_common(left, right).tolist() == want == N._in_common(left, right, most=5).tolist()
