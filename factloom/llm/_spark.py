@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -40,6 +41,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are over: its cleaner does so once the driver has collected what refers to them, which may be long after."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         """Delete all tables stored here; nothing still to be computed may read them."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

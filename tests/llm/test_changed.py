@@ -72,3 +72,25 @@ def test_elements_in_common():
     left, right = ([np.unique(rng.integers(0, 60, int(rng.integers(1, 40)))).astype(np.uint64) for _ in range(n)] for n in (17, 9))
     want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
     assert N._in_common(left, right).tolist() == want == N._in_common(left, right, most=5).tolist()
+
+
+def test_whole_license_texts(spark):
+    """Whole texts between comment marks, with words changed, left out and put in; the end of one alone is none."""
+    import numpy as np
+
+    from factloom.llm import license_scan as C
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for i, (label, text) in enumerate(C.BODIES):
+        words = text.split()
+        changed = [w for w in words if rng.random() > 0.04]
+        for j in rng.choice(len(changed), len(changed) // 25, replace=False):
+            changed[j] = "other"
+        lines = "\n".join("# " + " ".join(changed[j : j + 9]) for j in range(0, len(changed), 9))
+        rows += [(2 * i, f"def f(): pass\n{lines}\nimport os"), (2 * i + 1, " ".join(words[-len(words) // 3 :]))]
+        want[2 * i] = (label, len(changed))
+    got = {r.doc_id: r for r in C.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, n) in want.items():
+        assert label in got[i].labels.split(",") and max(s["last"] - s["first"] + 1 for s in got[i].spans if s["label"] == label) > 0.85 * n, label
+        assert not [s for s in got[i + 1].spans or [] if s["last"] - s["first"] > 40]
