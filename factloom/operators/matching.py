@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,15 +60,36 @@ def best_pairing(edges: Mapping[tuple[int, int], tuple[int, int, int]]) -> dict[
             node = node_before
 
 
-def holds(a: str, b: str) -> bool:
-    """Whether the words of one instance stand whole in the other, either way; quantities count as words."""
-    if not a or not b:
-        return False
-    x, y = (K.quantity_words(s) or K.norm_text(s).split() for s in (a, b))
+def _words(s: str) -> list[str]:
+    """Words of an instance; its only quantity is one word."""
+    return K.quantity_words(s) or K.norm_text(s).split()
+
+
+def _stand_in(x: list[str], y: list[str]) -> bool:
+    """Whether one list of words stands whole in the other."""
     short, long = (x, y) if len(x) <= len(y) else (y, x)
     return any(long[i : i + len(short)] == short for i in range(len(long) - len(short) + 1))
 
 
+def holds(a: str, b: str) -> bool:
+    """Whether the words of one instance stand whole in the other, either way; quantities count as words."""
+    return bool(a and b) and _stand_in(_words(a), _words(b))
+
+
+class _Keyed:
+    """A fact with the keys that all its pairs compare, each computed once."""
+
+    def __init__(self, fact: dict):
+        self.fact = fact
+        self.predicate = K.class_key(fact.get("predicate"))
+        self.ends = [K.instance_key(fact.get(c)) for c in ("subject", "object")]
+        self.classes = [K.class_key(fact.get(c)) for c in ("subject_class", "object_class")]
+
+    @cached_property
+    def words(self) -> list[list[str]]:
+        return [_words(self.fact[c]) if self.fact.get(c) else [] for c in ("subject", "object")]
+
+
 def match_record(truth: Sequence[dict], found: Sequence[dict], vetoed: Callable[[dict, dict], bool] = lambda g, e: False) -> list[tuple[int, int, str, bool]]:
     """(truth index, found index, level, swapped): exact pairs first, then partial pairs of what is left. JOIN-08, JOIN-09, JOIN-10.
 
@@ -83,21 +105,29 @@ def match_record(truth: Sequence[dict], found: Sequence[dict], vetoed: Callable[
     of_g, of_e = {r: i for i, r in rank_g.items()}, {r: i for i, r in rank_e.items()}
     out: list[tuple[int, int, str, bool]] = []
     free_g, free_e = set(range(len(truth))), set(range(len(found)))
+    ts, xs = [_Keyed(t) for t in truth], [_Keyed(x) for x in found]
+    by_predicate: dict[str, list[int]] = {}
+    for e, x in enumerate(xs):
+        by_predicate.setdefault(x.predicate, []).append(e)
     for level in ("exact", "partial"):
-        same = (lambda a, b: K.instance_key(a) == K.instance_key(b)) if level == "exact" else (lambda a, b: K.instance_key(a) == K.instance_key(b) or holds(a, b))
+
+        def same(t: _Keyed, i: int, x: _Keyed, j: int, level: str = level) -> bool:
+            if t.ends[i] == x.ends[j]:
+                return True
+            return level == "partial" and bool(t.fact.get(("subject", "object")[i]) and x.fact.get(("subject", "object")[j])) and _stand_in(t.words[i], x.words[j])
+
         edges, turned = {}, set()
         for g in free_g:
-            for e in free_e:
-                t, x = truth[g], found[e]
-                p = K.class_key(t["predicate"])
-                if not p or p != K.class_key(x.get("predicate")):
+            t = ts[g]
+            for e in by_predicate.get(t.predicate, []) if t.predicate else []:
+                x = xs[e]
+                if e not in free_e:
                     continue
-                plain = same(t["subject"], x["subject"]) and same(t["object"], x["object"])
-                swapped = not plain and p in K.SYMMETRIC and same(t["subject"], x["object"]) and same(t["object"], x["subject"])
-                if not (plain or swapped) or level == "partial" and vetoed(t, x):
+                plain = same(t, 0, x, 0) and same(t, 1, x, 1)
+                swapped = not plain and t.predicate in K.SYMMETRIC and same(t, 0, x, 1) and same(t, 1, x, 0)
+                if not (plain or swapped) or level == "partial" and vetoed(truth[g], found[e]):
                     continue
-                ends = ("object_class", "subject_class") if swapped else ("subject_class", "object_class")
-                agree = sum(K.class_key(t.get(a)) == K.class_key(x.get(b)) for a, b in zip(("subject_class", "object_class"), ends, strict=True))
+                agree = sum(a == b for a, b in zip(t.classes, reversed(x.classes) if swapped else x.classes, strict=True))
                 edges[rank_g[g], rank_e[e]] = (int(agree < 2), int(swapped), 2 - agree)
                 if swapped:
                     turned.add((g, e))

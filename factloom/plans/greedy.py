@@ -48,7 +48,7 @@ def merged_again_parts(spark, sf_dir):
     """Nations as parts of order priorities, merged while they share one of their two strongest clerks (SET-10)."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    pins = o.groupBy(F.col("o_orderpriority").alias("predicate"), F.format_string("%02d", "c_nationkey").alias("part"), F.format_string("%02d", F.col("o_orderkey") % 60).alias("pin")).agg(F.count(F.lit(1)).alias("weight"))
+    pins = o.groupBy(F.col("o_orderpriority").alias("predicate"), F.format_string("%02d", "c_nationkey").alias("part"), F.format_string("%03d", F.col("o_orderkey") % 400).alias("pin")).agg(F.floor(F.sum("o_totalprice")).alias("weight"))
     into, _ = G.merge_again(pins.select("predicate", "part"), pins)
     return into
 

@@ -286,6 +286,8 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "pooled_metrics_by_lang": f"WITH {JUDGED} SELECT lang, {NUMBERS} FROM j GROUP BY lang",
+    "difference_verdicts": f"""WITH r AS ({_wilson_sql(f'''{JUDGED}, p AS (SELECT lang, source, sum("both") AS a, sum("true") AS b FROM j GROUP BY 1, 2)''', "lang")}), g AS (SELECT lang, value - 0.5 AS d, low - 0.5 AS lo, high - 0.5 AS hi FROM r)
+      SELECT lang, round(d, 6) AS d, CASE WHEN lo IS NULL THEN 'no range' WHEN lo > 0 THEN 'higher' WHEN hi < 0 THEN 'lower' ELSE 'can''t tell' END AS verdict, CASE WHEN d IS NULL THEN 'no value' ELSE printf('%+.1f points', d * 100) END AS text FROM g""",
     "clustered_wilson_by_lang": _wilson_sql(f"""{JUDGED}, p AS (SELECT lang, source, sum("both") AS a, sum(said) AS b FROM j GROUP BY 1, 2)""", "lang"),
     "clustered_wilson_returnflag": _wilson_sql("p AS (SELECT l_linestatus, l_suppkey, sum((l_returnflag = 'R')::INT) AS a, count(*) AS b FROM lineitem GROUP BY 1, 2)", "l_linestatus"),
     "per_class_metrics": f"""WITH {JUDGED}, x AS (SELECT 'lang' AS kind, lang AS class, said, "true", "both" FROM j UNION ALL SELECT 'source', source, said, "true", "both" FROM j),

@@ -195,6 +195,18 @@ def assignment_matching(spark, sf_dir):
     return M.match_records(fact.where("i % 2 = 0"), fact.where("i % 2 = 1"))
 
 
+def two_level_matches(spark, sf_dir):
+    """Facts of customers against other wordings of them: equal, held in longer words, another one, swapped ends; every fifth partial pair is vetoed (JOIN-10, JOIN-16)."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.cast("string").alias("record"), "c_custkey", "c_name", "c_mktsegment", F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("place"))
+    fact = lambda i, s, p, o: F.struct(F.lit(i).alias("i"), s.alias("subject"), F.lit("Buyer").alias("subject_class"), F.lit(p).alias("predicate"), o.alias("object"), F.lit("Thing").alias("object_class"))
+    other = F.when(k % 3 == 0, F.upper("c_mktsegment")).when(k % 3 == 1, F.concat(F.lit("the "), F.lower("c_mktsegment"), F.lit(" market"))).otherwise(F.lit("none of it"))
+    truth = F.array(fact(0, F.col("c_name"), "HAS", F.col("c_mktsegment")), fact(1, F.col("c_name"), "ALSO_KNOWN_AS", F.col("place")))
+    found = F.array(fact(0, F.col("c_name"), "HAS", other), fact(1, F.col("place"), "ALSO_KNOWN_AS", F.lower("c_name")))
+    vetoes = c.where(k % 5 == 0).select("record", F.lit(0).alias("g"), F.lit(0).alias("e"))
+    return M.match_records(c.select("record", F.inline(truth)), c.select("record", F.inline(found)), vetoes)
+
+
 def compared_projection(spark, sf_dir):
     """Statuses of compared facts as one wide relation (PRJ-11)."""
     f = facts(spark, sf_dir)
@@ -253,7 +265,7 @@ def reproduction_check(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     support_counts, breadth_table, saturation_curve, representative_examples, label_lookup, induced_support, pattern_validation, rule_lookup_most_specific, rule_conflicts, translate_facts, reachability_flags,
     schema_compare_full_outer, schema_merge, reversal_doubts, min_support_cut, conflicting_classes, table_states, held_out_leakage, rules_format, qualifier_duplicates, record_states,
-    one_to_one_exact_pairs, assignment_matching, compared_projection, origin_split, partial_union_runs, stale_verdicts, guarded_row_merge, induction_trace, reproduction_check,
+    one_to_one_exact_pairs, assignment_matching, two_level_matches, compared_projection, origin_split, partial_union_runs, stale_verdicts, guarded_row_merge, induction_trace, reproduction_check,
 )}
 
 _BEST = f"""{FACTS_SQL}, {RULES_SQL},
@@ -305,6 +317,8 @@ ORACLES = {
       SELECT state, count(*) AS records, count(*) FILTER (state = 'finished' AND doc_id % 3 <> 2) AS schema_evidence FROM s GROUP BY 1""",
     "one_to_one_exact_pairs": """WITH a AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) FILTER (l_linenumber % 2 = 0) AS x, count(*) FILTER (l_linenumber % 2 = 1) AS y FROM lineitem GROUP BY 1, 2, 3)
       SELECT l_returnflag, l_linestatus, sum(least(x, y))::BIGINT AS pairs, count(*) AS keys FROM a WHERE x > 0 AND y > 0 GROUP BY 1, 2""",
+    "two_level_matches": """SELECT c_custkey::VARCHAR AS record, 0 AS g, 0 AS e, CASE WHEN c_custkey % 3 = 0 THEN 'exact' ELSE 'partial' END AS level, false AS swapped FROM customer WHERE c_custkey % 3 = 0 OR (c_custkey % 3 = 1 AND c_custkey % 5 <> 0)
+      UNION ALL SELECT c_custkey::VARCHAR, 1, 1, 'exact', true FROM customer""",
     "compared_projection": f"""WITH {FACTS_SQL}, s AS (SELECT *, CASE id % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' WHEN 2 THEN 'missed' WHEN 3 THEN 'extra' WHEN 4 THEN 'untranslatable' ELSE 'pending' END AS status FROM f)
       SELECT status, count(*) AS rows, count(*) FILTER (id % 6 IN (0, 1, 2)) AS truth, count(*) FILTER (id % 6 <> 2) AS found FROM s GROUP BY 1""",
     "origin_split": "SELECT o_orderkey, o_orderkey AS extracted, o_custkey AS truth FROM orders",

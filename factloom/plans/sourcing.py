@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from factloom.operators import relational as R
 from factloom.plans.quality import table
 from factloom.sources import files as S
+from factloom.sources import questions as Q
 from factloom.sources import reports as P
+from factloom.sources import schema_text as D
 from factloom.sources import sinks as K
 
 #: Records of a batch file, and records of a page.
@@ -223,6 +225,74 @@ def report_scan(spark, sf_dir):
     return cells.select(report.alias("report"), "section", "kind", F.col("row").cast("int").alias("row"), "column", "value", "number")
 
 
+def question_problems(spark, sf_dir):
+    """What is wrong with documents of questions, one a nation and one question a customer: some have another status, no priority, parts left out or in another order (SRC-17)."""
+    path = _folder(spark)
+    k = F.col("c_custkey")
+    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    asked = F.lit("### The question\nWhat of it?\n\n")
+    read = F.lit("### My current reading\nSo far so good.\n\n")
+    text = F.concat(
+        F.lit("## Q"), n.cast("string"), F.lit(": About "), F.col("c_name"), F.lit("\n- status: "), F.when(k % 7 == 0, "shut").when(k % 17 == 0, "answered").otherwise("open"), F.lit("\n"),
+        F.when(k % 5 == 0, "").otherwise("- priority: high\n"), F.lit("- question kind: general\n- in short: it\n\n"), F.when(k % 13 == 0, F.concat(read, asked)).otherwise(F.concat(asked, read)),
+        F.when(k % 11 == 0, "").otherwise("### Affects\n- rule: 1\n"),
+    )
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", text.alias("text"))
+    docs = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "text"))), lambda x: x["text"]), "\n").alias("value"))
+    docs.write.partitionBy("c_nationkey").text(path)
+    files = spark.read.format("binaryFile").load(f"{path}/*/*.txt").select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).alias("file"), F.col("content").cast("string").alias("text"))
+    return Q.problems(files).select(F.col("file").cast("int").alias("nation"), "question", "problem")
+
+
+def schema_documents(spark, sf_dir):
+    """A schema for each nation, every second one as JSON: its customers' segments as classes, order priorities as predicates with patterns and pins (SRC-12, SRC-13)."""
+    path = _folder(spark)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.initcap("c_mktsegment").alias("s"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "s", F.upper(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")).alias("p"))
+    classes = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("s")).alias("classes"))
+    uses = o.groupBy("c_nationkey", "p").agg(F.array_sort(F.collect_set("s")).alias("ss"))
+    uses = uses.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("p", "ss"))).alias("ps"))
+    pairs = lambda ss: F.transform(ss, lambda s: F.concat(s, F.lit(" -> Order")))
+    plain = F.concat(
+        F.lit("ENTITY CLASSES\n"), F.array_join(F.transform("classes", lambda s: F.concat(s, F.lit("  what buys as "), F.lower(s))), "\n"), F.lit("\nOrder  what is bought\n\nPREDICATES\n"),
+        F.array_join(F.transform("ps", lambda x: F.concat(x["p"], F.lit("  buys so\n  "), F.array_join(pairs(x["ss"]), "; "), F.lit("\n  only: "), F.element_at(x["ss"], 1), F.lit(" -> Order"))), "\n"),
+    )
+    entry = lambda name, what: F.struct(name.alias("component_class"), what.alias("definition"))
+    as_json = F.to_json(F.struct(
+        F.concat(F.transform("classes", lambda s: entry(s, F.concat(F.lit("what buys as "), F.lower(s)))), F.array(entry(F.lit("Order"), F.lit("what is bought")))).alias("entity_classes"),
+        F.transform("ps", lambda x: entry(x["p"], F.lit("buys so"))).alias("predicates"), F.flatten(F.transform("ps", lambda x: F.transform(x["ss"], lambda s: F.array(s, x["p"], F.lit("Order"))))).alias("patterns"),
+        F.map_from_entries(F.transform("ps", lambda x: F.struct(x["p"], F.array(F.array(F.element_at(x["ss"], 1), F.lit("Order")))))).alias("pinned"),
+    ))
+    docs = classes.join(uses, "c_nationkey").select("c_nationkey", F.when(F.col("c_nationkey") % 2 == 0, plain).otherwise(as_json).alias("value"))
+    docs.write.partitionBy("c_nationkey").text(path)
+    files = spark.read.format("binaryFile").load(f"{path}/*/*.txt").select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).alias("file"), F.col("content").cast("string").alias("text"))
+    return D.schema_rows(files).select(F.col("file").cast("int").alias("nation"), "kind", "name", "a", "b")
+
+
+def kept_evaluations(spark, sf_dir):
+    """Evaluations of runs kept as JSON lines, one run a day of orders, in the order of the runs' times whatever their files' names (SRC-24)."""
+    path = _folder(spark)
+    day = F.to_date("o_orderdate")
+    runs = table(spark, sf_dir, "orders").groupBy(day.alias("day"), "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    # a name that sorts by the day of the month first
+    run = F.concat(F.date_format("day", "dd"), F.lit("_"), F.date_format("day", "yyyyMMdd"), F.lit("-"), F.substring("o_orderpriority", 1, 1))
+    K.write_whole(runs.select(run.alias("run_id"), F.date_format("day", "yyyy-MM-dd").alias("ran_at"), F.substring("o_orderpriority", 1, 1).cast("int").alias("suffix"), "n", "total"), path, "json")
+    kept = S.jsonl(spark, path, "run_id string, ran_at string, suffix int, n long, total double")
+    return R.numbered(kept, "ran_at", "suffix").select("run_id", F.col("position").alias("turn"), "n", "total")
+
+
+def extra_columns(spark, sf_dir):
+    """Suppliers as batch records with an extra text column beside the usual ones (PRJ-02)."""
+    s = table(spark, sf_dir, "supplier")
+    empty = F.lit(None).cast("string")
+    batch = s.select(
+        F.col("s_suppkey").cast("string").alias("id"), empty.alias("name"), F.col("s_name").alias("title"), empty.alias("notes"), empty.alias("maintainer"), F.struct(F.lit("o").alias("title")).alias("organization"),
+        F.array(F.struct(F.lit("t").alias("name"))).alias("tags"), F.array(F.struct(F.lit("CSV").alias("format"))).alias("resources"), empty.alias("license_title"), empty.alias("url"), empty.alias("metadata_created"),
+        empty.alias("metadata_modified"), F.lit("f#0").alias("origin"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("place"),
+    )
+    return S.records(batch, ["place"]).select(F.col("id").cast("long").alias("s_suppkey"), "title", "place")
+
+
 def restored_outputs(spark, sf_dir):
     """Suppliers and nations as a run wrote them, after a second run failed at the nations when it had replaced the suppliers (SNK-05)."""
     path = _folder(spark)
@@ -259,7 +329,7 @@ def keyed_records(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     jsonl_scan, csv_scan, split_parts, text_scan, id_list_scan, batch_scan, harvest_pages, harvest_snapshot, as_run_wrote, appended_rows,
-    write_once_report, schema_edits, merged_entries, run_list_scan, pool_design_scan, sections_scan, messages_scan, report_scan, restored_outputs, unmarked_entries, keyed_records,
+    write_once_report, schema_edits, merged_entries, run_list_scan, pool_design_scan, sections_scan, messages_scan, report_scan, question_problems, schema_documents, kept_evaluations, extra_columns, restored_outputs, unmarked_entries, keyed_records,
 )}
 
 ORACLES = {
@@ -300,6 +370,20 @@ ORACLES = {
       SELECT source AS report, 'By language' AS section, 'table' AS kind, row, unnest(['language', 'documents', 'characters']) AS column, unnest([lang, format('{:,}', n), format('{:,}', chars)]) AS value, unnest([NULL, n, chars])::DOUBLE AS number FROM k
       UNION ALL SELECT source, source, 'count', unnest([5, 6])::INT, unnest(['documents', 'characters']), unnest([format('{:,}', n), format('{:,}', chars) || ' in all']), unnest([n, chars])::DOUBLE FROM w
       UNION ALL SELECT source, source, 'time', 3::INT, unnest(['Run at', 'took']), unnest(['2024-05-01T10:20:30', '1 min ' || n || ' s']), unnest([NULL, 60 + n])::DOUBLE FROM w""",
+    "question_problems": """WITH c AS (SELECT c_nationkey AS nation, c_custkey AS k, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey))::INT AS question FROM customer)
+      SELECT nation, question, 'status is none of open, answered, withdrawn' AS problem FROM c WHERE k % 7 = 0
+      UNION ALL SELECT nation, question, 'an answer is there if and only if the status is answered' FROM c WHERE k % 17 = 0 AND k % 7 <> 0
+      UNION ALL SELECT nation, question, 'no priority' FROM c WHERE k % 5 = 0
+      UNION ALL SELECT nation, question, 'part out of order: The question' FROM c WHERE k % 13 = 0
+      UNION ALL SELECT nation, question, 'no part: Affects' FROM c WHERE k % 11 = 0""",
+    "schema_documents": """WITH c AS (SELECT c_custkey, c_nationkey AS nation, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS s FROM customer),
+      o AS (SELECT DISTINCT nation, s, upper(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS p FROM orders JOIN c ON o_custkey = c_custkey), n AS (SELECT DISTINCT nation FROM o)
+      SELECT DISTINCT nation, 'class' AS kind, s AS name, 'what buys as ' || lower(s) AS a, NULL::VARCHAR AS b FROM c WHERE nation IN (SELECT nation FROM n)
+      UNION ALL SELECT nation, 'class', 'Order', 'what is bought', NULL FROM n
+      UNION ALL SELECT DISTINCT nation, 'predicate', p, 'buys so', NULL FROM o UNION ALL SELECT nation, 'pattern', p, s, 'Order' FROM o UNION ALL SELECT nation, 'pin', p, min(s), 'Order' FROM o GROUP BY nation, p""",
+    "kept_evaluations": """WITH r AS (SELECT o_orderdate::DATE AS day, o_orderpriority[1] AS x, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderdate::DATE, o_orderpriority)
+      SELECT strftime(day, '%d_%Y%m%d-') || x AS run_id, row_number() OVER (ORDER BY day, x) - 1 AS turn, n, total FROM r""",
+    "extra_columns": "SELECT s_suppkey, s_name AS title, 'nation ' || s_nationkey AS place FROM supplier",
     "restored_outputs": "SELECT s_suppkey AS key, s_name AS name, 'suppliers' AS output FROM supplier UNION ALL SELECT n_nationkey, n_name, 'nations' FROM nation",
     "unmarked_entries": """WITH m AS (SELECT c_nationkey::VARCHAR AS name, list_sort(list(DISTINCT o_orderpriority)) AS marks FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
       SELECT name, array_to_string(marks[2:], ',') AS marks FROM m""",

@@ -19,6 +19,13 @@ def clean_pages(spark, sf_dir):
     return p.select("page_id", "c.tier", "c.markup", "c.lost", F.length("c.text").alias("n_chars"), F.sha2("c.text", 256).alias("fingerprint"))
 
 
+def page_articles(spark, sf_dir):
+    """The articles of pages laid out as text, with the tier that the proof allowed and the words in their order (SCA-11)."""
+    p = table(spark, sf_dir, "pages").select("page_id", M.clean_udf(F.regexp_extract("html", r"(?s)<(?:main|article)[^>]*>(.*?)</(?:main|article)>", 1)).alias("c"))
+    words = F.regexp_extract_all("c.text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return p.select("page_id", "c.tier", "c.lost", F.sha2(F.array_join(words, " "), 256).alias("words"))
+
+
 def cleaning_tally(spark, sf_dir):
     """Cleaned pages by tier and markup (AGG-31)."""
     return clean_pages(spark, sf_dir).groupBy("tier", "markup").agg(F.count(F.lit(1)).alias("pages"), F.sum("lost").alias("lost"))
@@ -162,7 +169,7 @@ def triple_keys(spark, sf_dir):
 
 
 def text_contains(spark, sf_dir):
-    """Whether documents, of any language or none, hold a phrase in whole words (SCA-05)."""
+    """Whether documents, of any language or none, hold a phrase in whole words, its article aside (SCA-05)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", K.contains_udf("text", F.lit("the of")).alias("found"))
 
@@ -232,11 +239,15 @@ def repaired_encoding(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    clean_pages, cleaning_tally, token_bag_difference, markup_rank, one_line_titles, chunk_documents, abbreviation_scan, abbreviation_flags, numbers_as_written, slash_list_scan, class_spellings, word_differences, reply_keys, term_census, named_terms, neighbor_words, quantity_keys, class_keys, name_key_join,
+    clean_pages, page_articles, cleaning_tally, token_bag_difference, markup_rank, one_line_titles, chunk_documents, abbreviation_scan, abbreviation_flags, numbers_as_written, slash_list_scan, class_spellings, word_differences, reply_keys, term_census, named_terms, neighbor_words, quantity_keys, class_keys, name_key_join,
     triple_keys, text_contains, source_passages, reply_classify, extract_by_lookup, ledger_split, request_chunks, markdown_plain, label_shapes, model_names, repaired_encoding,
 )}
 
 ORACLES = {
+    "text_contains": r"""SELECT doc_id, regexp_matches(' ' || regexp_replace(regexp_replace(lower(text), '[''"‘’“”`´«»]', '', 'g'), '[\s.,;:!?()\[\]{}]+', ' ', 'g') || ' ', '[^\p{L}]of(e?s)?[^\p{L}]') AS found FROM documents""",
+    "reply_classify": "SELECT CASE WHEN event_id % 7 = 0 OR event_id % 5 = 1 THEN 'cut_off' WHEN event_id % 5 = 2 THEN 'empty' ELSE 'complete' END AS state, count(*) AS n FROM events GROUP BY 1",
+    "page_articles": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<(?:main|article)[^>]*>(.*?)</(?:main|article)>', 1), '<[^>]*>', ' ', 'g') AS x FROM pages)
+      SELECT page_id, 'parsed' AS tier, 0 AS lost, sha256(array_to_string(regexp_extract_all(replace(replace(replace(x, '&amp;', '&'), '&amp;', '&'), '&quot;', ' '), '[\p{L}\p{N}]+'), ' ')) AS words FROM a""",
     "token_bag_difference": """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z0-9]+')) AS w FROM pages), b AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[A-Za-z0-9]+')) AS w FROM pages),
       d AS (SELECT page_id, w, sum(n) AS m FROM (SELECT page_id, w, 1 AS n FROM a UNION ALL SELECT page_id, w, -1 FROM b) GROUP BY 1, 2) SELECT page_id, count(*) AS words, sum(m)::BIGINT AS tokens FROM d WHERE m > 0 GROUP BY 1""",
     "markup_rank": "SELECT page_id, 3 * len(regexp_extract_all(html, '</?[A-Za-z][^<>]*>')) + len(regexp_extract_all(html, '&[A-Za-z#][A-Za-z0-9]*;')) AS score FROM pages ORDER BY score DESC, page_id LIMIT 20",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.operators import ledger as L
 from factloom.sources import files as S
 from factloom.sources import lookup as A
+from factloom.sources import questions as Q
 from factloom.sources import sinks as K
 from factloom.sources import schema_text as P
 from factloom.sources.paged import PagedCatalog
@@ -145,8 +146,72 @@ def test_schema_text(spark):
     for bad in ("[]", "{}", '{"entity_classes": [{}], "predicates": []}', '{"entity_classes": [], "predicates": [], "pinned": {"R": []}}'):
         with pytest.raises(ValueError):
             P.parse_schema_json(bad)
-    qs, bad = P.parse_questions("intro\n## 2. Which?\nText\n**Ann:** yes\n## 1. Again\n\n")
-    assert qs[0].answers == (("Ann", "yes"),) and bad == ["question 1 is out of order", "question 1 is empty"]
+
+
+QUESTIONS = """intro - status: open
+## Q1: Which sea?
+- status: answered
+- priority: high
+- question kind: general
+- in short: seas
+
+### The question
+Which?
+- status: not a head
+
+### My current reading
+All.
+
+### The answer
+That one.
+
+### Affects
+- rule: 4
+## Q1: Again
+- status: shut
+- status: open
+- question kind: general
+- in short: x
+
+### Context
+
+### The question
+Q
+### Options
+o
+### Example record
+- record id: zz
+- pool position: four
+- title: t
+- colour: red
+- classed triple: "a" (A) HAS "b" (B)
+- classed triple: a HAS b
+### Example record
+- record id: 0123abcd
+- pool position: 4
+- pool position: 5
+- title: t
+- notes: n
+- source text: s
+### Mine
+### Context
+c
+"""
+
+
+def test_question_documents(spark):
+    df = spark.createDataFrame([("q.md", QUESTIONS), ("none.md", "no questions"), ("bare.md", "## Q7: T")], "file string, text string")
+    got = {r.title: r for r in Q.questions(df).collect()}
+    assert got["Which sea?"]["head"]["status"] == "answered" and [p.name for p in got["Which sea?"].parts] == ["The question", "My current reading", "The answer", "Affects"]
+    assert got["Which sea?"].parts[0].text == "Which?\n- status: not a head" and got["T"]["head"] is None
+    bad = sorted((r.line, r.problem) for r in Q.problems(df).where("file = 'q.md'").collect())
+    assert bad == sorted([
+        (20, "number is repeated or out of order"), (20, "status is there twice"), (20, "no priority"), (21, "status is none of open, answered, withdrawn"), (20, "no part: My current reading"), (20, "no part: Affects"),
+        (20, "Options and Consequences come together"), (26, "part is empty: Context"), (28, "part out of order: The question"), (32, "part out of order: Example record"), (32, "record without notes"),
+        (32, "record without source text"), (33, "not a record id"), (34, "pool position is no number"), (36, "no such field of a record"), (38, "not a classed triple"), (39, "part out of order: Example record"),
+        (39, "pool position is there twice"), (46, "no such part: Mine"), (47, "part out of order: Context"),
+    ])
+    assert {r.problem for r in Q.problems(df).where("file = 'bare.md'").collect()} == {f"no {x}" for x in Q.HEAD} | {f"no part: {p}" for p, n in Q.PARTS.items() if n == "1"}
 
 
 class Catalog(BaseHTTPRequestHandler):
