@@ -144,6 +144,32 @@ r(doc_id, m) AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+""",
+    "op5_hierarchical_mixing": r"""
+WITH RECURSIVE step(n, c) AS (
+  SELECT 0, list_transform(range(256), lambda x: x::BIGINT)
+  UNION ALL SELECT n + 1, list_transform(c, lambda x: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) FROM step WHERE n < 8
+), z AS (
+  SELECT source, 'domain' || xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(source)) + 1), lambda i: ('0x' || hex(encode(source))[2 * i - 1 : 2 * i])::BIGINT)),
+    lambda a, x: xor(a // 256, c[1 + xor(a % 256, x)])), 4294967295) % 3 AS domain FROM (SELECT DISTINCT coalesce(source, '') AS source, (SELECT c FROM step WHERE n = 8) AS c FROM documents)
+), d AS (
+  SELECT doc_id, lang, d.source, domain, coalesce(lang, '') AS l, coalesce(d.source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents d JOIN z ON z.source = coalesce(d.source, '')
+), leaf AS (SELECT domain, l, s, sum(n)::DOUBLE AS supply, 2.0::DOUBLE * sum(n) AS cap FROM d GROUP BY ALL),
+n1 AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'domain0' THEN 3.0::DOUBLE WHEN 'domain1' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, (SELECT floor(sum(supply) * 0.6) FROM leaf) AS budget FROM leaf GROUP BY domain),
+f1 AS (SELECT *, cap / w * (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) <= budget - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fits FROM n1),
+g1 AS (SELECT domain, CASE WHEN fits THEN cap ELSE greatest(0, budget - coalesce(sum(cap) FILTER (fits) OVER (), 0)) * w / (sum(w) FILTER (NOT fits) OVER ()) END AS budget FROM f1),
+n2 AS (SELECT domain, l, sum(cap) AS cap, CASE l WHEN 'en' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, any_value(g1.budget) AS budget FROM leaf JOIN g1 USING (domain) GROUP BY domain, l),
+f2 AS (SELECT *, cap / w * (sum(w) OVER (PARTITION BY domain) - coalesce(sum(w) OVER (PARTITION BY domain ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) <= budget - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fits FROM n2),
+g2 AS (SELECT domain, l, CASE WHEN fits THEN cap ELSE greatest(0, budget - coalesce(sum(cap) FILTER (fits) OVER (PARTITION BY domain), 0)) * w / (sum(w) FILTER (NOT fits) OVER (PARTITION BY domain)) END AS budget FROM f2),
+n3 AS (SELECT domain, l, s, supply, cap, 1.0::DOUBLE AS w, g2.budget FROM leaf JOIN g2 USING (domain, l)),
+f3 AS (SELECT *, cap / w * (sum(w) OVER (PARTITION BY domain, l) - coalesce(sum(w) OVER (PARTITION BY domain, l ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) <= budget - coalesce(sum(cap) OVER (PARTITION BY domain, l ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fits FROM n3),
+g3 AS (SELECT domain, l, s, supply, CASE WHEN fits THEN cap ELSE greatest(0, budget - coalesce(sum(cap) FILTER (fits) OVER (PARTITION BY domain, l), 0)) * w / (sum(w) FILTER (NOT fits) OVER (PARTITION BY domain, l)) END AS budget FROM f3),
+b AS (SELECT domain, l, s, floor(budget + 1e-6)::BIGINT AS budget, supply::BIGINT AS supply FROM g3),
+p AS (SELECT *, CASE WHEN supply > 0 THEN least(budget // supply, 2) ELSE 0 END AS whole FROM b),
+o AS (
+  SELECT d.*, whole, budget - whole * supply AS rest, sum(n) OVER (PARTITION BY domain, l, s ORDER BY md5('0|' || whole || '|' || coalesce(doc_id::VARCHAR, '')), doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS through FROM d JOIN p USING (domain, l, s)
+)
+SELECT doc_id, lang, source, unnest(range(whole + CASE WHEN whole < 2 AND through <= rest THEN 1 ELSE 0 END)) AS epoch, n AS n_tokens FROM o
 """,
     "op6_voronoi_topk": r"""
 WITH v AS (
