@@ -44,7 +44,7 @@ THIN = np.uint64(0)
 
 @dataclass(frozen=True)
 class Setting:
-    """k words a shingle; similarity >= num/den; buckets of up to `small` classes give all pairs."""
+    """k words a shingle; similarity >= num/den; buckets of up to `small` classes give all pairs; sets of over round_bytes are verified in up to so many rounds."""
 
     k: int = 5
     num: int = 80
@@ -54,6 +54,8 @@ class Setting:
     star_keys: int = 4
     broadcast_rows: int = 1_000_000
     broadcast_bytes: int = 48 << 20
+    round_bytes: int = 160 << 20
+    rounds: int = 8
 
 
 @lru_cache(maxsize=None)
@@ -371,12 +373,20 @@ class _Join:
         pairs = pairs.join(size.toDF("a", "n_a", "sketch_a"), "a").join(size.toDF("b", "n_b", "sketch_b"), "b")
         pairs = pairs.where(F.least("n_a", "n_b") * s.den >= F.greatest("n_a", "n_b") * s.num)
         pairs = self.scratch.store(pairs.mapInArrow(X.tidy(_possible(s)), "a long, b long"))
-        sets = self.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-        left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-        out = pairs.join(right, "b").join(left, "a").select("a", "set_a", "b", "set_b")
-        out = self.scratch.store(out.mapInArrow(X.tidy(_verified(s)), "a long, b long").dropDuplicates())
-        self.scratch.drop(pairs, sets)
-        self.scratch.release()
+        ends = self.scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        held = 8 * (ends.join(self.classes.select("cls", "n_shingles"), "cls").agg(F.sum("n_shingles")).first()[0] or 0)
+        rounds = min(s.rounds, 1 + held // s.round_bytes)
+        out = None
+        for r in range(rounds):
+            # sets travel with every pair, so large numbers of them go in turn and the disk holds one turn's
+            part = pairs if rounds == 1 else pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == r)
+            sets = self.sets(ends if rounds == 1 else part.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+            both = part.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "set_a", "b", "set_b")
+            both = self.scratch.store(both.mapInArrow(X.tidy(_verified(s)), "a long, b long").dropDuplicates())
+            self.scratch.drop(sets)
+            self.scratch.release()
+            out = both if out is None else out.union(both)
+        self.scratch.drop(pairs, ends)
         return out
 
     def run(self) -> DataFrame:

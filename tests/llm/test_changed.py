@@ -94,3 +94,12 @@ def test_whole_license_texts(spark):
     for i, (label, n) in want.items():
         assert label in got[i].labels.split(",") and max(s["last"] - s["first"] + 1 for s in got[i].spans if s["label"] == label) > 0.85 * n, label
         assert not [s for s in got[i + 1].spans or [] if s["last"] - s["first"] > 40]
+
+
+def test_verification_in_rounds(spark):
+    from factloom.llm import ngram_join as N
+    from tests.llm.test_documents import corpus, make
+
+    docs = make(spark, corpus(4))
+    one, many = ({r.doc_id: r.component_id for r in N.ngram_jaccard_join(docs, s).collect()} for s in (N.Setting(), N.Setting(round_bytes=2000, rounds=3)))
+    assert one == many and any(k != v for k, v in one.items())
