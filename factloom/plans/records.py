@@ -110,6 +110,9 @@ ORACLES = {
     "pin_keys": "SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'any' END || ' -> ' || CASE WHEN c_custkey % 5 <> 0 THEN 'Place' ELSE 'any' END AS pin, count(*) AS n FROM customer GROUP BY 1",
     "consolidated_names": """WITH p AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE p_type END AS t FROM part), n AS (SELECT lower(t) AS key, t, count(*) AS n FROM p GROUP BY 1, 2)
       SELECT key, first(t ORDER BY n DESC, t) AS name, sum(n)::BIGINT AS rows, count(*) AS spellings, count(*) > 1 AS merged FROM n GROUP BY 1""",
+    # by the facts' construction: items 1, 2 and 3 name the order's own parts, 5 goes on from the part of 1, the others stand apart
+    "unlinked_rows": """WITH h AS (SELECT l_orderkey, bool_or(l_linenumber = 1) AS one FROM lineitem GROUP BY 1)
+      SELECT l_linenumber, count(*) AS n FROM lineitem JOIN h USING (l_orderkey) WHERE l_linenumber IN (4, 6, 7) OR (l_linenumber = 5 AND NOT one) GROUP BY 1""",
     "status_counts": """WITH s AS (SELECT l_suppkey AS step, max(l_shipdate) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
       SELECT step, count(*) FILTER (l_shipdate > r) AS waiting, false AS never_ran FROM s JOIN lineitem ON l_suppkey = step GROUP BY 1""",
     "row_errors": """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, l_returnflag AS f FROM lineitem)

@@ -175,8 +175,9 @@ def text_contains(spark, sf_dir):
 
 
 def source_passages(spark, sf_dir):
-    """Whether all passages of a quotation stand in the document (SCA-08, SCA-20)."""
-    quote = F.concat(F.split_part("text", F.lit(" "), F.lit(2)), F.lit(" ... "), F.split_part("text", F.lit(" "), F.lit(5)))
+    """Whether all passages of a quotation stand in the document; in every third one the last passage is of another (SCA-08, SCA-20)."""
+    last = F.when(F.col("doc_id") % 3 == 0, "qqzzqq").otherwise(F.split_part("text", F.lit(" "), F.lit(5)))
+    quote = F.concat(F.split_part("text", F.lit(" "), F.lit(2)), F.lit(" ... "), last)
     return table(spark, sf_dir, "documents").select("doc_id", X.source_in_text_udf(quote, "text").alias("found"))
 
 
@@ -248,6 +249,7 @@ ORACLES = {
     "reply_classify": "SELECT CASE WHEN event_id % 7 = 0 OR event_id % 5 = 1 THEN 'cut_off' WHEN event_id % 5 = 2 THEN 'empty' ELSE 'complete' END AS state, count(*) AS n FROM events GROUP BY 1",
     "page_articles": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<(?:main|article)[^>]*>(.*?)</(?:main|article)>', 1), '<[^>]*>', ' ', 'g') AS x FROM pages)
       SELECT page_id, 'parsed' AS tier, 0 AS lost, sha256(array_to_string(regexp_extract_all(replace(replace(replace(x, '&amp;', '&'), '&amp;', '&'), '&quot;', ' '), '[\p{L}\p{N}]+'), ' ')) AS words FROM a""",
+    "source_passages": "SELECT doc_id, doc_id % 3 <> 0 AND len(string_split(text, ' ')) > 1 AS found FROM documents",
     "token_bag_difference": """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z0-9]+')) AS w FROM pages), b AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[A-Za-z0-9]+')) AS w FROM pages),
       d AS (SELECT page_id, w, sum(n) AS m FROM (SELECT page_id, w, 1 AS n FROM a UNION ALL SELECT page_id, w, -1 FROM b) GROUP BY 1, 2) SELECT page_id, count(*) AS words, sum(m)::BIGINT AS tokens FROM d WHERE m > 0 GROUP BY 1""",
     "markup_rank": "SELECT page_id, 3 * len(regexp_extract_all(html, '</?[A-Za-z][^<>]*>')) + len(regexp_extract_all(html, '&[A-Za-z#][A-Za-z0-9]*;')) AS score FROM pages ORDER BY score DESC, page_id LIMIT 20",
