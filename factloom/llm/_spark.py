@@ -41,8 +41,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of jobs that are over: its cleaner does so once the driver has collected what refers to them, which may be long after."""
+    def release(self, size: int, least: int = 64 << 20) -> None:
+        """Let Spark delete the shuffle files of jobs that are over, if they hold so many bytes: its cleaner does so once the driver has collected what refers to them, which may be long after."""
+        if size < least:
+            return
         gc.collect()
         self.spark._jvm.System.gc()
 

@@ -384,7 +384,7 @@ class _Join:
             both = part.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "set_a", "b", "set_b")
             both = self.scratch.store(both.mapInArrow(X.tidy(_verified(s)), "a long, b long").dropDuplicates())
             self.scratch.drop(sets)
-            self.scratch.release()
+            self.scratch.release(held)
             out = both if out is None else out.union(both)
         self.scratch.drop(pairs, ends)
         return out
@@ -398,7 +398,8 @@ class _Join:
         parts = max(buckets(self.spark) * 2, -(-shingles // (2 * PART_ENTRIES)))
         packed = self.docs.mapInArrow(X.tidy(index_entries(s, parts)), _PACKED)
         found = scratch.store(packed.repartition(parts, "part").mapInArrow(X.tidy(bucket_pairs(s.small)), "kind int, a long, b long"))
-        scratch.release()  # the index has been read
+        self.size = 8 * shingles
+        scratch.release(self.size)  # the index has been read
         links = self.verify(found.where("kind = 0").select("a", "b").distinct())
         comp = scratch.store(components(scratch, links))
         members = scratch.store(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").bitwiseAND(F.lit(-2)).alias("cls"), F.col("b").bitwiseAND(F.lit(1)).alias("own")))
@@ -471,7 +472,7 @@ class _Join:
             return heavy.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
         parts = buckets(self.spark) * 2
         keys = scratch.store(heavy.mapInArrow(X.tidy(_neighbourhoods(s, parts)), _PACKED).repartition(parts, "part").mapInArrow(X.tidy(_neighbours(s.small * 4)), "kind int, a long, b long"))
-        scratch.release()
+        scratch.release(self.size)
         found = keys.where("kind = 0").select("a", "b")
         # a segment whose neighbourhood meets a large bucket is not paid; who lacks paid segments goes to the blocks
         lost = keys.where("kind = 1").groupBy(F.col("b").alias("tag")).agg(F.countDistinct("a").alias("lost"))
