@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm._spark import Scratch, side
 
-#: Words before A-Z become a-z; the same borders as [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after that.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What ends a word once A-Z are a-z: all ASCII but 0-9 and a-z. The words are the runs [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
+BREAKS = "".join(chr(x) for x in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LENGTH = -1
 
@@ -47,18 +47,14 @@ class Setting:
 
 
 def split(text: Column) -> Column:
-    """Words as they stand."""
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
-
-
-def lowered(word: Column) -> Column:
-    """A-Z as a-z, all else as it is."""
-    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+    """Words with A-Z as a-z. One pass makes every break a blank; cutting at one character needs no regular expression, which took most of the query's time."""
+    flat = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + BREAKS, LOWER + " " * len(BREAKS))
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(words) of distinct windows; (words, item) that holds it."""
-    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.transform(split(F.col("text")), lowered).alias("ws")).where(F.size("ws") > 0).distinct()
+    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), split(F.col("text")).alias("ws")).where(F.size("ws") > 0).distinct()
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - size + 1))
     rows = w.select("item", "ws", F.explode(starts).alias("at")).select("item", F.slice("ws", F.col("at"), F.lit(size)).alias("words")).distinct()
     return rows.select("words").distinct(), rows
@@ -68,7 +64,7 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, key, term, pos: the postings of the terms (word, term), and for each document one of its length, under term -1."""
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.concat(split(text), F.array(F.lit(""))).alias("ws"))
-    words = rows.select("doc_id", "key", F.posexplode("ws").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
+    words = rows.select("doc_id", "key", F.posexplode("ws").alias("pos", "word"))
     return words.join(side(terms), "word").select(F.when(F.col("term") == LENGTH, F.col("doc_id")).alias("doc_id"), "key", "term", "pos")
 
 

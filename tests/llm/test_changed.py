@@ -103,3 +103,16 @@ def test_verification_in_rounds(spark):
     docs = make(spark, corpus(4))
     one, many = ({r.doc_id: r.component_id for r in N.ngram_jaccard_join(docs, s).collect()} for s in (N.Setting(), N.Setting(round_bytes=2000, rounds=3)))
     assert one == many and any(k != v for k, v in one.items())
+
+
+def test_words_without_regular_expressions(spark, capsys):
+    import re
+
+    from factloom.llm import decontamination as D
+
+    texts = ["".join(map(chr, range(0x80))), "Ab,C  d-É7\n\x00Zz\x7fÀb ", "", None, "É", " - ", "😀a B"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", D.split(F.col("text")).alias("ws"))
+    lower = {c: c + 32 for c in range(65, 91)}
+    assert {r.i: r.ws for r in rows.collect()} == {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)) for i, t in enumerate(texts)}
+    rows.explain()
+    assert "regexp" not in capsys.readouterr().out
