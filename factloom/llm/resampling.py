@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _text as X
-from factloom.llm._spark import Scratch, side, text_batches
+from factloom.llm._spark import Scratch, buckets, side, text_batches
 from factloom.operators.relational import numbered
 
 #: Bytes of text a page holds (a longer document is a page of its own), and words that a block holds (or those of one page, if it has more).
 PAGE_BYTES = 2 << 20
 BLOCK_WORDS = 1 << 18
+#: Pages in a stored file.
+FILE_PAGES = 8
 
 
 @dataclass(frozen=True)
@@ -154,10 +156,35 @@ def _summed(kind: pa.DataType):
     return X.tidy(run)
 
 
-def _by_number(rows: DataFrame, *key: str) -> DataFrame:
-    """key, gains: the gains of a block's words, or of a page's tuples, in the order of their numbers (as many as those have)."""
-    pairs = F.array_sort(F.collect_list(F.struct("t", "gain")))
-    return rows.groupBy(*key).agg(F.transform(pairs, lambda x: x["gain"]).alias("gains"))
+def _listed(batches):
+    """block, page, t, gain in order -> block, page, gains: the gains of one block, or page, are held at a time."""
+    at, held = None, []
+
+    def row() -> pa.RecordBatch:
+        gains = np.concatenate(held)
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(gains)], pa.int32()), pa.array(gains))], ["block", "page", "gains"])
+
+    for b in batches:
+        block, page, gain = (np.asarray(b.column(c)) for c in ("block", "page", "gain"))
+        starts = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (page[1:] != page[:-1]))) if len(block) else []
+        for x, y in zip(starts, np.append(starts[1:], len(block)), strict=True):
+            here = (int(block[x]), int(page[x]))
+            if at is not None and here != at:
+                yield row()
+                held = []
+            at = here
+            held.append(gain[x:y].copy())
+    if at is not None:
+        yield row()
+
+
+def _by_number(rows: DataFrame, parts: int) -> DataFrame:
+    """block, page, gains: the gains of a block's words, or of a page's tuples, in the order of their numbers (as many as those have).
+
+    Sorted rows are cut into lists as they pass. An aggregate of lists would hold those of up to 128 blocks as objects.
+    """
+    dealt = rows.select("block", "page", "t", "gain").repartition(parts, "block", "page").sortWithinPartitions("block", "page", "t")
+    return dealt.mapInArrow(X.tidy(_listed), "block long, page int, gains array<long>")
 
 
 def weights(docs: DataFrame, target: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -170,8 +197,8 @@ def weights(docs: DataFrame, target: DataFrame, setting: Setting = Setting()) ->
     if arrow is None:
         raise TypeError(f"doc_id is a long, an int or a string, not {kind}")
     text = F.col("text").cast("string").alias("text")
-    pages = scratch.store(docs.select("doc_id", text).mapInArrow(_encoded(s.n, 0, arrow), _PAGES % kind))
-    aims = scratch.store(target.select(F.lit(None).cast(kind).alias("doc_id"), text).mapInArrow(_encoded(s.n, 1, arrow), _PAGES % kind))
+    pages = scratch.store(docs.select("doc_id", text).mapInArrow(_encoded(s.n, 0, arrow), _PAGES % kind), FILE_PAGES)
+    aims = scratch.store(target.select(F.lit(None).cast(kind).alias("doc_id"), text).mapInArrow(_encoded(s.n, 1, arrow), _PAGES % kind), FILE_PAGES)
     both = pages.union(aims)
 
     words = both.where("page < 0").select("block", F.posexplode("words").alias("t", "word"), "counts").select("block", "t", "word", F.element_at("counts", F.col("t") + 1).alias("n"))
@@ -206,10 +233,11 @@ def weights(docs: DataFrame, target: DataFrame, setting: Setting = Setting()) ->
         other = [F.col(k).alias(f"_{k}") for k in keys]
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
         back = grams.where(~of_target).join(gained.select("gain", *other), same).drop(*(f"_{k}" for k in keys))
-    of_words = _by_number(back.where("page < 0"), "block")
+    parts = buckets(spark)
+    of_words = _by_number(back.where("page < 0"), parts).drop("page")
     rows = pages.where("page >= 0").select("block", "page", "docs", *_COLUMNS[1:7]).join(of_words, "block", "left")
     if s.n > 1:
-        rows = rows.join(_by_number(back.where("page >= 0"), "block", "page").withColumnRenamed("gains", "tuple_gains"), ["block", "page"], "left")
+        rows = rows.join(_by_number(back.where("page >= 0"), parts).withColumnRenamed("gains", "tuple_gains"), ["block", "page"], "left")
     else:
         rows = rows.withColumn("tuple_gains", F.lit(None).cast("array<bigint>"))
     return rows.mapInArrow(_summed(arrow), f"doc_id {kind}, n_words long, n_features long, weight long")

@@ -116,3 +116,22 @@ def test_words_without_regular_expressions(spark, capsys):
     assert {r.i: r.ws for r in rows.collect()} == {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)) for i, t in enumerate(texts)}
     rows.explain()
     assert "regexp" not in capsys.readouterr().out
+
+
+def test_gains_are_listed_without_holding_many_blocks(spark, capsys, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from factloom.llm import resampling as R
+
+    monkeypatch.setattr(R, "PAGE_BYTES", 40)
+    stored = []
+    store = R.Scratch.store
+    monkeypatch.setattr(R.Scratch, "store", lambda self, df, *a: (out := store(self, df, *a), stored.append(out._scratch_path))[0])
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} same words here {i}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    out = R.weights(docs, docs.select("text").limit(3), R.Setting(least_words=1))
+    assert {r.doc_id: r.n_features for r in out.collect()} == dict.fromkeys(range(200), 6)
+    assert max(pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{stored[0].removeprefix('file:')}/*.parquet")) <= R.FILE_PAGES
+    out.explain()
+    assert "collect_list" not in capsys.readouterr().out
