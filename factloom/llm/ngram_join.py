@@ -44,7 +44,10 @@ THIN = np.uint64(0)
 
 @dataclass(frozen=True)
 class Setting:
-    """k words a shingle; similarity >= num/den; buckets of up to `small` classes give all pairs; sets of over round_bytes are verified in up to so many rounds."""
+    """k words a shingle; similarity >= num/den; buckets of up to `small` classes give all pairs.
+
+    Pairs whose sets have over round_bytes (None: what all sets have) are verified in up to so many rounds, by groups of about `group` pairs.
+    """
 
     k: int = 5
     num: int = 80
@@ -54,8 +57,9 @@ class Setting:
     star_keys: int = 4
     broadcast_rows: int = 1_000_000
     broadcast_bytes: int = 48 << 20
-    round_bytes: int = 160 << 20
+    round_bytes: int | None = None
     rounds: int = 8
+    group: int = 256
 
 
 @lru_cache(maxsize=None)
@@ -310,42 +314,51 @@ def bucket_pairs(small: int):
     return run
 
 
-def _verified(s: Setting):
+def _shipped(s: Setting):
+    """cls, at, text -> owner, chunk, role, cls, hs: the whole set of a class, once for each group that asks for it."""
+    names, kinds = ("owner", "chunk", "role", "cls", "hs"), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
     def run(batches):
+        rows, held = [], 0
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            last_key, last = None, None
-            a, c = b.column("a"), b.column("set_a")
-            d = b.column("set_b")
-            for i in range(b.num_rows):
-                if a[i].as_py() != last_key:
-                    last_key, last = a[i].as_py(), np.frombuffer(c[i].as_buffer(), np.uint64)
-                other = np.frombuffer(d[i].as_buffer(), np.uint64)
-                short, long = (last, other) if len(last) < len(other) else (other, last)
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                common = int((long[at] == short).sum())
-                keep[i] = s.den * common >= s.num * (len(last) + len(other) - common)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            cls, at = b.column("cls").to_pylist(), b.column("at").to_pylist()
+            for i, hs in _sets_of(b, s):
+                raw = hs.tobytes()
+                for x in at[i]:
+                    rows.append((x["owner"], x["chunk"], x["role"], cls[i], raw))
+                    held += len(raw)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _set_rows(s: Setting):
-    """cls, text -> cls, hs (the whole set)."""
+def _verified(s: Setting):
+    """owner, chunk, role, cls, hs, each group's owner first -> the pairs of similar ones; one owner's set is held at a time."""
 
     def run(batches):
+        at, last, name = None, None, None
         for b in batches:
-            out = [b""] * b.num_rows
-            held, at = 0, 0
-            for i, hs in _sets_of(b, s):
-                out[i] = hs.tobytes()
-                held += len(out[i])
-                if held > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([b.column("cls").slice(at, i + 1 - at), pa.array(out[at : i + 1], pa.binary())], ["cls", "hs"])
-                    held, at = 0, i + 1
-            if at < b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("cls").slice(at), pa.array(out[at:], pa.binary())], ["cls", "hs"])
+            low, high = [], []
+            owner, chunk, role, cls = (b.column(c).to_pylist() for c in ("owner", "chunk", "role", "cls"))
+            for i, raw in enumerate(b.column("hs")):
+                other = np.frombuffer(raw.as_buffer(), np.uint64)
+                if role[i] == 0:
+                    at, last, name = (owner[i], chunk[i]), other.copy(), cls[i]
+                    continue
+                if at != (owner[i], chunk[i]):
+                    raise RuntimeError(f"no set of class {owner[i]}")
+                short, long = (last, other) if len(last) < len(other) else (other, last)
+                place = np.searchsorted(long, short)
+                place[place == len(long)] = 0
+                common = int((long[place] == short).sum())
+                if s.den * common >= s.num * (len(last) + len(other) - common):
+                    low.append(min(name, cls[i]))
+                    high.append(max(name, cls[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
     return run
 
@@ -358,13 +371,18 @@ class _Join:
         # row stands for an id and a text
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("row")).where("doc_id is not null")
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(cls, hs) of the wanted classes (column cls), from one document of each."""
-        reps = self.scratch.store(self.classes.join(wanted, "cls", "left_semi").select("row", "cls"))
-        limit = self.s.broadcast_rows
-        side = F.broadcast(reps) if reps.count() <= limit else reps
-        rows = self.docs.join(side, "row").select("cls", "text")
-        return self.scratch.store(rows.mapInArrow(X.tidy(_set_rows(self.s)), "cls long, hs binary"))
+    def met(self, asked: DataFrame) -> DataFrame:
+        """owner, chunk, role, cls, hs of the pairs (owner, chunk, member), dealt by group and each group's owner first.
+
+        A set is sent once for each group that asks for it, straight from its text.
+        """
+        asks = asked.select(F.col("member").alias("cls"), "owner", "chunk", F.lit(1).alias("role")).union(asked.select(F.col("owner").alias("cls"), "owner", "chunk", F.lit(0).alias("role")).distinct())
+        lists = asks.groupBy("cls").agg(F.collect_list(F.struct("owner", "chunk", "role")).alias("at"))
+        reps = self.scratch.store(self.classes.select("row", "cls").join(lists, "cls"))
+        n, size = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at") * 24 + 64), F.lit(0))).first()
+        rows = self.docs.join(F.broadcast(reps) if n <= self.s.broadcast_rows and size <= self.s.broadcast_bytes else reps, "row").select("cls", "at", "text")
+        sent = rows.mapInArrow(X.tidy(_shipped(self.s)), "owner long, chunk int, role int, cls long, hs binary")
+        return sent.repartition(buckets(self.spark), "owner", "chunk").sortWithinPartitions("owner", "chunk", "role")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar; sizes and sketches first, then whole sets."""
@@ -373,20 +391,21 @@ class _Join:
         pairs = pairs.join(size.toDF("a", "n_a", "sketch_a"), "a").join(size.toDF("b", "n_b", "sketch_b"), "b")
         pairs = pairs.where(F.least("n_a", "n_b") * s.den >= F.greatest("n_a", "n_b") * s.num)
         pairs = self.scratch.store(pairs.mapInArrow(X.tidy(_possible(s)), "a long, b long"))
-        ends = self.scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        held = 8 * (ends.join(self.classes.select("cls", "n_shingles"), "cls").agg(F.sum("n_shingles")).first()[0] or 0)
-        rounds = min(s.rounds, 1 + held // s.round_bytes)
+        busy = self.scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n")))
+        held = 8 * (busy.join(self.classes.select("cls", "n_shingles"), "cls").agg(F.sum(F.col("n") * F.col("n_shingles"))).first()[0] or 0)
+        rounds = min(s.rounds, 1 + held // (s.round_bytes or max(self.size, 1)))
+        # the sets of a pair meet at its busier end, in groups of some pairs
+        count = pairs.join(busy.toDF("a", "n_a"), "a").join(busy.toDF("b", "n_b"), "b")
+        asked = count.select(F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(F.col("n_a") >= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("n_a", "n_b").alias("n"))
+        asked = self.scratch.store(asked.select("owner", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / s.group)).cast("int").alias("chunk"), "member"))
         out = None
         for r in range(rounds):
-            # sets travel with every pair, so large numbers of them go in turn and the disk holds one turn's
-            part = pairs if rounds == 1 else pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == r)
-            sets = self.sets(ends if rounds == 1 else part.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-            both = part.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "set_a", "b", "set_b")
-            both = self.scratch.store(both.mapInArrow(X.tidy(_verified(s)), "a long, b long").dropDuplicates())
-            self.scratch.drop(sets)
+            # large numbers of sets go in turn, so the disk holds one turn's
+            part = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("owner"), F.lit(rounds)) == r)
+            both = self.scratch.store(self.met(part).mapInArrow(X.tidy(_verified(s)), "a long, b long").dropDuplicates())
             self.scratch.release(held)
             out = both if out is None else out.union(both)
-        self.scratch.drop(pairs, ends)
+        self.scratch.drop(pairs, busy, asked)
         return out
 
     def run(self) -> DataFrame:
@@ -395,10 +414,10 @@ class _Join:
         self.classes = scratch.store(digests.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select("of.*", "cls", "n_shingles", "sketch"))
         # entries of the index: about one for two shingles
         shingles = self.classes.agg(F.sum("n_shingles")).first()[0] or 0
+        self.size = 8 * shingles
         parts = max(buckets(self.spark) * 2, -(-shingles // (2 * PART_ENTRIES)))
         packed = self.docs.mapInArrow(X.tidy(index_entries(s, parts)), _PACKED)
         found = scratch.store(packed.repartition(parts, "part").mapInArrow(X.tidy(bucket_pairs(s.small)), "kind int, a long, b long"))
-        self.size = 8 * shingles
         scratch.release(self.size)  # the index has been read
         links = self.verify(found.where("kind = 0").select("a", "b").distinct())
         comp = scratch.store(components(scratch, links))

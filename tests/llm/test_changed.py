@@ -135,3 +135,20 @@ def test_gains_are_listed_without_holding_many_blocks(spark, capsys, monkeypatch
     assert max(pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{stored[0].removeprefix('file:')}/*.parquet")) <= R.FILE_PAGES
     out.explain()
     assert "collect_list" not in capsys.readouterr().out
+
+
+def test_pairs_meet_in_groups(spark):
+    """A class with many partners is dealt over groups, each with its set first, and no stored or joined set goes along with a pair."""
+    from factloom.llm import ngram_join as N
+    from tests.llm.test_documents import corpus, make
+
+    docs = make(spark, corpus(5))
+    one, many = ({r.doc_id: r.component_id for r in N.ngram_jaccard_join(docs, s).collect()} for s in (N.Setting(), N.Setting(group=1)))
+    assert one == many and any(k != v for k, v in one.items())
+    join = N._Join(docs, N.Setting())
+    digests = join.scratch.store(join.docs.mapInArrow(N.digest(N.Setting()), "doc_id long, row long, n_shingles long, cls long, sketch binary"))
+    join.classes = digests.where("n_shingles > 0").dropDuplicates(["cls"])
+    owner, *members = [r.cls for r in join.classes.select("cls").limit(9).collect()]
+    rows = join.met(spark.createDataFrame([(owner, i % 3, m) for i, m in enumerate(members)], "owner long, chunk int, member long")).select("owner", "chunk", "role", "cls").collect()
+    groups = {c: [(r.role, r.cls) for r in rows if r.chunk == c] for c in range(3)}
+    assert all(x[0] == (0, owner) and all(r == 1 for r, _ in x[1:]) for x in groups.values()) and sorted(c for x in groups.values() for r, c in x if r) == sorted(members)
