@@ -36,8 +36,12 @@ from factloom.llm import _text as X
 from factloom.llm._spark import Scratch, buckets, components, text_batches
 
 BAND = 1.5
-#: Index entries that one task sorts, about.
-PART_ENTRIES = 2_000_000
+#: Index entries that are sorted at a time, about.
+PART_ENTRIES = 500_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+#: Pairs that a task remembers, to give a pair that meets in many buckets once.
+RECENT = 1 << 18
 #: Stands for no segment: its bucket lists the sets with too few filled segments.
 THIN = np.uint64(0)
 
@@ -249,19 +253,43 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(keys)))
 
 
+def _by_part(batches):
+    """(keys, values) of each part of packed rows, which come in order of part: one part is held at a time."""
+    at, ks, vs = None, [], []
+    for b in batches:
+        part = b.column("part").to_numpy()
+        for lo, n in zip(*_runs(part), strict=True) if len(part) else ():
+            if at != part[lo] and ks:
+                yield np.concatenate(ks), np.concatenate(vs)
+                ks, vs = [], []
+            at = part[lo]
+            # copies, as views would hold their whole batches
+            ks.append(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("keys").slice(lo, n)]))
+            vs.append(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column("vals").slice(lo, n)]))
+    if ks:
+        yield np.concatenate(ks), np.concatenate(vs)
+
+
+def _unseen(p: np.ndarray, recent: np.ndarray) -> np.ndarray:
+    """The pairs that recent (a slot for each hash of a pair) doesn't hold; it then holds them, one a slot."""
+    slot = (X.mix(p[:, 0].view(np.uint64) + X.mix(p[:, 1])) % np.uint64(len(recent))).astype(np.int64)
+    new = (recent[slot] != p).any(1)
+    p, slot = p[new], slot[new]
+    slot, first = np.unique(slot, return_index=True)
+    recent[slot] = p[first]
+    return p
+
+
 def bucket_pairs(small: int):
-    """Packed entries -> (kind 0: pair a, b | 1: class b of the large bucket a | 2: thin class b); b with role."""
+    """Packed entries, in order of part -> (kind 0: pair a, b | 1: class b of the large bucket a | 2: thin class b); b with role."""
 
     def run(batches):
-        ks, vs = [], []
-        for b in batches:
-            ks += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("keys")]
-            vs += [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("vals")]
-        if not ks:
-            return
-        keys, values = np.concatenate(ks), np.concatenate(vs)
-        ks = vs = None
-        # several parts can share a task; keys tell them apart. Values in order, so a run starts with its smallest.
+        recent = np.zeros((RECENT, 2), np.int64)
+        for keys, values in _by_part(batches):
+            yield from of_part(keys, values, recent)
+
+    def of_part(keys, values, recent):
+        # values in order, so a run starts with its smallest
         order = np.lexsort((values, keys))
         keys, values = keys[order], values[order]
         same = np.zeros(len(keys), bool)
@@ -301,7 +329,7 @@ def bucket_pairs(small: int):
             p = p[p[:, 0] != p[:, 1]]
             p = p[np.lexsort((p[:, 1], p[:, 0]))]
             if len(p):
-                p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])]
+                p = _unseen(p[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])], recent)
             for i in range(0, len(p), 100_000):
                 q = p[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(q), np.int32)), pa.array(q[:, 0]), pa.array(q[:, 1])], ["kind", "a", "b"])
@@ -327,7 +355,7 @@ def _shipped(s: Setting):
                 for x in at[i]:
                     rows.append((x["owner"], x["chunk"], x["role"], cls[i], raw))
                     held += len(raw)
-                    if held > 8 << 20:
+                    if held > BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, held = [], 0
         if rows:
@@ -366,11 +394,15 @@ def _verified(s: Setting):
 class _Join:
     def __init__(self, docs: DataFrame, s: Setting):
         self.s, self.spark, self.scratch = s, docs.sparkSession, Scratch(docs.sparkSession)
-        text_batches(self.spark)
+        text_batches(self.spark, BATCH_BYTES)
         text = F.col("text").cast("string")
         # row stands for an id and a text
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("row")).where("doc_id is not null")
 
+    def dealt(self, packed: DataFrame) -> DataFrame:
+        """Packed rows dealt by part; a task gets several parts, one after the other. Few tasks give a pair few times."""
+        return packed.repartition(buckets(self.spark), "part").sortWithinPartitions("part")
+
     def met(self, asked: DataFrame) -> DataFrame:
         """owner, chunk, role, cls, hs of the pairs (owner, chunk, member), dealt by group and each group's owner first.
 
@@ -417,7 +449,7 @@ class _Join:
         self.size = 8 * shingles
         parts = max(buckets(self.spark) * 2, -(-shingles // (2 * PART_ENTRIES)))
         packed = self.docs.mapInArrow(X.tidy(index_entries(s, parts)), _PACKED)
-        found = scratch.store(packed.repartition(parts, "part").mapInArrow(X.tidy(bucket_pairs(s.small)), "kind int, a long, b long"))
+        found = scratch.store(self.dealt(packed).mapInArrow(X.tidy(bucket_pairs(s.small)), "kind int, a long, b long"))
         scratch.release(self.size)  # the index has been read
         links = self.verify(found.where("kind = 0").select("a", "b").distinct())
         comp = scratch.store(components(scratch, links))
@@ -489,8 +521,11 @@ class _Join:
         heavy = scratch.store(rows.mapInArrow(X.tidy(_heavy(s)), _HEAVY))
         if heavy.isEmpty():
             return heavy.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-        parts = buckets(self.spark) * 2
-        keys = scratch.store(heavy.mapInArrow(X.tidy(_neighbourhoods(s, parts)), _PACKED).repartition(parts, "part").mapInArrow(X.tidy(_neighbours(s.small * 4)), "kind int, a long, b long"))
+        # each member is deleted once, and each segment is there whole
+        members = heavy.agg(F.sum(F.length("hs"))).first()[0] // 8
+        parts = max(buckets(self.spark) * 2, -(-2 * members // PART_ENTRIES))
+        packed = heavy.mapInArrow(X.tidy(_neighbourhoods(s, parts)), _PACKED)
+        keys = scratch.store(self.dealt(packed).mapInArrow(X.tidy(_neighbours(s.small * 4)), "kind int, a long, b long"))
         scratch.release(self.size)
         found = keys.where("kind = 0").select("a", "b")
         # a segment whose neighbourhood meets a large bucket is not paid; who lacks paid segments goes to the blocks
@@ -571,16 +606,14 @@ def _neighbourhoods(s: Setting, parts: int):
 
 
 def _neighbours(small: int):
-    """Pairs where one side is whole; large buckets name (key, tag) instead, for segments not known to be crowded."""
+    """Pairs where one side is whole; large buckets name (key, tag) instead, for segments not known to be crowded. Packed rows come in order of part."""
 
     def run(batches):
-        ks, vs = [], []
-        for b in batches:
-            ks += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("keys")]
-            vs += [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("vals")]
-        if not ks:
-            return
-        keys, values = np.concatenate(ks), np.concatenate(vs)
+        recent = np.zeros((RECENT, 2), np.int64)
+        for keys, values in _by_part(batches):
+            yield from of_part(keys, values, recent)
+
+    def of_part(keys, values, recent):
         order = np.lexsort((values, keys))
         keys, values = keys[order], values[order]
         start, count = _runs(keys)
@@ -597,6 +630,8 @@ def _neighbours(small: int):
             ok = (cls[i] != cls[j]) & ~((deleted[i] == 1) & (deleted[j] == 1)) & (((tag[i] | tag[j]) & 1) == 1)
             out += [(0, int(min(x, y)), int(max(x, y))) for x, y in zip(cls[i][ok], cls[j][ok], strict=True)]
         out = sorted(set(out))
+        pairs = _unseen(np.array([x[1:] for x in out if x[0] == 0], np.int64).reshape(-1, 2), recent).tolist()
+        out = [(0, *x) for x in pairs] + [x for x in out if x[0]]
         for i in range(0, len(out), 100_000):
             k, a, b = zip(*out[i : i + 100_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])

@@ -152,3 +152,32 @@ def test_pairs_meet_in_groups(spark):
     rows = join.met(spark.createDataFrame([(owner, i % 3, m) for i, m in enumerate(members)], "owner long, chunk int, member long")).select("owner", "chunk", "role", "cls").collect()
     groups = {c: [(r.role, r.cls) for r in rows if r.chunk == c] for c in range(3)}
     assert all(x[0] == (0, owner) and all(r == 1 for r, _ in x[1:]) for x in groups.values()) and sorted(c for x in groups.values() for r, c in x if r) == sorted(members)
+
+
+def test_index_is_sorted_part_by_part(spark, monkeypatch):
+    """A task that gets many parts of the index sorts one at a time, and gives a pair that meets in all of them once."""
+    import numpy as np
+
+    from factloom.llm import ngram_join as N
+    from tests.llm.test_documents import corpus, make
+
+    parts, sets = 10, 40
+    packed = []
+    for segment in range(200):
+        keys = np.arange(1, sets // 2 + 1, dtype=np.uint64) + np.uint64(segment * 1000)
+        packed += N._pack(np.repeat(N.X.mix(keys), 2), np.arange(sets, dtype=np.int64) << 1 | 1, parts)
+    packed.sort(key=lambda row: row[0])
+    longest, sort = [], np.lexsort
+    monkeypatch.setattr(N.np, "lexsort", lambda columns: (longest.append(len(columns[0])), sort(columns))[1])
+    both = [[b for b in run(iter([N._packed_batch(packed[:500]), N._packed_batch(packed[500:])]))] for run in (N.bucket_pairs(8), N._neighbours(8))]
+    monkeypatch.setattr(N.np, "lexsort", sort)
+    assert max(longest) < 2 * 200 * sets / parts
+    assert sorted(p for x in both[0] for p in zip(*(x.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True)) == [(0, 4 * i, 4 * i + 2) for i in range(sets // 2)]
+
+    few = np.zeros((3, 2), np.int64)
+    asked = np.array([(2 * i, 2 * i + 2 * j) for i in range(1, 30) for j in range(1, 5)], np.int64)
+    assert {tuple(p) for x in (asked, asked[::-1]) for p in N._unseen(x, few).tolist()} == {tuple(p) for p in asked.tolist()}
+    docs = make(spark, corpus(4))
+    one = {r.doc_id: r.component_id for r in N.ngram_jaccard_join(docs, N.Setting()).collect()}
+    monkeypatch.setattr(N, "PART_ENTRIES", 20)
+    assert one == {r.doc_id: r.component_id for r in N.ngram_jaccard_join(docs, N.Setting(small=2, star_rounds=0)).collect()} and any(k != v for k, v in one.items())
