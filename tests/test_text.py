@@ -186,3 +186,25 @@ def test_page_articles_cut_within_an_escape(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = con.sql(f"SELECT page_id, tier, lost, words FROM ({texts.ORACLES['page_articles']}) ORDER BY 1").fetchall()
     assert [tuple(r) for r in texts.page_articles(spark, str(tmp_path)).orderBy("page_id").collect()] == want
+
+
+def test_words_that_hold_the_letters_doi_are_no_addresses():
+    words = lambda text: [g.words for g in X.slash_lists(text)]
+    assert words("Maps by gaasta/radoie, doing/done, adoiemente+artaco and ado/doi.") == ["gaasta/radoie", "doing/done", "adoiemente+artaco", "ado/doi."]
+    for address in ("doi:10.5067/X/Y", "DOI:a/b", "(doi:10.5067/X/Y)", "doi.pangaea.de/10.1594/P.1", "doi/10.5067/X", "doi10.5067/X", "x/doi/abs/10.1175/J", "https://doi.org/10.5067/X/Y", "DOIs:10.5067/X/Y"):
+        assert words(f"See {address} for more") == []
+    assert X.slash_splits("Maps by dodo/doie of 7", ["dodo kind", "dodo/doie"]) == [True, False]
+
+
+def test_slash_list_scan_of_words_with_doi(spark, tmp_path):
+    import duckdb
+
+    from factloom.plans import texts
+
+    pairs = ["gaasta radoie", "doie mente", "doi doing", "esci ncodoie x", "dodo DOI", "Doie doie", "doi", "", None]
+    rows = [(i * 6 + k, t) for i, t in enumerate(pairs) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"SELECT doc_id, words, named, before, split, whole_split FROM ({texts.ORACLES['slash_list_scan']}) ORDER BY 1").fetchall()
+    assert len(want) == 30 and [tuple(r) for r in texts.slash_list_scan(spark, str(tmp_path)).orderBy("doc_id").collect()] == want
